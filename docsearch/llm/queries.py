@@ -6,15 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsearch.llm import neardup
+from docsearch.llm import neardup, quality, repeats
 from docsearch.llm.common import table
 
 
+def op6_nb_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repetition(table(spark, sf_dir, "documents"))
+
+
 def op10_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_nb_support_vectors": op6_nb_support_vectors,
+    "op9_suffix_repetition": op9_suffix_repetition,
     "op10_signature_join": op10_signature_join,
 }
 
