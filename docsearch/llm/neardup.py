@@ -210,3 +210,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of docs, with all their columns, without those that ``near_duplicates`` does not keep."""
+    dropped = materialise(near_duplicates(docs, percent=percent).where(~F.col("kept")).select(F.col("doc_id").alias("dropped")).distinct(), "dropped")
+    return docs.join(small(dropped), docs["doc_id"].cast("long") == F.col("dropped"), "left_anti")

@@ -153,6 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     return fit([np.asarray(x, np.int64) for x in got["keys"]], np.where(got["y"].to_numpy() == 1, 1, -1))
 
 
+def _scores(column: pa.Array, m: dict) -> np.ndarray:
+    out = [_margin(rows, keys, j - i, m["r"], m["w"]) for i, j, rows, keys in features(column)]
+    return 1 / (1 + np.exp(-np.clip(m["a"] * np.concatenate(out or [np.zeros(0)]) + m["b"], -500, 500)))
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs, from its text alone.
 
@@ -163,12 +168,20 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # two vectors of 2**BITS numbers
 
     def run(batches):
-        m = held.value
         for batch in batches:
-            out = [_margin(rows, keys, j - i, m["r"], m["w"]) for i, j, rows, keys in features(batch.column(1))]
-            if out:
-                p = 1 / (1 + np.exp(-np.clip(m["a"] * np.concatenate(out) + m["b"], -500, 500)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), held.value))], ["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least the threshold; nothing is shuffled."""
+    arrow_batches(docs.sparkSession)
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), held.value) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsearch.llm import neardup, quality, repeats
+from docsearch.llm import bpe, decontam, neardup, quality, repeats
 from docsearch.llm.common import table
 
 
+def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[dict[bytes, int], str]:
+    """Ranks and pattern of a public tokenizer; read on the driver and sent to the executors."""
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
+def op1_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = tokenizer()
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, pattern)
+
+
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_nb_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -23,10 +39,19 @@ def op10_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_distinct_word_bpe": op1_distinct_word_bpe,
+    "op4_template_decontamination": op4_template_decontamination,
     "op6_nb_support_vectors": op6_nb_support_vectors,
     "op9_suffix_repetition": op9_suffix_repetition,
     "op10_signature_join": op10_signature_join,
+    "pipeline": pipeline,
 }
 
 #: DuckDB SQL for what SQL can express.

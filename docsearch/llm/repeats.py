@@ -143,13 +143,21 @@ def _measure(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> list[np.nd
     return [count(rows), chars, total(_SYMBOL[b]), count(line_rows[later]), count(rows[inside[: len(words)]]), *repeats(rows, words, n)]
 
 
+def _columns(column: pa.Array) -> list[np.ndarray]:
+    raw, offsets = textkit.buffers(column)
+    parts = [_measure(raw, offsets, i, j) for i, j in textkit.pieces(offsets)]
+    return [np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 8
+
+
 def _run(batches):
     for batch in batches:
-        raw, offsets = textkit.buffers(batch.column(1))
-        parts = [_measure(raw, offsets, i, j) for i, j in textkit.pieces(offsets)]
-        if parts:
-            columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [x.split()[0] for x in SCHEMA.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _columns(batch.column(1)))], [x.split()[0] for x in SCHEMA.split(", ")])
+
+
+def _verdict(n_words, n_repeat_words, covered_words, longest_repeat, most_covered: float, longest: int):
+    """(base_failed, kept), of columns or of arrays."""
+    failed = (n_words < MIN_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
+    return failed, ~failed & (covered_words <= most_covered * n_words) & (longest_repeat <= longest)
 
 
 def repetition(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_covered: float = MOST_COVERED, longest: int = LONGEST) -> DataFrame:
@@ -162,6 +170,18 @@ def repetition(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most
     """
     arrow_batches(docs.sparkSession)
     out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_run, SCHEMA)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    good = (F.col("covered_words") <= most_covered * F.col("n_words")) & (F.col("longest_repeat") <= longest)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & good)
+    failed, kept = _verdict(*(F.col(c) for c in ("n_words", "n_repeat_words", "covered_words", "longest_repeat")), most_covered, longest)
+    return out.withColumn("base_failed", failed).withColumn("kept", kept)
+
+
+def accepted(docs: DataFrame, text: str = "text", most_covered: float = MOST_COVERED, longest: int = LONGEST) -> DataFrame:
+    """The rows of docs, with all their columns, that ``repetition`` keeps; nothing is shuffled."""
+    arrow_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            m = _columns(batch.column(at))
+            yield batch.filter(pa.array(_verdict(m[0], m[4], m[5], m[6], most_covered, longest)[1]))
+
+    return docs.mapInArrow(run, docs.schema)
