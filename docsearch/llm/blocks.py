@@ -1,7 +1,7 @@
 """Blocks: documents as positions in a small word list, and the global distinct-word shuffle between the lists.
 
 A block is a run of documents of about ``BLOCK_BYTES`` of text from one input partition.  Its tokens are exploded with
-their positions into ranks in the block's own word list (most frequent first), kept as compressed byte planes: an
+their positions into ranks in the block's own word list (in order of first use), kept as compressed byte planes: an
 occurrence takes a byte or two, wherever it goes.  A block's words are dealt by hash into ``parts`` bundles, one row for
 each; a task of the word shuffle sees every bundle of its part, so each distinct word of the corpus meets its equals
 in one place.  Replies go back by block and are put together with the documents by position.
@@ -9,6 +9,7 @@ in one place.  Replies go back by block and are put together with the documents
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
 
@@ -69,48 +70,47 @@ class Block:
     def __init__(self, number: int, ids: list, sizes: list[int], ranks: np.ndarray, words: list, more: list) -> None:
         self.number, self.ids, self.sizes, self.ranks, self.words, self.more = number, ids, sizes, ranks, words, more
 
-    def bundles(self, parts: int, to_bytes: Callable = bytes, also: np.ndarray | None = None) -> Iterator[tuple]:
-        """(part, ranks ascending, words, values of ``also`` by rank) for each part that has words."""
+    def bundles(self, parts: int, to_bytes: Callable = bytes, also: np.ndarray | None = None, part: Callable | None = None) -> Iterator[tuple]:
+        """(part, ranks ascending, words, values of ``also`` by rank) for each part that has words; part: of a word."""
         words = [to_bytes(w) for w in self.words]
-        part = np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in words), np.int64, len(words))
+        part = np.fromiter(map(part, words) if part else (xxhash.xxh3_64_intdigest(w) % parts for w in words), np.int64, len(words))
         order = np.argsort(part, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
             if len(at):
                 yield int(part[at[0]]), at, [words[k] for k in at], None if also is None else also[at]
 
 
-def blocks(batches, tokens: Callable, more: int = 0, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Blocks of an iterator of record batches (id, text, further columns); tokens: of a text, never None."""
+def blocks(batches, tokens: Callable, more: int = 0, positions: bool = True, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+    """Blocks of an iterator of record batches (id, text, further columns); tokens: of a text, never None.
+
+    Without positions a block has its words only, in the same order.
+    """
     task, numbers = TaskContext.get(), count()
-    number = lambda: ((task.partitionId() if task else 0) << 32) | next(numbers)
+    first = (task.partitionId() if task else 0) << 32
+
+    def fresh():
+        return defaultdict(count().__next__), [], [], [], []
 
     def close():
-        seq = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        order = np.argsort(-np.bincount(seq, minlength=len(table)), kind="stable")
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        words = list(table)
-        return Block(number(), ids, sizes, rank[seq] if len(seq) else seq, [words[k] for k in order], extra)
-
-    table: dict = {}
-    ids, sizes, parts, extra, held = [], [], [], [], 0
+        return Block(first | next(numbers), ids, sizes, np.concatenate(parts) if parts else np.zeros(0, np.int32), list(table), extra)
+
+    (table, ids, sizes, parts, extra), held = fresh(), 0
     for batch in batches:
         texts, own = batch.column(1).to_pylist(), batch.column(0).to_pylist()
         others = list(zip(*(batch.column(2 + k).to_pylist() for k in range(more)), strict=True)) if more else [()] * len(own)
         for i, text, x in zip(own, texts, others, strict=True):
             found = tokens(text or "")
-            for w in found:
-                if w not in table:
-                    table[w] = len(table)
+            if positions:
+                parts.append(np.fromiter(map(table.__getitem__, found), np.int32, len(found)))
+            else:
+                table.update(dict.fromkeys(found))
             ids.append(i)
             sizes.append(len(found))
             extra.append(x)
-            parts.append(np.fromiter(map(table.__getitem__, found), np.int32, len(found)))
             held += len(text or "")
             if held >= block_bytes:
                 yield close()
-                table = {}
-                ids, sizes, parts, extra, held = [], [], [], [], 0
+                (table, ids, sizes, parts, extra), held = fresh(), 0
     if ids:
         yield close()
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsearch.llm import bpe, decontam, neardup, quality, repeats, warc
+from docsearch.llm import bpe, decontam, hmm, neardup, quality, repeats, warc
 from docsearch.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +56,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distinct_word_bpe": op1_distinct_word_bpe,
     "op2_warc_salvage": op2_warc_salvage,
+    "op3_hidden_markov": op3_hidden_markov,
     "op4_template_decontamination": op4_template_decontamination,
     "op6_nb_support_vectors": op6_nb_support_vectors,
     "op9_suffix_repetition": op9_suffix_repetition,
