@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsearch.llm import bpe, decontam, hmm, neardup, quality, repeats, warc
+from docsearch.llm import bpe, decontam, hmm, html, neardup, quality, repeats, warc
 from docsearch.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op6_nb_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repetition(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hidden_markov": op3_hidden_markov,
     "op4_template_decontamination": op4_template_decontamination,
     "op6_nb_support_vectors": op6_nb_support_vectors,
+    "op7_site_style_tree": op7_site_style_tree,
     "op9_suffix_repetition": op9_suffix_repetition,
     "op10_signature_join": op10_signature_join,
     "pipeline": pipeline,
