@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsearch.llm import bpe, decontam, hmm, html, neardup, quality, repeats, warc
+from docsearch.llm import bpe, decontam, hmm, html, neardup, quality, repeats, urls, warc
 from docsearch.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op9_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repetition(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_template_decontamination": op4_template_decontamination,
     "op6_nb_support_vectors": op6_nb_support_vectors,
     "op7_site_style_tree": op7_site_style_tree,
+    "op8_path_templates": op8_path_templates,
     "op9_suffix_repetition": op9_suffix_repetition,
     "op10_signature_join": op10_signature_join,
     "pipeline": pipeline,
