@@ -69,7 +69,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
 
     def words(batches):
         find = regex.compile(pattern).findall
-        for b in blocks(batches, find):
+        for b in blocks(batches, find, positions=False):
             rows = [(p, b.number, pack(np.diff(at, prepend=0)), pack_words(w)) for p, at, w, _ in b.bundles(parts, to_bytes)]
             yield record(["part", "block", "at", "words"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows)
 
@@ -138,7 +138,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Dat
     def run(batches):
         token = held.value.__getitem__
         for batch in batches:
-            out = [None if x is None else b"".join(map(token, x)) for x in batch.column(at).to_pylist()]
+            lists = batch.column(at)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0))]).tolist()
+            parts = list(map(token, lists.flatten().to_numpy().tolist()))
+            out = [b"".join(parts[a:b]) if has else None for a, b, has in zip(ends, ends[1:], lists.is_valid().to_pylist())]  # noqa: B905
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
