@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsearch.llm import bpe, decontam, hmm, html, neardup, quality, repeats, urls, warc
+from docsearch.llm import bpe, chat, decontam, hmm, html, neardup, quality, repeats, urls, warc
 from docsearch.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(rows.unionByName(chat.example(spark)))
+
+
 def op6_nb_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_salvage": op2_warc_salvage,
     "op3_hidden_markov": op3_hidden_markov,
     "op4_template_decontamination": op4_template_decontamination,
+    "op5_budgeted_windows": op5_budgeted_windows,
     "op6_nb_support_vectors": op6_nb_support_vectors,
     "op7_site_style_tree": op7_site_style_tree,
     "op8_path_templates": op8_path_templates,
