@@ -11,6 +11,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns that results depend on.  (?U) makes the Java classes Unicode ones.
 PAGE_MARKER = r"(?U)^\s*<!--\s*page:\s*(\d+)\s*-->\s*$"
@@ -25,7 +26,7 @@ CODE_TOKEN = r"[A-Za-z0-9][A-Za-z0-9\-_./]*[A-Za-z0-9]"
 TAG_LINE = r"^\[문서명: .*\]$"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfc(values: pa.Array) -> pa.Array:
     return pa.array([None if v is None else unicodedata.normalize("NFC", v) for v in values.to_pylist()], pa.string())
 

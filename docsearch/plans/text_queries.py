@@ -138,7 +138,7 @@ def heading_restore(spark, sf):
     n = F.col("doc_id").cast("string")
     p = read(spark, sf, "documents")
     text = F.concat(
-        F.lit("## Title "), n, F.lit("\n\n## **1장. A**\n\nx\n\n## 1. First\n\n## Plain "), n, F.lit("\n\n## 2부. Part\n\n## It is so:\n\n## 2장. B\n\n"),
+        F.lit("## Title "), n, F.lit("\n\n## Preface\n\n## **1장. A**\n\nx\n\n## 1. First\n\n## Plain "), n, F.lit("\n\n## 2부. Part\n\n## It is so:\n\n## 2장. B\n\n"),
         F.when(F.col("doc_id") % 4 == 0, "# Other\n\n### Third\n\n").otherwise(""), F.lit("## Chapter 3 of\n```\n# code\n```\nend"),
     )
     return p.select("doc_id", M.headings(text).alias("x")).select("doc_id", "x.text", F.col("x.stats")["applied"].cast("long").alias("applied"), F.coalesce(F.col("x.stats")["sections"], F.lit(0)).cast("long").alias("sections"))
@@ -216,7 +216,7 @@ SQL = {
     "strip_tag": "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents",
     "xml_attr": """SELECT page_id, '&lt;&quot;' || replace(replace(replace(replace(url, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;') || '&quot;&gt;' AS value FROM pages""",
     "group_label": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'A (1, 2 포함)' WHEN 1 THEN 'A > 1, 2, 3 외 2개' WHEN 2 THEN '본문' WHEN 3 THEN '본문' WHEN 4 THEN 'A, B' ELSE 'A > 1' END AS label FROM documents",
-    "heading_restore": """SELECT doc_id, CASE WHEN flat THEN '# Title ' || doc_id || x || '# 1장. A' || x || chr(10) || 'x' || x || '### 1. First' || x || chr(10) || '## Plain ' || doc_id || x || chr(10) || '**2부. Part**' || x || chr(10) || '**It is so:**' || x || chr(10) || '# 2장. B' || x || chr(10) || '# Chapter 3 of' || x || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || 'end'
-  ELSE '## Title ' || doc_id || x || '## **1장. A**' || x || 'x' || x || '## 1. First' || x || '## Plain ' || doc_id || x || '## 2부. Part' || x || '## It is so:' || x || '## 2장. B' || x || '# Other' || x || '### Third' || x || '## Chapter 3 of' || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || 'end' END AS text, flat::INT::BIGINT AS applied, flat::INT::BIGINT AS sections FROM (SELECT doc_id, doc_id % 4 <> 0 AS flat, chr(10) || chr(10) AS x FROM documents)""",
+    "heading_restore": """SELECT doc_id, CASE WHEN flat THEN '# Title ' || doc_id || x || chr(10) || '# Preface' || x || chr(10) || '# 1장. A' || x || chr(10) || 'x' || x || '### 1. First' || x || chr(10) || '## Plain ' || doc_id || x || chr(10) || '**2부. Part**' || x || chr(10) || '**It is so:**' || x || chr(10) || '# 2장. B' || x || chr(10) || '# Chapter 3 of' || x || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || 'end'
+  ELSE '## Title ' || doc_id || x || '## Preface' || x || '## **1장. A**' || x || 'x' || x || '## 1. First' || x || '## Plain ' || doc_id || x || '## 2부. Part' || x || '## It is so:' || x || '## 2장. B' || x || '# Other' || x || '### Third' || x || '## Chapter 3 of' || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || 'end' END AS text, flat::INT::BIGINT AS applied, flat::INT::BIGINT AS sections FROM (SELECT doc_id, doc_id % 4 <> 0 AS flat, chr(10) || chr(10) AS x FROM documents)""",
 }
 QUERIES = {name: globals()[name] for name in SQL}
