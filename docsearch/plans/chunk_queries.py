@@ -124,13 +124,13 @@ def caption_flag(spark, sf):
 
 
 def recursive_split(spark, sf):
-    """Chunks of whole texts, for those longer than a parent."""
+    """Chunks of whole texts."""
 
     @F.arrow_udf("array<string>")
     def cut(x: pa.Array) -> pa.Array:
         return pa.array([recursive(v, 3000) for v in x.to_pylist()], pa.list_(pa.string()))
 
-    d = read(spark, sf, "documents").where("n_chars > 3000").select("doc_id", F.posexplode(cut("text")).alias("chunk_no", "text"))
+    d = read(spark, sf, "documents").select("doc_id", F.posexplode(cut("text")).alias("chunk_no", "text"))
     return d.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
 
 

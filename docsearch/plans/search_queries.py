@@ -26,10 +26,10 @@ def vectors(spark, sf):
     return read(spark, sf, "embeddings").select(F.col("vec_id").alias("child_id"), F.col("embedding").alias("vector"), "label")
 
 
-def asked(spark, sf, ids=(0,)):
-    """Queries: the text of a benchmark item (the fixed question for number 0) and the vector of the same number."""
-    b = read(spark, sf, "benchmark").where(F.col("item_id").isin(*ids)).select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") == 0, _QUESTION).otherwise(F.col("text")).alias("text"))
-    v = vectors(spark, sf).where(F.col("child_id").isin(*ids)).select(F.col("child_id").alias("query_id"), "vector")
+def asked(spark, sf, every=False):
+    """Queries: one for each benchmark item with its text and the vector of its number, or number 0 with the fixed question only."""
+    b = read(spark, sf, "benchmark").where(F.lit(every) | (F.col("item_id") == 0)).select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") == 0, _QUESTION).otherwise(F.col("text")).alias("text"))
+    v = vectors(spark, sf).select(F.col("child_id").alias("query_id"), "vector")
     return b.join(v, "query_id")
 
 
@@ -37,13 +37,13 @@ def _round(df, *keep):
     return df.select("query_id", *keep, F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _sparse(spark, sf, ids=(0,), k=20, where=None):
+def _sparse(spark, sf, every=False, k=20, where=None):
     c = children(spark, sf)
-    return R.sparse(asked(spark, sf, ids), R.postings(c, compose=False), R.lengths(c, compose=False), k, where, c, compose=False)
+    return R.sparse(asked(spark, sf, every), R.postings(c, compose=False), R.lengths(c, compose=False), k, where, c, compose=False)
 
 
-def _fused(spark, sf, ids=(0,)):
-    return R.fuse(R.dense(asked(spark, sf, ids), vectors(spark, sf)), _sparse(spark, sf, ids))
+def _fused(spark, sf, every=False):
+    return R.fuse(R.dense(asked(spark, sf, every), vectors(spark, sf)), _sparse(spark, sf, every))
 
 
 def bm25_stats(spark, sf):
@@ -70,7 +70,7 @@ def dense_topk_where(spark, sf):
 
 
 def dense_batch(spark, sf):
-    return _round(R.dense(asked(spark, sf, range(0, 40)), vectors(spark, sf), 3), "child_id")
+    return _round(R.dense(asked(spark, sf, True), vectors(spark, sf), 3), "child_id")
 
 
 def rrf_fuse(spark, sf):
@@ -88,8 +88,8 @@ def rerank_keyword(spark, sf):
     return r.select("query_id", "child_id", "score", F.col("ord").cast("long").alias("ord"), R.retriever_csv(F.col("retrievers")).alias("retrievers"))
 
 
-def _promoted(spark, sf, ids=(0,), **options):
-    return R.promote(_fused(spark, sf, ids), children(spark, sf).select("child_id", "parent_id"), **options)
+def _promoted(spark, sf, every=False, **options):
+    return R.promote(_fused(spark, sf, every), children(spark, sf).select("child_id", "parent_id"), **options)
 
 
 def parent_max(spark, sf):
@@ -111,20 +111,21 @@ def hybrid_e2e(spark, sf):
 
 
 def hybrid_batch(spark, sf):
-    p = _promoted(spark, sf, range(0, 20), top_n=3)
+    p = _promoted(spark, sf, True, top_n=3)
     return p.select("query_id", "parent_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def retrievers_csv(spark, sf):
-    return _fused(spark, sf, range(0, 10)).groupBy("query_id", R.retriever_csv(F.col("retrievers")).alias("retrievers")).agg(F.count("*").alias("hits"))
+    return _fused(spark, sf, True).groupBy("query_id", R.retriever_csv(F.col("retrievers")).alias("retrievers")).agg(F.count("*").alias("hits"))
 
 
 def context_rows(spark, sf):
-    """Ten parents for each language, in order of their number."""
-    d = read(spark, sf, "documents").where("doc_id % 25 = 3")
-    row = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
+    """A question for every ten documents, which are its parents in order of their number."""
+    d = read(spark, sf, "documents")
+    question = F.floor(F.col("doc_id") / 10).cast("long")
+    row = F.row_number().over(Window.partitionBy(question).orderBy("doc_id"))
     tagged = F.concat(F.lit("[문서명: "), "source", F.lit(", 섹션: s]\n"), "text")
-    return d.select(F.col("lang").alias("query_id"), row.alias("rank"), F.col("doc_id").alias("parent_id"), F.concat("source", F.lit('<"&>')).alias("source"), F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("section"), F.when(F.col("doc_id") % 2 == 0, F.lit("3-4")).alias("pages"), F.col("source").alias("source_path"), tagged.alias("content")).where("rank <= 10")
+    return d.select(question.alias("query_id"), row.alias("rank"), F.col("doc_id").alias("parent_id"), F.concat("source", F.lit('<"&>')).alias("source"), F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("section"), F.when(F.col("doc_id") % 2 == 0, F.lit("3-4")).alias("pages"), F.col("source").alias("source_path"), tagged.alias("content"))
 
 
 def context_budget(spark, sf):
@@ -175,14 +176,16 @@ post AS (SELECT child_id, term, count(*) AS tf FROM (SELECT child_id, unnest(ts)
 stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM kids),
 raws AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, stats GROUP BY term),
 weights AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws),
-questions AS (SELECT item_id AS query_id, CASE WHEN item_id = 0 THEN '{_QUESTION}' ELSE text END AS text FROM benchmark WHERE item_id < %d),
+questions AS (SELECT item_id AS query_id, CASE WHEN item_id = 0 THEN '{_QUESTION}' ELSE text END AS text FROM benchmark WHERE %s),
 terms AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS}) AS term FROM questions) GROUP BY ALL),
 scored AS (SELECT query_id, child_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / avgdl))), 9) AS score FROM terms JOIN post USING (term) JOIN weights USING (term) JOIN kids USING (child_id), stats GROUP BY ALL HAVING round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / avgdl))), 9) > 0),
 sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank FROM scored QUALIFY rank <= 20)"""
-_DENSE = """near AS (SELECT q.vec_id AS query_id, v.vec_id AS child_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings v, embeddings q WHERE q.vec_id < %d %s),
+_DENSE = """near AS (SELECT q.vec_id AS query_id, v.vec_id AS child_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings v, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark WHERE %s) %s),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank FROM near QUALIFY rank <= %d)"""
 _FUSED = "fused AS (SELECT query_id, child_id, sum(0.5 / (60 + rank)) AS score, min(rank + shift) AS ord, string_agg(name, ',' ORDER BY name) AS retrievers FROM (SELECT query_id, child_id, rank, 0 AS shift, 'dense' AS name FROM dense UNION ALL SELECT query_id, child_id, rank, 20, 'sparse' FROM sparse) GROUP BY ALL)"
 
+_ONE, _ALL = "item_id = 0", "true"
+
 
 def _hybrid(n):
     return f"WITH {_BM25 % n}, {_DENSE % (n, '', 20)}, {_FUSED}"
@@ -190,32 +193,32 @@ def _hybrid(n):
 
 _PARENTS = "best AS (SELECT query_id, parent_id, max(f.score) AS score, min(ord) FILTER (ord IS NOT NULL) AS o, string_agg(child_id, ',' ORDER BY f.score DESC, ord) AS children, list(retrievers ORDER BY f.score DESC, ord) AS rs, arg_min(ord, (-f.score, ord)) AS first FROM fused f JOIN kids USING (child_id) GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank FROM best)"
 
-_CONTEXT = """WITH RECURSIVE c AS (SELECT lang AS query_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, doc_id AS parent_id, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents WHERE doc_id % 25 = 3 QUALIFY rank <= 10),
+_CONTEXT = """WITH RECURSIVE c AS (SELECT doc_id // 10 AS query_id, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS rank, doc_id AS parent_id, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents),
 f AS (SELECT query_id, 1::BIGINT AS rank, length(body)::BIGINT AS used, 1::BIGINT AS n, 1::BIGINT AS number FROM c WHERE rank = 1
 UNION ALL SELECT c.query_id, c.rank, CASE WHEN used + length(body) <= 9000 THEN used + length(body) ELSE used END, CASE WHEN used + length(body) <= 9000 THEN n + 1 ELSE n END, CASE WHEN used + length(body) <= 9000 THEN n + 1 END FROM f JOIN c ON c.query_id = f.query_id AND c.rank = f.rank + 1)"""
 
 _ANSWERS = f"""a AS (SELECT conv_id, turn, conv_id % 5 AS k, conv_id % 5 = 3 AND turn % 4 = 3 AS none, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'assistant')"""
 
 SQL = {
-    "bm25_stats": f"WITH {_BM25 % 1} SELECT term, df, round(idf, 6) AS idf FROM weights",
-    "bm25_topk": f"WITH {_BM25 % 1} SELECT query_id, child_id, round(score, 6) AS score, rank FROM sparse",
-    "bm25_where": f"WITH {_BM25 % 1} SELECT query_id, child_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, child_id) AS rank FROM scored JOIN kids USING (child_id) WHERE lang = 'en' AND source = 'src1' QUALIFY rank <= 20",
-    "dense_topk": f"WITH {_DENSE % (1, '', 20)} SELECT query_id, child_id, round(score, 6) AS score, rank FROM dense",
-    "dense_topk_where": f"WITH {_DENSE % (1, 'AND v.label = 3', 5)} SELECT query_id, child_id, round(score, 6) AS score, rank FROM dense",
-    "dense_batch": f"WITH {_DENSE % (40, '', 3)} SELECT query_id, child_id, round(score, 6) AS score, rank FROM dense",
-    "rrf_fuse": f"{_hybrid(1)} SELECT query_id, child_id, round(score, 9) AS score, ord, retrievers FROM fused",
-    "rerank_keyword": f"{_hybrid(1)} SELECT query_id, child_id, CASE WHEN contains(text, 'reed') THEN 0.9 ELSE 0.2 END::DOUBLE AS score, row_number() OVER (ORDER BY fused.score DESC, fused.ord) AS ord, retrievers || ',rerank' AS retrievers FROM fused JOIN kids USING (child_id) QUALIFY row_number() OVER (ORDER BY fused.score DESC, fused.ord) <= 10",
-    "parent_max": f"{_hybrid(1)}, {_PARENTS} SELECT query_id, parent_id, round(score, 9) AS score, rank, children, array_to_string(list_distinct_ordered, ',') AS retrievers FROM (SELECT *, list_filter(string_split(array_to_string(rs, ','), ','), lambda x, i: list_position(string_split(array_to_string(rs, ','), ','), x) = i) AS list_distinct_ordered FROM ranked) WHERE rank <= 5",
-    "parent_min_score": f"{_hybrid(1)}, r AS (SELECT parent_id, query_id, CASE WHEN contains(text, 'reed') THEN 0.9 ELSE 0.2 END::DOUBLE AS score, row_number() OVER (ORDER BY fused.score DESC, fused.ord) AS ord FROM fused JOIN kids USING (child_id) QUALIFY row_number() OVER (ORDER BY fused.score DESC, fused.ord) <= 40), b AS (SELECT query_id, parent_id, max(score) AS score, arg_min(ord, (-score, ord)) AS first FROM r GROUP BY ALL) SELECT query_id, parent_id, score, row_number() OVER (ORDER BY score DESC, first) AS rank FROM b QUALIFY rank <= 8 AND score >= 0.5",
-    "hybrid_e2e": f"{_hybrid(1)}, {_PARENTS}, bodies AS (SELECT parent_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY child_id)) AS content_md5 FROM kids GROUP BY ALL) SELECT query_id, parent_id, round(score, 9) AS score, rank, content_md5 FROM ranked JOIN bodies USING (parent_id) WHERE rank <= 5",
-    "hybrid_batch": f"{_hybrid(20)}, {_PARENTS} SELECT query_id, parent_id, round(score, 9) AS score, rank FROM ranked WHERE rank <= 3",
-    "retrievers_csv": f"{_hybrid(10)} SELECT query_id, retrievers, count(*) AS hits FROM fused GROUP BY ALL",
+    "bm25_stats": f"WITH {_BM25 % _ONE} SELECT term, df, round(idf, 6) AS idf FROM weights",
+    "bm25_topk": f"WITH {_BM25 % _ONE} SELECT query_id, child_id, round(score, 6) AS score, rank FROM sparse",
+    "bm25_where": f"WITH {_BM25 % _ONE} SELECT query_id, child_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, child_id) AS rank FROM scored JOIN kids USING (child_id) WHERE lang = 'en' AND source = 'src1' QUALIFY rank <= 20",
+    "dense_topk": f"WITH {_DENSE % (_ONE, '', 20)} SELECT query_id, child_id, round(score, 6) AS score, rank FROM dense",
+    "dense_topk_where": f"WITH {_DENSE % (_ONE, 'AND v.label = 3', 5)} SELECT query_id, child_id, round(score, 6) AS score, rank FROM dense",
+    "dense_batch": f"WITH {_DENSE % (_ALL, '', 3)} SELECT query_id, child_id, round(score, 6) AS score, rank FROM dense",
+    "rrf_fuse": f"{_hybrid(_ONE)} SELECT query_id, child_id, round(score, 9) AS score, ord, retrievers FROM fused",
+    "rerank_keyword": f"{_hybrid(_ONE)} SELECT query_id, child_id, CASE WHEN contains(text, 'reed') THEN 0.9 ELSE 0.2 END::DOUBLE AS score, row_number() OVER (ORDER BY fused.score DESC, fused.ord) AS ord, retrievers || ',rerank' AS retrievers FROM fused JOIN kids USING (child_id) QUALIFY row_number() OVER (ORDER BY fused.score DESC, fused.ord) <= 10",
+    "parent_max": f"{_hybrid(_ONE)}, {_PARENTS} SELECT query_id, parent_id, round(score, 9) AS score, rank, children, array_to_string(list_distinct_ordered, ',') AS retrievers FROM (SELECT *, list_filter(string_split(array_to_string(rs, ','), ','), lambda x, i: list_position(string_split(array_to_string(rs, ','), ','), x) = i) AS list_distinct_ordered FROM ranked) WHERE rank <= 5",
+    "parent_min_score": f"{_hybrid(_ONE)}, r AS (SELECT parent_id, query_id, CASE WHEN contains(text, 'reed') THEN 0.9 ELSE 0.2 END::DOUBLE AS score, row_number() OVER (ORDER BY fused.score DESC, fused.ord) AS ord FROM fused JOIN kids USING (child_id) QUALIFY row_number() OVER (ORDER BY fused.score DESC, fused.ord) <= 40), b AS (SELECT query_id, parent_id, max(score) AS score, arg_min(ord, (-score, ord)) AS first FROM r GROUP BY ALL) SELECT query_id, parent_id, score, row_number() OVER (ORDER BY score DESC, first) AS rank FROM b QUALIFY rank <= 8 AND score >= 0.5",
+    "hybrid_e2e": f"{_hybrid(_ONE)}, {_PARENTS}, bodies AS (SELECT parent_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY child_id)) AS content_md5 FROM kids GROUP BY ALL) SELECT query_id, parent_id, round(score, 9) AS score, rank, content_md5 FROM ranked JOIN bodies USING (parent_id) WHERE rank <= 5",
+    "hybrid_batch": f"{_hybrid(_ALL)}, {_PARENTS} SELECT query_id, parent_id, round(score, 9) AS score, rank FROM ranked WHERE rank <= 3",
+    "retrievers_csv": f"{_hybrid(_ALL)} SELECT query_id, retrievers, count(*) AS hits FROM fused GROUP BY ALL",
     "context_budget": f"{_CONTEXT} SELECT query_id, number, parent_id FROM f JOIN c USING (query_id, rank) WHERE number IS NOT NULL",
     "context_xml": f"""{_CONTEXT} SELECT query_id, '<documents>' || chr(10) || string_agg('<document index="' || number || '" source="' || source || '&lt;&quot;&amp;&gt;" section="S' || parent_id || '"' || CASE parent_id % 2 WHEN 0 THEN ' pages="3-4"' ELSE '' END || '>' || chr(10) || body || chr(10) || '</document>', chr(10) ORDER BY rank) FILTER (number IS NOT NULL) || chr(10) || '</documents>' AS xml, count(*) FILTER (number IS NULL) AS left_out FROM f JOIN c USING (query_id, rank) GROUP BY query_id""",
     "user_message": "SELECT item_id, '<documents>' || chr(10) || item_id || chr(10) || '</documents>' || chr(10) || chr(10) || '질문: ' || text AS message FROM benchmark",
     "citation_validate": f"WITH {_ANSWERS} SELECT conv_id, turn, CASE WHEN none THEN '{A.NO_ANSWER}' ELSE t || CASE k WHEN 0 THEN ' a [1] b.' WHEN 1 THEN ' x [2] y [3][1] z.' WHEN 2 THEN ' [3][3][1]' WHEN 3 THEN '' ELSE '.' END END AS text, CASE k WHEN 0 THEN '1' WHEN 1 THEN '2,3,1' WHEN 2 THEN '3,1' ELSE '' END AS valid, CASE k WHEN 0 THEN '9' WHEN 1 THEN '9,2024' WHEN 4 THEN '7,8' ELSE '' END AS invalid FROM a",
     "grounded_flags": f"WITH {_ANSWERS} SELECT conv_id, turn, k IN (0, 1, 2) AS grounded, k IN (3, 4) AND NOT none AS uncited, CASE k WHEN 0 THEN '1' WHEN 1 THEN '1,2,3' WHEN 2 THEN '1,3' ELSE '' END AS citations FROM a",
     "citation_format": "SELECT doc_id, '[' || (doc_id % 7 + 1) || '] ' || source || CASE WHEN doc_id % 3 > 0 THEN ' | ' || lang ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' | p.1-2' ELSE '' END AS label FROM documents",
-    "tag_bodies": "SELECT doc_id AS parent_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents WHERE doc_id % 25 = 3) WHERE r <= 10",
+    "tag_bodies": "SELECT doc_id AS parent_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS chars FROM documents",
 }
 QUERIES = {name: globals()[name] for name in SQL}

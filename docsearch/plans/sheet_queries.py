@@ -120,11 +120,11 @@ def sheet_modes(spark, sf):
 
 
 def cell_to_str(spark, sf):
-    li = read(spark, sf, "lineitem").where("l_linenumber = 1")
+    li = read(spark, sf, "lineitem")
     k = F.col("l_orderkey") % 5
     kind = F.when(k == 0, "number").when(k == 1, "number").when(k == 2, "datetime").when(k == 3, "bool").otherwise("string")
     text = sheets.cell_text(kind, F.concat(F.lit(" a \t"), "l_returnflag", F.lit("\n b ")), F.when(k == 0, F.col("l_quantity")).when(k == 1, F.col("l_discount")).otherwise(F.col("l_orderkey") % 2), F.col("l_shipdate").cast("timestamp"), F.when(k == 1, "0.00%").otherwise("General"))
-    return li.groupBy("l_orderkey").agg(F.min(text).alias("cell"))
+    return li.groupBy("l_orderkey", "l_linenumber").agg(F.min(text).alias("cell"))
 
 
 def pdf_pages(spark, sf):
@@ -178,7 +178,7 @@ SQL = {
     UNION ALL SELECT 4, 2, '[행2] 구분: 구분, 가격: 단가, 가격_2: 합계')
   SELECT 'book' AS doc, n_regionkey::VARCHAR AS sheet, string_agg(x, chr(10) || chr(10) ORDER BY row) AS text FROM l GROUP BY n_regionkey""",
     "excel_markdown_table": """SELECT 'book' AS doc, n_regionkey::VARCHAR AS sheet, '| 구분 | 가격 | 가격_2 |' || chr(10) || '|---|---|---|' || chr(10) || '| 구분 | 단가 | 합계 |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' | ' || CASE n_nationkey % 2 WHEN 0 THEN 'x' ELSE '' END || ' |', chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey""",
-    "cell_to_str": """SELECT l_orderkey, min(CASE l_orderkey % 5 WHEN 0 THEN l_quantity::BIGINT::VARCHAR WHEN 1 THEN round(l_discount * 100)::BIGINT || '%' WHEN 2 THEN CASE WHEN l_shipdate::TIME = TIME '00:00:00' THEN strftime(l_shipdate, '%Y-%m-%d') ELSE strftime(l_shipdate, '%Y-%m-%d %H:%M') END WHEN 3 THEN CASE l_orderkey % 2 WHEN 0 THEN 'FALSE' ELSE 'TRUE' END ELSE 'a ' || l_returnflag || ' b' END) AS cell FROM lineitem WHERE l_linenumber = 1 GROUP BY 1""",
+    "cell_to_str": """SELECT l_orderkey, l_linenumber, min(CASE l_orderkey % 5 WHEN 0 THEN l_quantity::BIGINT::VARCHAR WHEN 1 THEN round(l_discount * 100)::BIGINT || '%' WHEN 2 THEN CASE WHEN l_shipdate::TIME = TIME '00:00:00' THEN strftime(l_shipdate, '%Y-%m-%d') ELSE strftime(l_shipdate, '%Y-%m-%d %H:%M') END WHEN 3 THEN CASE l_orderkey % 2 WHEN 0 THEN 'FALSE' ELSE 'TRUE' END ELSE 'a ' || l_returnflag || ' b' END) AS cell FROM lineitem GROUP BY ALL""",
     "pdf_preflight": """WITH p AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
   q AS (SELECT *, count(*) OVER (PARTITION BY doc) AS n FROM p), s AS (SELECT *, greatest(n // 10, 1) AS step FROM q)
   SELECT doc, n AS page_count, sum((k % step = 0 AND k / step < 10)::INT)::BIGINT AS sampled_pages, sum(CASE WHEN k % step = 0 AND k / step < 10 THEN length(trim(t)) ELSE 0 END)::BIGINT AS sampled_chars, sum(length(trim(t)))::BIGINT AS raw_chars,
