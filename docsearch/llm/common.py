@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that a Python operator gets at once; texts are long, so fewer than Spark's default.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 #: A side is broadcast up to so many rows of a few longs each (counted, not estimated); beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
 

@@ -66,12 +66,13 @@ def features(column: pa.Array):
 def _descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hinge loss with an L2 penalty, by dual coordinate descent; rows are unit vectors of r at the given numbers."""
     w, a = np.zeros(len(r)), np.zeros(len(y))
-    xs = [(x, v / max(np.sqrt(v @ v), 1e-9)) for x in rows for v in (r[x],)]
+    norm = [max(float(np.sqrt(r[x] @ r[x])), 1e-9) for x in rows]
     rng, live = np.random.default_rng(seed), np.arange(len(y))
     for _ in range(EPOCHS):
         moved = 0.0
         for i in rng.permutation(live):
-            x, v = xs[i]
+            x = rows[i]
+            v = r[x] / norm[i]
             g = y[i] * (w[x] @ v) - 1
             new = min(max(a[i] - g, 0.0), cost[i])  # the rows' squared length is 1
             if new != a[i]:
@@ -84,7 +85,9 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: np.ndar
 
 
 def _ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    p, q = (ALPHA + np.bincount(np.concatenate([x for x, c in zip(rows, y, strict=True) if c == s]), minlength=1 << BITS) for s in (1, -1))
+    p, q = np.full(1 << BITS, ALPHA), np.full(1 << BITS, ALPHA)
+    for x, c in zip(rows, y, strict=True):  # numbers are distinct within a row
+        (p if c > 0 else q)[x] += 1
     r = np.log(p / p.sum()) - np.log(q / q.sum())
     r[0] = 1.0  # the constant
     return r
@@ -108,12 +111,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> dict:
     prior = (n1 + 1) / (n1 + n0 + 2)
     if min(n1, n0) < 4:
         return {"r": np.ones(1 << BITS), "w": np.zeros(1 << BITS), "a": 0.0, "b": float(np.log(prior / (1 - prior)))}
-    flat = lambda part: (np.repeat(np.arange(len(part)), [len(rows[i]) for i in part]), np.concatenate([rows[i] for i in part]), len(part))
     order = np.concatenate([np.flatnonzero(y > 0), np.flatnonzero(y < 0)])
     margin = np.empty(len(y))
     for k in (0, 1):
         inn, out = order[k::2], order[1 - k :: 2]
-        margin[out] = _margin(*flat(out), *_model([rows[i] for i in inn], y[inn]))
+        r, w = _model([rows[i] for i in inn], y[inn])
+        margin[out] = [(r[x] @ w[x]) / np.sqrt(r[x] @ r[x]) for x in (rows[i] for i in out)]
     # Platt's logistic fit with his smoothed targets
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     scale = margin.std() or 1.0
@@ -149,8 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     picked = docs.sparkSession.createDataFrame(sample.toPandas(), "doc_id long, quality int")  # fit_rows rows at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
     got = rows.select("doc_id", "text", F.col("quality").cast("int").alias("y")).mapInArrow(_extract, "doc_id long, keys array<int>, y int")
-    got = got.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return fit([np.asarray(x, np.int64) for x in got["keys"]], np.where(got["y"].to_numpy() == 1, 1, -1))
+    got = got.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    keys = got["keys"].combine_chunks()
+    flat, at = keys.flatten().to_numpy(), np.concatenate([[0], np.cumsum(keys.value_lengths())])
+    return fit([flat[a:b] for a, b in zip(at, at[1:])], np.where(got["y"].to_numpy() == 1, 1, -1))  # noqa: B905
 
 
 def _scores(column: pa.Array, m: dict) -> np.ndarray:
