@@ -11,7 +11,7 @@ window after the first begins with the conversation's leading system turn and as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -35,13 +35,21 @@ def _unescape_role(x: Column) -> Column:
     return unescape(F.replace(x, F.lit("\\l"), F.lit("\n")))
 
 
-def turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turns array<struct<role, text>>): rows by turn, then role and text; null roles and texts are empty.
+def turns(conversations: DataFrame, history: int = HISTORY) -> DataFrame:
+    """(conv_id, turns array<struct<i, role, head, body, before, upto, back>>) in order of turn, then role and text.
 
-    A conversation is one value, as its digest is; it is the only thing gathered.
+    ``before`` and ``upto`` are the prefix sums of costs, ``back`` is the first turn of the history before this one.  Null roles
+    and texts are empty.  A conversation is one value, as its digest is; it is the only thing gathered.
     """
-    row = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), row.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), escape(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("body"))
+    rows = rows.withColumn("cost", F.floor(F.octet_length("body") / 4) + 5)
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
+    rows = rows.withColumn("i", F.row_number().over(w) - 1).withColumn("upto", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("before", F.col("upto") - F.col("cost"))
+    # costs are positive, so the sums order the turns, and a range of sums is a stretch of turns
+    rows = rows.withColumn("back", F.min("i").over(Window.partitionBy("conv_id").orderBy("before").rangeBetween(-history, 0)))
+    head = F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n")).alias("head")
+    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "role", head, "body", "before", "upto", "back"))).alias("turns"))
 
 
 def formatted(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -51,30 +59,27 @@ def formatted(conversations: DataFrame, budget: int = BUDGET, history: int = HIS
     conversations: (conv_id, turn, role, text); other columns are ignored, a null conv_id is a conversation too, repeated
     rows are repeated turns, an empty table gives an empty result.
     """
-    c = turns(conversations).select(
-        "conv_id",
-        F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"))).alias("turns"),
-    )
-    c = c.withColumn("cost", F.transform("turns", lambda t: (F.octet_length(t["body"]) / 4).cast("long") + 5))
-    # prefix sums: before[i] is the cost of the turns before i (from 0)
-    c = c.withColumn("before", F.transform(F.sequence(F.lit(0), F.size("cost")), lambda i: F.aggregate(F.slice("cost", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x)))
-    c = c.withColumn("system", F.when(F.element_at("turns", 1)["role"] == "system", F.element_at("cost", 1)).otherwise(F.lit(0).cast("long")))
-    # history[i]: the first turn repeated before a window that starts at turn i, never the system turn
-    first = F.when(F.col("system") > 0, 1).otherwise(0)
-    c = c.withColumn("from", F.transform(F.sequence(F.lit(0), F.size("cost") - 1), lambda i: F.least(i, F.greatest(first, F.size(F.filter("before", lambda b: F.get("before", i) - b > history))))))
-    # the starts of windows: a turn opens a new one if it would not fit
-    state = F.struct(F.lit(0).alias("start"), F.lit(0).cast("long").alias("extra"), F.array(F.lit(0)).alias("starts"))
-
-    def step(s, i):
-        over = (i > s["start"]) & (F.get("before", i + 1) - F.get("before", s["start"]) + s["extra"] > budget)
-        extra = F.col("system") + F.get("before", i) - F.get("before", F.get("from", i))
-        return F.when(over, F.struct(i.alias("start"), extra.alias("extra"), F.concat(s["starts"], F.array(i)).alias("starts"))).otherwise(s)
-
-    c = c.withColumn("starts", F.aggregate(F.sequence(F.lit(0), F.size("cost") - 1), state, step, lambda s: s["starts"]))
-    w = c.select("conv_id", "turns", "system", "from", "starts", F.posexplode("starts").alias("window", "start"))
-    stop = F.coalesce(F.get("starts", F.col("window") + 1), F.size("turns"))
+    c = turns(conversations, history)
+    has_system = F.element_at("turns", 1)["role"] == "system"
+    c = c.withColumn("system", F.when(has_system, F.element_at("turns", 1)["upto"]).otherwise(F.lit(0).cast("long")))
+    # a fold over the turns: the sum before the window's first turn, what the window repeats, and the starts so far
+    state = F.struct(F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("extra"), F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("back"))).alias("starts"))
+
+    def step(s, t):
+        over = (t["before"] > s["base"]) & (t["upto"] - s["base"] + s["extra"] > budget)
+        # the system turn comes by itself, never as history
+        back = F.when(F.col("system") > 0, F.greatest(t["back"], F.lit(1))).otherwise(t["back"])
+        # a history that leaves no room for the turn is left out
+        back = F.when(F.col("system") + t["upto"] - F.get("turns", back)["before"] > budget, t["i"]).otherwise(back)
+        extra = F.col("system") + t["before"] - F.get("turns", back)["before"]
+        return F.when(over, F.struct(t["before"].alias("base"), extra.alias("extra"), F.concat(s["starts"], F.array(F.struct(t["i"].alias("start"), back.alias("back")))).alias("starts"))).otherwise(s)
+
+    c = c.withColumn("starts", F.aggregate("turns", state, step, lambda s: s["starts"]))
+    # outer: starts is never empty, and the filter that Spark would infer evaluates the fold once more
+    w = c.select("conv_id", "turns", "system", "starts", F.posexplode_outer("starts").alias("window", "s")).withColumn("start", F.col("s.start"))
+    stop = F.coalesce(F.get("starts", F.col("window") + 1)["start"], F.size("turns"))
     head = F.when((F.col("window") > 0) & (F.col("system") > 0), F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
-    begin = F.when(F.col("window") > 0, F.get("from", F.col("start"))).otherwise(F.col("start"))
+    begin = F.when(F.col("window") > 0, F.col("s.back")).otherwise(F.col("start"))
     w = w.select("conv_id", "window", F.concat(head, F.slice("turns", begin + 1, stop - begin)).alias("turns"), (F.size(head) + F.col("start") - begin).alias("n_repeated"))
     tail = F.lit(END + "\n")
     place = F.struct(F.lit(1).cast("long").alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("loss"))
