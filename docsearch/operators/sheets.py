@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsearch.functions.text import build_table, squeeze
+from docsearch.staging import stage
 
 KEY = ["doc", "sheet"]
 
@@ -52,14 +53,14 @@ def fill_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def trim_empty(cells: DataFrame) -> DataFrame:
-    """Cells without the empty rows and columns of their sheet, numbered anew; ``row`` keeps the sheet's own row number (from 1)."""
+    """Cells without the empty rows and columns of their sheet, numbered anew; ``row`` keeps the sheet's own row number (from 1), ``column`` its column (from 0)."""
     full = cells.where("v <> ''")
     rows, cols = full.select(*KEY, "r").distinct(), full.select(*KEY, "c").distinct()
     rows = rows.withColumn("nr", F.row_number().over(Window.partitionBy(*KEY).orderBy("r")) - 1)
     cols = cols.withColumn("nc", F.row_number().over(Window.partitionBy(*KEY).orderBy("c")) - 1)
     grid = rows.join(cols, KEY)
     out = grid.join(cells, [*KEY, "r", "c"], "left")
-    return out.select(*KEY, F.col("nr").alias("r"), F.col("nc").alias("c"), F.coalesce("v", F.lit("")).alias("v"), (F.col("r") + 1).alias("row"))
+    return out.select(*KEY, F.col("nr").alias("r"), F.col("nc").alias("c"), F.coalesce("v", F.lit("")).alias("v"), (F.col("r") + 1).alias("row"), F.col("c").alias("column"))
 
 
 def title_rows(cells: DataFrame, most: int = 3) -> DataFrame:
@@ -112,19 +113,19 @@ def sheet_markdown(cells: DataFrame, merges: DataFrame, force_narrative: bool =
     """(doc, sheet, mode, text) of each sheet with values: a table where it is simple, else one sentence for each row.
 
     Title rows become paragraphs before it; merges that reach into the body, several header rows or the setting
-    make it narrative; a sheet of headers only is their list.  Three intermediate tables are persisted.
+    make it narrative; a sheet of headers only is their list.  Intermediate tables are staged.
     """
-    grid = trim_empty(fill_merges(cells, merges)).persist()  # read by all that follows; spills to disk
+    grid = stage(trim_empty(fill_merges(cells, merges)))
     rows = grid.select(*KEY, "r", (F.col("row") - 1).alias("old")).distinct()
-    cols = trim_columns(cells, merges)
-    kept = _moved(merges, rows, cols)
+    cols = grid.select(*KEY, F.col("column").alias("old"), "c").distinct()
+    kept = stage(_moved(merges, rows, cols))
     titles = title_rows(grid)
     body = grid.join(titles, KEY)
     lead = body.where("r < titles and v <> ''").groupBy(*KEY, "r").agg(F.first("v").alias("v")).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("r", "v"))).getField("v").alias("lead"))
-    body = body.where("r >= titles").select(*KEY, (F.col("r") - F.col("titles")).alias("r"), "c", "v", "row")
+    body = stage(body.where("r >= titles").select(*KEY, (F.col("r") - F.col("titles")).alias("r"), "c", "v", "row"))
     kept = kept.join(titles, KEY).select(*KEY, *((F.col(x) - F.col("titles") if x[0] == "r" else F.col(x)).alias(x) for x in ("r1", "c1", "r2", "c2"))).where("r2 >= 0")
-    headers = header_rows(body, kept, most_headers).persist()
-    names = flatten_headers(body, headers).persist()
+    headers = stage(header_rows(body, kept, most_headers))
+    names = stage(flatten_headers(body, headers))
     reach = kept.join(headers, KEY).groupBy(*KEY).agg(F.max(F.col("r2") - F.col("headers")).alias("reach"))
     shape = body.groupBy(*KEY).agg((F.max("r") + 1).alias("n")).join(headers, KEY).join(reach, KEY, "left")
     only = names.groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list(F.struct("c", "name"))).getField("name"), ", ").alias("only"))
@@ -135,12 +136,6 @@ def sheet_markdown(cells: DataFrame, merges: DataFrame, force_narrative: bool =
     return out.select(*KEY, F.when(told, "narrative").otherwise("markdown_table").alias("mode"), F.array_join(F.filter(parts, lambda x: x != ""), "\n\n").alias("text"))
 
 
-def trim_columns(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """(doc, sheet, old, c): the new number of each column that stays."""
-    full = fill_merges(cells, merges).where("v <> ''").select(*KEY, F.col("c").alias("old")).distinct()
-    return full.withColumn("c", F.row_number().over(Window.partitionBy(*KEY).orderBy("old")) - 1)
-
-
 def _moved(merges: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
     """Merged ranges in the numbers of the trimmed grid."""
     m = merges.withColumn("id", F.monotonically_increasing_id())

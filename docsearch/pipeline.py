@@ -25,6 +25,7 @@ from docsearch.operators import search, sync
 from docsearch.operators.chunking import CHUNK_SCHEMA, chunk
 from docsearch.sources.files import scan
 from docsearch.sources.parse import parse
+from docsearch.staging import stage
 
 Embedder = Callable[[list[str]], list[list[float]]]
 _HITS = "query_id int, child_id string, score double, rank int"
@@ -91,9 +92,9 @@ class Pipeline:
             raise ConfigError("not a folder", folder)
         old = {k: self.index.table(k) for k in ("parents", "children", "vectors", "postings", "lengths", "manifest")}
         manifest = old["manifest"] if old["manifest"] is not None else self.spark.createDataFrame([], "path string, file_hash string, doc_id string, parent_ids array<string>, child_ids array<string>, indexed_at timestamp")
-        listed = sync.diff(scan(self.spark, str(root)), manifest).cache()
+        listed = stage(sync.diff(scan(self.spark, str(root)), manifest))
         docs, failures = parse(listed.where("status <> 'unchanged'"), self.config.parser)
-        chunks = chunk(docs, self.config.chunker).cache()
+        chunks = stage(chunk(docs, self.config.chunker))
         failures = failures.unionByName(chunks.where("level = 'failure'").select("source_path", "error_type", F.lit("no chunks").alias("reason")))
         gone = sync.removed(listed, manifest, str(root))
         # names and counts are the report of one folder; contents stay where they are
@@ -105,8 +106,6 @@ class Pipeline:
         )
         if report.indexed or report.removed or old["manifest"] is None:
             self._publish(old, chunks, listed, manifest, gone)
-        chunks.unpersist()
-        listed.unpersist()
         return report
 
     def _publish(self, old: dict, chunks: DataFrame, listed: DataFrame, manifest: DataFrame, gone: DataFrame) -> None:

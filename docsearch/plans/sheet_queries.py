@@ -71,7 +71,7 @@ def merge_fill(spark, sf):
 
 
 def trim_empty(spark, sf):
-    return sheets.trim_empty(grid(spark, sf)).withColumn("row", F.col("row").cast("int"))
+    return sheets.trim_empty(grid(spark, sf)).withColumn("row", F.col("row").cast("int")).drop("column")
 
 
 def title_rows(spark, sf):

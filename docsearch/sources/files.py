@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,9 +72,13 @@ def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
 
     Spark's listing leaves out names that start with a dot or an underscore.  Without content, no file is opened.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = files.select(nfc(plain_path(F.col("path"))).alias("path"), "length", F.col("modificationTime").alias("modified"), *(["content"] if content else []))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = found.select(nfc(plain_path(F.col("path"))).alias("path"), "length", F.col("modificationTime").alias("modified"), *(["content"] if content else []))
+    # empty files are in Spark's listing but never in what it reads
+    listed = spark.createDataFrame([(unquote(x),) for x in found.inputFiles()], "path string").select(nfc(plain_path(F.col("path"))).alias("path"))
+    empty = listed.join(files.select("path"), "path", "left_anti")
+    files = files.unionByName(empty.withColumn("length", F.lit(0).cast("long")), allowMissingColumns=True)
     files = files.where(is_supported(F.col("path")) & ~hidden_below(F.col("path"), root.removeprefix("file://")))
     if content:
-        files = files.withColumn("file_hash", content_hash(F.col("content")))
+        files = files.withColumn("file_hash", content_hash(F.coalesce("content", F.unhex(F.lit("")))))
     return files.withColumn("doc_id", document_id(F.col("path"))).withColumn("file_type", F.substring(suffix(F.col("path")), 2, 10))

@@ -18,6 +18,7 @@ from docsearch.operators import sheets
 from docsearch.sources import ooxml
 from docsearch.sources.files import name_of, route, validation_error
 from docsearch.sources.pdf import read_pdf
+from docsearch.staging import stage
 
 _READ = "path string, markdown string, parser_used string, metadata string, warnings array<string>, error_type string, reason string"
 _CELL = "sheet:string,r:int,c:int,kind:string,text:string,number:double,moment:timestamp_ntz,format:string"
@@ -78,14 +79,14 @@ def _books(files: DataFrame) -> DataFrame:
 
 
 def _workbooks(files: DataFrame, config: ParserConfig) -> DataFrame:
-    books = _books(files).withColumnRenamed("path", "doc")
+    books = stage(_books(files).withColumnRenamed("path", "doc"))
     shown = books.select("doc", F.explode("sheets").alias("s")).select("doc", "s.*")
     if not config.excel_include_hidden_sheets:
         shown = shown.where("not hidden")
     cells = books.select("doc", F.explode("cells").alias("x")).select("doc", "x.*")
     cells = cells.select("doc", "sheet", "r", "c", sheets.cell_text(F.col("kind"), F.col("text"), F.col("number"), F.col("moment"), F.col("format")).alias("v"))
     merges = books.select("doc", F.explode("merges").alias("x")).select("doc", "x.*")
-    drawn = sheets.sheet_markdown(cells, merges, config.excel_force_narrative, config.excel_max_header_rows).join(shown, ["doc", "sheet"])
+    drawn = stage(sheets.sheet_markdown(cells, merges, config.excel_force_narrative, config.excel_max_header_rows).join(shown, ["doc", "sheet"]))
     text = sheets.workbook_markdown(drawn).join(drawn.groupBy("doc").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("sheet", "mode")))).alias("modes")), "doc")
     skipped = books.select("doc", F.explode("sheets").alias("s")).select("doc", "s.*").join(drawn.select("doc", "sheet", F.lit(True).alias("used")), ["doc", "sheet"], "left").where("used is null")
     notes = skipped.groupBy("doc").agg(F.sort_array(F.collect_list(F.concat(F.when(F.col("hidden"), "hidden sheet skipped: ").otherwise("empty sheet skipped: "), "sheet"))).alias("warnings"))
