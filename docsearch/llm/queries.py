@@ -53,7 +53,7 @@ def op8_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repetition(table(spark, sf_dir, "documents"))
+    return repeats.repetition(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +80,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-#: DuckDB SQL for what SQL can express.
-SQL: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array(coalesce(%s, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: DuckDB SQL for what SQL can express: plain versions, quadratic where the operators are not.
+SQL: dict[str, str] = {
+    "op2_warc_salvage": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT page_id, octet_length(b) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h || '0', (5 * i) // 4 + 1, 2))::INT >> (3 - (5 * i) % 4)) & 31) + 1, 1)), '') AS payload_digest, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last OR page_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM q""",
+    "op9_suffix_repetition": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS % "text"} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, (VALUES (3), ({repeats.MIN_REPEAT}), ({repeats.LONGEST + 1})) AS n(k) WHERE len(w) >= k),
+r AS (SELECT doc_id, k, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k, array_to_string(w[i:i + k - 1], ' ')) > 1),
+c AS (SELECT doc_id, k, count(DISTINCT p) AS n FROM (SELECT doc_id, k, unnest(range(i, i + k)) AS p FROM r) GROUP BY ALL),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+coalesce(sum(n) FILTER (k = 3), 0)::BIGINT AS n_repeat_words, coalesce(sum(n) FILTER (k = {repeats.MIN_REPEAT}), 0) AS covered, coalesce(sum(n) FILTER (k = {repeats.LONGEST + 1}), 0) AS long FROM d LEFT JOIN c USING (doc_id) GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {repeats.MIN_WORDS} OR 100 * n_repeat_words > {repeats.MOST_REPEATED} * n_words AS base_failed,
+NOT (n_words < {repeats.MIN_WORDS} OR 100 * n_repeat_words > {repeats.MOST_REPEATED} * n_words) AND covered <= {repeats.MOST_COVERED} * n_words AND long = 0 AS kept FROM m""",
+    "op10_signature_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS % _LOWERED} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+u AS (SELECT doc_id, unnest(g) AS x, len(g) AS n FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c AS component_id, c = s.doc_id AS kept FROM s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = s.doc_id""",
+}

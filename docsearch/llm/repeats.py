@@ -4,7 +4,7 @@ Per text, a suffix array over its words is built by prefix doubling (only groups
 again), the longest common prefixes of neighbours come from the kept ranks.  Runs of neighbours with a common
 prefix of at least ``MIN_REPEAT`` words are the LCP intervals; each suffix in one starts a maximal repeat as long as the
 larger of its two common prefixes.  The union of these spans is the covered part.  Many texts share one array
-of about a megabyte: a word's first rank holds its row too, so that no repeat crosses texts.
+of a piece: a word's first rank holds its row too, so that no repeat crosses texts.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsearch.llm import textkit
-from docsearch.llm.common import arrow_batches
+from docsearch.llm.common import arrow_batches, tidy
 
 #: A repeat counts from so many words; more than this share of the words covered, or one repeat longer than that, rejects.
 MIN_REPEAT, MOST_COVERED, LONGEST = 8, 0.40, 100
@@ -125,8 +125,8 @@ def _measure(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> list[np.nd
     # lines with a word: from the border or newline before a word to the next
     cut = np.unique(np.concatenate([at[:-1], np.flatnonzero(b == 10) + 1]))
     cut = cut[cut < len(b)]
-    stop = np.append(cut[1:], len(b))
-    stop = stop - (b[stop - 1] == 10) if len(stop) else stop
+    stop = np.append(cut[1:], len(b))[: len(cut)]
+    stop = stop - (b[stop - 1] == 10)
     seen = np.concatenate([[0], np.cumsum(~blank)])
     has = seen[stop] > seen[cut]
     cut, stop = cut[has], stop[has]
@@ -169,7 +169,7 @@ def repetition(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most
     ``MIN_REPEAT`` words or more, and no repeat has more than ``longest`` words.
     """
     arrow_batches(docs.sparkSession)
-    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_run, SCHEMA)
+    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(_run), SCHEMA)
     failed, kept = _verdict(*(F.col(c) for c in ("n_words", "n_repeat_words", "covered_words", "longest_repeat")), most_covered, longest)
     return out.withColumn("base_failed", failed).withColumn("kept", kept)
 
@@ -184,4 +184,4 @@ def accepted(docs: DataFrame, text: str = "text", most_covered: float = MOST_COV
             m = _columns(batch.column(at))
             yield batch.filter(pa.array(_verdict(m[0], m[4], m[5], m[6], most_covered, longest)[1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsearch.llm.common import arrow_batches, remove, shared_folder, small
+from docsearch.llm.common import arrow_batches, remove, shared_folder, small, tidy
 
 #: A file is closed after so many records; a task reads one file at once.
 FILE_RECORDS = 2000
@@ -74,8 +74,12 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise Bad("the header has no end")
+    try:
+        head = data[at:end].decode()
+    except UnicodeDecodeError as e:
+        raise Bad("a header that is not text") from e
     fields = {}
-    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in head.split("\r\n")[1:]:
         key, colon, value = line.partition(":")
         if not colon:
             raise Bad("a header line without a colon")
@@ -159,7 +163,7 @@ def write(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None
             out = [member(record(*x))[:-1] for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    (rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", file_records).text(path))
+    (rows.mapInArrow(tidy(run), "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", file_records).text(path))
 
 
 _SCHEMA = "file string, start long, end long, gap string, fields map<string,string>, payload_bytes long, payload_digest string, block binary"
@@ -199,7 +203,7 @@ def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
                     yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, _SCHEMA)
+    return files.select("path", "content").mapInArrow(tidy(run), _SCHEMA)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
