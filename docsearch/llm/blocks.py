@@ -19,7 +19,7 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def squeeze(x: bytes) -> bytes:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsearch.llm.blocks import blocks, pack, pack_words, ragged, record, unpack, unpack_words
-from docsearch.llm.common import arrow_batches
+from docsearch.llm.common import arrow_batches, give_back, tidy
 
 
 @lru_cache(4)
@@ -74,6 +74,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
             yield record(["part", "block", "at", "words"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows)
 
     def encode_part(t: pa.Table) -> pa.Table:
+        give_back()  # what the part before has left
         encoder, seen, rows = _encoder(held), {}, []
         for block, at, ws in zip(t["block"].to_pylist(), t["at"].to_pylist(), t["words"].to_pylist(), strict=True):
             got = []
@@ -87,6 +88,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
         return pa.Table.from_batches([record(["block", "at", "sizes", "flat"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()], rows)])
 
     def reassemble(docs_: pa.Table, words_: pa.Table) -> pa.Table:
+        give_back()  # what the block before has left
         if not docs_.num_rows:
             raise ValueError("a word list without its block: the input changed between two reads")
         n = docs_["n_words"][0].as_py()
@@ -118,8 +120,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
         return pa.table({"doc_id": ids, "ids": lists})
 
-    packed = src.mapInArrow(positions, "block long, n_words long, ids array<long>, sizes binary, ranks binary")
-    listed = src.mapInArrow(words, "part long, block long, at binary, words binary")
+    packed = src.mapInArrow(tidy(positions), "block long, n_words long, ids array<long>, sizes binary, ranks binary")
+    listed = src.mapInArrow(tidy(words), "part long, block long, at binary, words binary")
     coded = listed.groupBy("part").applyInArrow(encode_part, "block long, at binary, sizes binary, flat binary")
     return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
 
@@ -144,7 +146,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Dat
             out = [b"".join(parts[a:b]) if has else None for a, b, has in zip(ends, ends[1:], lists.is_valid().to_pylist())]  # noqa: B905
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return encoded.mapInArrow(tidy(run), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsearch.llm import textkit
-from docsearch.llm.common import arrow_batches, materialise, small
+from docsearch.llm.common import arrow_batches, materialise, small, tidy
 
 WINDOW, LITERALS, COVER, MAP_BITS = 8, 5, 0.5, 24
 #: Units that may follow a number.
@@ -139,7 +139,7 @@ def _template_windows(rows: DataFrame, bits=None) -> DataFrame:
                     r, *rest = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(r, pa.int64())), *(pa.array(x, k) for x, k in zip(rest, kinds[1:], strict=True))], names)
 
-    return rows.mapInArrow(run, _SCHEMA)
+    return rows.mapInArrow(tidy(run), _SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:

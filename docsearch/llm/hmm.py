@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsearch.llm.blocks import blocks, pack, pack_words, record, unpack, unpack_words
-from docsearch.llm.common import arrow_batches, crc_mod, materialise
+from docsearch.llm.common import arrow_batches, crc_mod, give_back, materialise, tidy
 
 STATES, CLASSES, ROUNDS, RUN, CHUNK, PRIOR = 8, 1 << 14, 5, 192, 2048, 20.0
 END, RARE, FIRST = 0, 1, 2
@@ -145,7 +145,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             )
 
     schema = "block long, n_words long, ids array<long>, held array<boolean>, sizes binary, ranks binary, bundles array<struct<part:long,at:binary,words:binary,counts:binary>>"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _count(t: pa.Table) -> pa.Table:
@@ -198,6 +198,7 @@ def score(docs: DataFrame, states_rounds: int = ROUNDS) -> DataFrame:
     log_mass[[END, RARE]] = 0
 
     def reassemble(b: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()  # what the block before has left
         if b.num_rows != 1:
             raise ValueError("a word list without its block")
         n = b["n_words"][0].as_py()
@@ -235,7 +236,7 @@ def score(docs: DataFrame, states_rounds: int = ROUNDS) -> DataFrame:
             keys = np.concatenate([some, FIRST + CLASSES + np.arange(STATES + 2)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(rows[:, j]) for j in range(STATES))], ["key", *(f"s{j}" for j in range(STATES))])
 
-        got = ready.select("held", "sizes", "classes").mapInArrow(step, _COUNTS).groupBy("key").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(STATES))).toPandas().set_index("key")
+        got = ready.select("held", "sizes", "classes").mapInArrow(tidy(step), _COUNTS).groupBy("key").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(STATES))).toPandas().set_index("key")
         full = got.reindex(np.arange(FIRST + CLASSES + STATES + 2), fill_value=0.0).to_numpy()
         k = FIRST + CLASSES
         model = maximise({"emit": full[:k], "move": full[k : k + STATES], "start": full[k + STATES]}, share)
@@ -253,4 +254,4 @@ def score(docs: DataFrame, states_rounds: int = ROUNDS) -> DataFrame:
                 out = [pa.array(ids, pa.int64()), pa.array(h, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(known.astype(np.int64)), pa.array(np.full(len(sizes), n_train, np.int64)), pa.array(log_all - sizes * np.log10(floor)), pa.array(forward(cls, sizes, held.value) + within)]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return ready.mapInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return ready.mapInArrow(tidy(final), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsearch.llm.common import arrow_batches, materialise, small
+from docsearch.llm.common import arrow_batches, materialise, small, tidy
 
 LOW, MIN_PAGES, WEIGHT = 0.2, 8, 0.8
 _TOKEN = re.compile(
@@ -181,7 +181,7 @@ def _nodes(batches):
 
 def low_nodes(pages: DataFrame) -> DataFrame:
     """(host, path) of the style-tree nodes whose composite importance is low; articles and the path to them are never among them."""
-    counts = pages.select("url", "html").mapInArrow(_nodes, _NODES).groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+    counts = pages.select("url", "html").mapInArrow(tidy(_nodes), _NODES).groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     own = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     m = F.greatest(F.log("m"), F.lit(1e-9))
     shapes = own.where("kind = 'children'").select("host", "path", "m", F.when(F.col("m") > 1, 1 - F.col("nlogn") / F.col("m") / m).otherwise(1.0).alias("shape"))
@@ -210,4 +210,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h, frozenset(x or ())) for h, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsearch.llm import textkit
-from docsearch.llm.common import arrow_batches, crc_mod
+from docsearch.llm.common import arrow_batches, crc_mod, tidy
 
 BITS = 18
 #: The bound of the fitting sample; beyond it accuracy no longer grows on such texts.
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     sample = seen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     picked = docs.sparkSession.createDataFrame(sample.toPandas(), "doc_id long, quality int")  # fit_rows rows at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    got = rows.select("doc_id", "text", F.col("quality").cast("int").alias("y")).mapInArrow(_extract, "doc_id long, keys array<int>, y int")
+    got = rows.select("doc_id", "text", F.col("quality").cast("int").alias("y")).mapInArrow(tidy(_extract), "doc_id long, keys array<int>, y int")
     got = got.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     keys = got["keys"].combine_chunks()
     flat, at = keys.flatten().to_numpy(), np.concatenate([[0], np.cumsum(keys.value_lengths())])
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), held.value))], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double")
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -189,4 +189,4 @@ def accepted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(at), held.value) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _MASK = (1 << 64) - 1
 #: Any odd multiplier will do; its inverse modulo 2**64 exists.
 _P = 0x9E3779B97F4A7C15
