@@ -131,7 +131,7 @@ class Pipeline:
         c = self.config.retriever
         t = {k: self.index.table(k) for k in ("parents", "children", "vectors", "postings", "lengths")}
         if t["children"] is None:
-            return self.spark.createDataFrame([], f"query_id int, parent_id string, score double, rank int, children array<string>, retrievers array<string>, {CHUNK_SCHEMA}")
+            return self.spark.createDataFrame([], "query_id int, parent_id string, score double, rank int, children array<string>, retrievers array<string>, " + CHUNK_SCHEMA.replace("parent_id string, ", "", 1))
         asked = self.spark.createDataFrame([(0, question, self.embed([question])[0])], "query_id int, text string, vector array<float>")
         keep = t["children"].where(search.where_clause(where, t["children"].columns)).select("child_id")
         hits, errors = {}, []
