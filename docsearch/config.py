@@ -15,7 +15,7 @@ EFFORTS = ("low", "medium", "high", "xhigh", "max")
 RENAMED = {"pdf_strip_symbolic_inline_code": "pdf_inline_code_strip (off, symbolic or all)"}
 CONFIG_VARIABLE, CONFIG_FILE, KEY_VARIABLE = "DOCSEARCH_CONFIG", "config.yaml", "DOCSEARCH_API_KEY"
 #: Values of an API key that stand for none.
-PLACEHOLDERS = ("", "sk-ant-...", "your-api-key")
+PLACEHOLDERS = ("", "your-api-key")
 
 
 @dataclass(frozen=True)

@@ -8,23 +8,23 @@ from docsearch.config import ChunkerConfig
 from docsearch.operators.chunking import Chunker, chunk, parse_table, split_table
 from docsearch.operators.splitters import by_headers, recursive
 
-HEAD, RULE = "| 코드 | 값 | 비고 |", "|---|---|---|"
-ROWS = "\n".join(f"| R{i:02d} | {i * 10} | 비고{i} |" for i in range(60))
+HEAD, RULE = "| 번호 | 무게 | 메모 |", "| --- | ---: | --- |"
+ROWS = "\n".join(f"| K{i:02d} | {i * 3} kg | 상자 {i} |" for i in range(60))
 TEXT = f"""<!-- page: 1 -->
 
-# 1장 서론
+# 1장 창고
 
-짧은 도입.
+창고를 소개한다.
 
-## 1.1 목적
+## 1.1 위치
 
-목적 설명 문장입니다.
+강가의 벽돌 건물이다.
 
 <!-- page: 2 -->
 
-# 2장 가격
+# 2장 재고
 
-(단위: 원)
+(단위: kg)
 
 {HEAD}
 {RULE}
@@ -32,18 +32,18 @@ TEXT = f"""<!-- page: 1 -->
 
 <!-- page: 3 -->
 
-## 2.1 긴 본문
+## 2.1 보관 방법
 
-{"가나다라마바사 아자차카타파하. " * 60}
+{"상자는 마른 곳에 두고 매주 살핀다. " * 60}
 
-```python
-# 이건 헤더가 아님
-| 이것도 | 표 아님 |
+```sh
+# 주석이며 제목이 아니다
+| 이것은 | 표가 아니다 |
 ```
 
-# 3장 부록
+# 3장 마침
 
-끝맺는 문장을 조금 길게 둡니다.
+마지막으로 적어 두는 글이다.
 """
 SMALL = ChunkerConfig(parent_max_chars=600, parent_min_chars=200, child_chunk_chars=200, child_overlap_chars=20)
 
@@ -57,24 +57,24 @@ def test_fragments_repeat_the_header(result):
     parents, children, _ = result
     tables = [c for c in children if c["chunk_type"] == "table"]
     assert len(tables) > 5 and all(f"{HEAD}\n{RULE}" in c["text"] for c in tables)
-    holding = [p for p in parents if "| R" in p["text"]]
+    holding = [p for p in parents if "| K" in p["text"]]
     assert len(holding) > 1 and all(HEAD in p["text"] for p in holding)
-    rows = [s for c in tables for s in c["text"].split("\n") if s.startswith("| R")]
+    rows = [s for c in tables for s in c["text"].split("\n") if s.startswith("| K")]
     assert len(rows) == len(set(rows)) == 60
     captions = [c["text"].split("\n")[1] for c in tables]
-    assert captions[0] == "(단위: 원)" and set(captions[1:]) == {"(단위: 원) (계속)"}
+    assert captions[0] == "(단위: kg)" and set(captions[1:]) == {"(단위: kg) (계속)"}
 
 
 def test_tags_pages_and_labels(result):
     parents, children, _ = result
     assert all(x["text"].startswith("[문서명: t.pdf, 섹션: ") for x in parents + children)
     pages = {c["section"]: c["pages"] for c in children}
-    assert (pages["1장 서론"], pages["2장 가격"], pages["2장 가격 > 2.1 긴 본문"]) == ("1", "2", "3")
+    assert (pages["1장 창고"], pages["2장 재고"], pages["2장 재고 > 2.1 보관 방법"]) == ("1", "2", "3")
     labels = [p["section"] for p in parents]
-    assert "1장 서론 (1.1 목적 포함)" in labels
-    assert all("3장" not in x or x == "3장 부록" for x in labels)
+    assert "1장 창고 (1.1 위치 포함)" in labels
+    assert all("3장" not in x or x == "3장 마침" for x in labels)
     assert not any(all(re.match(r"#+ ", s) for s in p["text"].split("\n")[1:] if s.strip()) for p in parents)
-    assert any("# 이건 헤더가 아님" in c["text"] for c in children)
+    assert any("# 주석이며 제목이 아니다" in c["text"] for c in children)
 
 
 def test_references(result):
@@ -84,7 +84,7 @@ def test_references(result):
 
 
 def test_no_headers_and_nothing_else():
-    parents, children, warnings = Chunker(SMALL).split("d", "t", "본문만 있는 문서입니다. " * 5)
+    parents, children, warnings = Chunker(SMALL).split("d", "t", "제목 없는 글이다. 계속된다. " * 5)
     assert children and warnings and parents[0]["section"] == "본문" and parents[0]["pages"] is None
     assert Chunker(SMALL).split("d", "t", "# 제목\n\n## 소제목")[1] == []
 
@@ -99,7 +99,7 @@ def test_chunk_operator(spark):
     rows = [("d1", "t.pdf", "/x/t.pdf", "pdf", "test", TEXT), ("d2", "u.pdf", "/x/u.pdf", "pdf", "test", "# only"), ("d3", "v.pdf", "/x/v.pdf", "pdf", "test", None)]
     out = chunk(spark.createDataFrame(rows, "doc_id string, source string, source_path string, file_type string, parser_used string, markdown string"), SMALL).collect()
     assert {r.doc_id: r.error_type for r in out if r.level == "failure"} == {"d2": "ChunkingError", "d3": "ChunkingError"}
-    assert [r.headers for r in out if r.section == "1장 서론" and r.level == "child"] == [{"h1": "1장 서론"}]
+    assert [r.headers for r in out if r.section == "1장 창고" and r.level == "child"] == [{"h1": "1장 창고"}]
 
 
 @pytest.mark.parametrize("size", [1, 5, 17, 60])

@@ -6,37 +6,37 @@ from docsearch.functions.markdown import restore_headings, strip_inline_code
 from docsearch.functions import text as T
 from pyspark.sql import functions as F
 
-BOOK = """## **책 제목**
+BOOK = """## **정원 가꾸기**
 
-## **저자의 말**
+## **펴내며**
 
-서문 본문.
+여는 글.
 
-## **1장. 시작** **시작하며: 부제**
+## **1장. 흙 고르기** **첫걸음: 준비**
 
-본문 1.
+흙 이야기.
 
-## **그러나 현실은 냉혹했다.**
+## **비가 오래 왔다.**
 
-## **실전 체크리스트**
+## **점검 목록**
 
-## **1. 첫째 원칙**
+## **1. 물 빠짐**
 
-## **6부. 다음 부 배너** **2장. 규칙 파일: AGENTS.md,** **CLAUDE.md** **규칙 파일이란**
+## **3부. 여름 정원** **2장. 물 주기: 아침,** **저녁** **얼마나 줄까**
 
-본문 2.
+물 이야기.
 
-## **실전 체크리스트**
+## **점검 목록**
 """
 
 
 def test_heading_levels():
     text, stats = restore_headings(BOOK)
     assert [s for s in text.split("\n") if s.startswith("#")] == [
-        "# 책 제목", "# 저자의 말", "# 1장. 시작", "## 시작하며: 부제", "## 실전 체크리스트", "### 1. 첫째 원칙",
-        "# 2장. 규칙 파일: AGENTS.md, CLAUDE.md", "## 규칙 파일이란", "## 실전 체크리스트",
+        "# 정원 가꾸기", "# 펴내며", "# 1장. 흙 고르기", "## 첫걸음: 준비", "## 점검 목록", "### 1. 물 빠짐",
+        "# 2장. 물 주기: 아침, 저녁", "## 얼마나 줄까", "## 점검 목록",
     ]
-    assert "**6부. 다음 부 배너**" in text and "**그러나 현실은 냉혹했다.**" in text
+    assert "**3부. 여름 정원**" in text and "**비가 오래 왔다.**" in text
     assert (stats["parts_demoted"], stats["demoted"]) == (1, 1)
     assert restore_headings(text) == (text, {"applied": 0})
 
