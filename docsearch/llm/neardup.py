@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsearch.llm import textkit
-from docsearch.llm.common import arrow_batches, components, materialise, small
+from docsearch.llm.common import arrow_batches, components, materialise, small, tidy
 
 SHINGLE, COORDS, MATCHES, BLOCK = 5, 64, 32, 512
 _MULT = np.random.default_rng(64).integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,10 +151,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     arrow_batches(spark)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    p1 = materialise(src.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"), "signatures")
+    p1 = materialise(src.mapInArrow(tidy(_signatures(shingle)), "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"), "signatures")
     keyed = p1.where("n_shingles > 0 and doc_id is not null")
-    classes = keyed.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("cid"))
-    members = materialise(keyed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["n_shingles", "k1", "k2"]).select("doc_id", "cid").distinct(), "members")
+    # classes of several rows; a table of its own, so that both sides of the join are plain shuffles, which Spark splits where
+    # one class has very many copies
+    sets_key = ["n_shingles", "k1", "k2"]
+    classes = materialise(keyed.groupBy(*sets_key).agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "classes")
+    members = keyed.select("doc_id", *sets_key).join(classes, sets_key, "left").select("doc_id", F.coalesce("cid", "doc_id").alias("cid"))
+    members = materialise(members.distinct(), "members")
     reps = keyed.join(members.where("doc_id = cid").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cid"), "n_shingles", "sig")
     post = reps.select("cid", F.posexplode("sig").alias("pos", "value")).select("cid", F.xxhash64("pos", "value").alias("token"))
     shared = post.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -170,7 +174,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lists = materialise(lists, "postings")
     wanted = materialise(lists.select("cid").distinct(), "candidates")
     source = src.join(small(wanted.withColumnRenamed("cid", "doc_id")), "doc_id", "left_semi").join(small(members.where("doc_id <> cid").select("doc_id").distinct()), "doc_id", "left_anti")
-    sets = materialise(source.mapInArrow(_sets(shingle), "cid long, grams binary"), "sets").dropDuplicates(["cid"])
+    sets = materialise(source.mapInArrow(tidy(_sets(shingle)), "cid long, grams binary").dropDuplicates(["cid"]), "sets")
     sig = reps.select("cid", "n_shingles", "sig").join(small(wanted), "cid", "left_semi")
     sig = materialise(sig, "candidate-signatures")
 
@@ -187,7 +191,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pairs = pairs.join(a, "a").join(b, "b").where((F.size(F.filter(F.arrays_zip("sa", "sb"), lambda z: z["sa"] == z["sb"])) >= MATCHES) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "ca", "cb")
         pairs = materialise(pairs, f"star-{turn}")
         ga, gb = (sets.select(F.col("cid").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
-        links = pairs.join(gb, "b").join(ga, "a").select("a", "b", "ga", "gb").mapInArrow(_confirm(percent), "a long, b long").join(pairs, ["a", "b"]).select("ca", "cb").distinct()
+        links = pairs.join(gb, "b").join(ga, "a").select("a", "b", "ga", "gb").mapInArrow(tidy(_confirm(percent)), "a long, b long").join(pairs, ["a", "b"]).select("ca", "cb").distinct()
         lists, roots = _relabel(lists, links)
         lists = materialise(lists, f"postings-{turn}")
         labels.append(roots)
