@@ -3,7 +3,8 @@
 Tokens are words without surrounding punctuation, lower-cased A-Z.  Numbers, units after numbers and names (a
 capital and a small letter, not at the start of a sentence) become typed placeholders; the words under them are
 the slots.  Windows of eight template tokens, of which five are literal, are hash-joined with those of the benchmark;
-a window with names is posted with and without the names replaced.  A bit map of fixed size over the benchmark's
+a window with names is posted with and without the names replaced.  A window with fewer literals is widened until it has five,
+and also posted as its eight words unmasked, which only a verbatim copy has; so every token lies in some window.  A bit map of fixed size over the benchmark's
 windows lets only likely windows of a document leave the scan.  Per document, item and alignment, the slots must map
 one to one (an item's value to one value in the document and back); the windows of consistent alignments then have to
 cover ``COVER`` of the item's tokens.
@@ -75,6 +76,13 @@ def tokens(b: np.ndarray, s: np.ndarray, e: np.ndarray, rows: np.ndarray):
     return ts, te, rows, plain, np.where(name, _NAME, plain), name, ~(number | glued | unit)
 
 
+def _codes(h: np.ndarray, at: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of the n values from each of the places at."""
+    power, inverse = textkit._grow(len(h) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)])
+    return textkit.mix((total[at + n] - total[at]) * inverse[at] + n.astype(np.uint64), salt)
+
+
 def windows(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, bits: np.ndarray | None):
     """Yields (row, position, hash, tokens, slots, tokens of the row) for windows that the bit map lets pass (all without one).
 
@@ -88,34 +96,38 @@ def windows(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, bits: np.ndarr
     first = np.concatenate([[0], np.cumsum(size)])
     at = np.flatnonzero(rows[: len(ts) - WINDOW + 1] == rows[WINDOW - 1 :]) if len(ts) >= WINDOW else np.zeros(0, np.int64)
     short = np.flatnonzero((size > 0) & (size < WINDOW))
-    names, literals = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (name, fixed & ~name))
-    plains = np.concatenate([[0], np.cumsum(fixed, dtype=np.int32)])
+    names, literals, plains = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (name, fixed & ~name, fixed))
+    found = []
     for kind, h, least in (("typed", typed, literals), ("plain", plain, plains)):
-        use = at if kind == "typed" else at[names[at + WINDOW] > names[at]]
-        use = use[least[use + WINDOW] - least[use] >= LITERALS]
+        full = least[at + WINDOW] - least[at] >= LITERALS
+        has = np.ones(len(at), bool) if kind == "typed" else names[at + WINDOW] > names[at]
+        use = at[has & full]
         code = np.zeros(len(use), np.uint64)
         for k in range(WINDOW):
             code = code * np.uint64(0x9FB21C651E98DF25) + h[use + k]
-        code = textkit.mix(code, 21)
+        found.append((kind, use, np.full(len(use), WINDOW), textkit.mix(code, 21)))
+        # with too few literals: up to the fifth, if the row has it
+        wide = at[~full]
+        end = np.searchsorted(least, least[wide] + LITERALS)
+        ok = end <= first[rows[wide] + 1]
+        wide, end = wide[ok], end[ok]
+        if kind == "plain":
+            ok = names[end] > names[wide]
+            wide, end = wide[ok], end[ok]
+        found.append((kind, wide, end - wide, _codes(h, wide, end - wide, 21)))
+        whole = short if kind == "typed" else short[names[first[short + 1]] > names[first[short]]]
+        found.append((kind, first[whole], size[whole], _codes(h, first[whole], size[whole], 22)))
+    exact = at[plains[at + WINDOW] - plains[at] < LITERALS]
+    if len(exact):
+        found.append(("exact", exact, np.full(len(exact), WINDOW), _codes(textkit.word_hashes(b, ts, te), exact, np.full(len(exact), WINDOW), 23)))
+    for kind, use, n, code in found:
         if bits is not None:
             place = (code >> np.uint64(64 - MAP_BITS)).astype(np.int64)
             ok = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
-            use, code = use[ok], code[ok]
-        spans = [(x, WINDOW, c) for x, c in zip(use.tolist(), code.tolist(), strict=True)]
-        for r in short.tolist():
-            x, n = int(first[r]), int(size[r])
-            if kind == "plain" and not name[x : x + n].any():
-                continue
-            c = np.uint64(n)
-            for k in range(n):
-                c = np.uint64((int(c) * 0x9FB21C651E98DF25 + int(h[x + k])) & ((1 << 64) - 1))
-            c = int(textkit.mix(np.array([c]), 22)[0])
-            p = c >> (64 - MAP_BITS)
-            if bits is None or bits[p >> 3] >> (p & 7) & 1:
-                spans.append((x, n, c))
-        for x, n, c in spans:
-            words = [bytes(textkit._LOWER[b[ts[y] : te[y]]]).decode("utf-8", "replace") for y in range(x, x + n)]
-            slot = [bool(not fixed[y] or (kind == "typed" and name[y])) for y in range(x, x + n)]
+            use, n, code = use[ok], n[ok], code[ok]
+        for x, k, c in zip(use.tolist(), n.tolist(), code.tolist(), strict=True):
+            words = [bytes(textkit._LOWER[b[ts[y] : te[y]]]).decode("utf-8", "replace") for y in range(x, x + k)]
+            slot = [kind != "exact" and bool(not fixed[y] or (kind == "typed" and name[y])) for y in range(x, x + k)]
             r = int(rows[x])
             yield i + r, int(x - first[r]), c - (1 << 64 if c >> 63 else 0), words, slot, int(size[r])
 

@@ -172,3 +172,14 @@ def test_templates_of_odd_texts(text):
     raw, off = textkit.buffers(pa.array([text], pa.string()))
     out = list(decontam.windows(raw, off, 0, 1, None))
     assert all(len(w[3]) == len(w[4]) <= decontam.WINDOW for w in out)
+
+
+def test_dense_items_are_found(spark):
+    dense = "12 apples 7 pears 3 plums 9 figs 14 nuts 6 limes 8 dates"
+    table = "17 23 31 48 5 66 72 81 9 104 11 128"
+    docs = [(1, f"Before it came this: {dense} and after it nothing."), (2, "So " + dense.replace("12", "15").replace("9 figs", "2 figs") + " it is."), (3, f"The table: {table} ends."), (4, "The table: " + table.replace("48", "47").replace("9 104", "8 103") + " ends."), (5, "1 apple")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(0, dense), (1, table)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.changed_slots) for r in decontam.leaks(d, b).collect()}
+    assert got.keys() == {(1, 0), (2, 0), (3, 1)}
+    assert got[1, 0] == got[3, 1] == (1.0, 0) and got[2, 0][1] == 2
