@@ -4,7 +4,9 @@ Tokens are words without surrounding punctuation, lower-cased A-Z.  Numbers, uni
 capital and a small letter, not at the start of a sentence) become typed placeholders; the words under them are
 the slots.  Windows of eight template tokens, of which five are literal, are hash-joined with those of the benchmark;
 a window with names is posted with and without the names replaced.  A window with fewer literals is widened until it has five,
-and also posted as its eight words unmasked, which only a verbatim copy has; so every token lies in some window.  A bit map of fixed size over the benchmark's
+and also posted as its eight words unmasked, which only a verbatim copy has; so every token lies in some window.  An item of fewer than eight tokens is one
+window; documents post windows of the lengths that such items have, with five literals or else as their words unmasked, so an
+item of one word leaks wherever the word stands.  Scripts without spaces count each character as a token.  A bit map of fixed size over the benchmark's
 windows lets only likely windows of a document leave the scan.  Per document, item and alignment, the slots must map
 one to one (an item's value to one value in the document and back); the windows of consistent alignments then have to
 cover ``COVER`` of the item's tokens.
@@ -43,11 +45,31 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return textkit.word_hashes(b, s, e)
 
 
+#: Characters of scripts without spaces, and of their punctuation, by the first two bytes: kana and ideographs, Thai, Lao, Myanmar, Khmer, full-width forms.
+_UNSPACED = np.zeros(1 << 16, bool)
+_UNSPACED[0xE380:0xEA00] = _UNSPACED[0xE0B8:0xE0BC] = _UNSPACED[0xE180:0xE183] = _UNSPACED[0xE19E:0xE1A0] = _UNSPACED[0xEFBC:0xEFBE] = _UNSPACED[0xF0A0:0xF0B4] = True
+_STOPS = np.unique(_hash_words(list("\u3000、。〈〉《》「」『』【】〔〕〖〗・！＂＇（），－．／：；＜＝＞？［＼］｛｜｝～｡｢｣､･។៕၊။")))
 _UNIT_HASHES = np.unique(_hash_words(UNITS))
 
 
+def _characters(b: np.ndarray, s: np.ndarray, e: np.ndarray, rows: np.ndarray):
+    """Words cut around each character of a script without spaces; the punctuation of these scripts is left out."""
+    lead = np.flatnonzero(b[:-1] >= 0xE0)
+    lead = lead[_UNSPACED[b[lead].astype(np.int64) << 8 | b[lead + 1]]]
+    if not len(lead):
+        return s, e, rows
+    cuts = np.unique(np.concatenate([lead, lead + np.where(b[lead] >= 0xF0, 4, 3)]))
+    word = np.searchsorted(s, cuts, "right") - 1
+    cuts = cuts[(cuts > s[word]) & (cuts < e[word])]
+    starts, ends = np.sort(np.concatenate([s, cuts])), np.sort(np.concatenate([e, cuts]))
+    keep = ~np.isin(textkit.word_hashes(b, starts, ends, False), _STOPS)
+    starts, ends = starts[keep], ends[keep]
+    return starts, ends, rows[np.searchsorted(s, starts, "right") - 1]
+
+
 def tokens(b: np.ndarray, s: np.ndarray, e: np.ndarray, rows: np.ndarray):
-    """(start, end, row, literal hash, template hash, is a name, is a literal) of each token of a piece."""
+    """(start, end, row, literal hash, template hash, is a name, is a literal, hash of the word itself) of each token of a piece."""
+    s, e, rows = _characters(b, s, e, rows)
     n = len(b)
     count = lambda kind: np.concatenate([[0], np.cumsum(kind[b], dtype=np.int32)])
     body = ~_PUNCT[b]
@@ -73,7 +95,7 @@ def tokens(b: np.ndarray, s: np.ndarray, e: np.ndarray, rows: np.ndarray):
     c0, c1 = b[ts], b[np.minimum(ts + 1, max(n - 1, 0))] if n else b[ts]
     name = long & ~first & (c0 >= 65) & (c0 <= 90) & (((c1 >= 97) & (c1 <= 122)) | (c1 >= 128)) & ~d
     plain = np.where(number | glued, _NUM, np.where(unit, _UNIT, literal))
-    return ts, te, rows, plain, np.where(name, _NAME, plain), name, ~(number | glued | unit)
+    return ts, te, rows, plain, np.where(name, _NAME, plain), name, ~(number | glued | unit), literal
 
 
 def _codes(h: np.ndarray, at: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
@@ -83,13 +105,14 @@ def _codes(h: np.ndarray, at: np.ndarray, n: np.ndarray, salt: int) -> np.ndarra
     return textkit.mix((total[at + n] - total[at]) * inverse[at] + n.astype(np.uint64), salt)
 
 
-def windows(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, bits: np.ndarray | None):
+def windows(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, bits: np.ndarray | None, lengths: tuple[int, ...] = ()):
     """Yields (row, position, hash, tokens, slots, tokens of the row) for windows that the bit map lets pass (all without one).
 
-    A text with fewer tokens than a window has one window of all its tokens.
+    A text with fewer tokens than a window has one window of all its tokens; with lengths, every text also has the windows
+    of these lengths that have five literals, and the others as their words unmasked, each once.
     """
     b, s, e, rows = textkit.spans(raw, offsets, i, j)
-    ts, te, rows, plain, typed, name, fixed = tokens(b, s, e, rows)
+    ts, te, rows, plain, typed, name, fixed, word = tokens(b, s, e, rows)
     if not len(ts):
         return
     size = np.bincount(rows, minlength=j - i)
@@ -117,14 +140,28 @@ def windows(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, bits: np.ndarr
         found.append((kind, wide, end - wide, _codes(h, wide, end - wide, 21)))
         whole = short if kind == "typed" else short[names[first[short + 1]] > names[first[short]]]
         found.append((kind, first[whole], size[whole], _codes(h, first[whole], size[whole], 22)))
-    exact = at[plains[at + WINDOW] - plains[at] < LITERALS]
-    if len(exact):
-        found.append(("exact", exact, np.full(len(exact), WINDOW), _codes(textkit.word_hashes(b, ts, te), exact, np.full(len(exact), WINDOW), 23)))
+    exact = [(at, np.full(len(at), WINDOW)), (first[short], size[short])]
+    for k in lengths:
+        use = np.flatnonzero(rows[: len(ts) - k + 1] == rows[k - 1 :]) if len(ts) >= k else np.zeros(0, np.int64)
+        exact.append((use, np.full(len(use), k)))
+        inner = use[size[rows[use]] > k]  # the whole of a short text is above
+        for kind, h, least in (("typed", typed, literals), ("plain", plain, plains)):
+            full = inner[least[inner + k] - least[inner] >= LITERALS]
+            if kind == "plain":
+                full = full[names[full + k] > names[full]]
+            found.append((kind, full, np.full(len(full), k), _codes(h, full, np.full(len(full), k), 22)))
+    for use, n in exact:
+        few = plains[use + n] - plains[use] < LITERALS
+        use, n = use[few], n[few]
+        found.append(("exact", use, n, _codes(word, use, n, 23)))
     for kind, use, n, code in found:
         if bits is not None:
             place = (code >> np.uint64(64 - MAP_BITS)).astype(np.int64)
             ok = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
             use, n, code = use[ok], n[ok], code[ok]
+        if kind == "exact" and len(use) and n[0] < WINDOW:
+            _, once = np.unique(np.stack([rows[use].astype(np.uint64), code]), axis=1, return_index=True)
+            use, n, code = use[once], n[once], code[once]
         for x, k, c in zip(use.tolist(), n.tolist(), code.tolist(), strict=True):
             words = [bytes(textkit._LOWER[b[ts[y] : te[y]]]).decode("utf-8", "replace") for y in range(x, x + k)]
             slot = [kind != "exact" and bool(not fixed[y] or (kind == "typed" and name[y])) for y in range(x, x + k)]
@@ -135,7 +172,7 @@ def windows(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, bits: np.ndarr
 _SCHEMA = "id long, pos int, code long, words array<string>, slots array<boolean>, size int"
 
 
-def _template_windows(rows: DataFrame, bits=None) -> DataFrame:
+def _template_windows(rows: DataFrame, bits=None, lengths: tuple[int, ...] = ()) -> DataFrame:
     """rows: (id, text)."""
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.int32()]
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
@@ -146,7 +183,7 @@ def _template_windows(rows: DataFrame, bits=None) -> DataFrame:
             raw, offsets = textkit.buffers(batch.column(1))
             ids = batch.column(0)
             for i, j in textkit.pieces(offsets):
-                found = list(windows(raw, offsets, i, j, held))
+                found = list(windows(raw, offsets, i, j, held, lengths))
                 if found:
                     r, *rest = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(r, pa.int64())), *(pa.array(x, k) for x, k in zip(rest, kinds[1:], strict=True))], names)
@@ -165,9 +202,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFr
     arrow_batches(spark)
     items = materialise(_template_windows(benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text")), "item-windows").distinct()
     places = items.select(F.shiftrightunsigned("code", 64 - MAP_BITS).alias("p")).distinct().toPandas()["p"].to_numpy(np.int64)  # 2**24 at most
+    lengths = tuple(r["size"] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
-    found = _template_windows(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), spark.sparkContext.broadcast(bits)).select(F.col("id").alias("doc_id"), "code", F.col("pos").alias("dpos"), F.col("words").alias("dwords"))
+    found = _template_windows(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), spark.sparkContext.broadcast(bits), lengths).select(F.col("id").alias("doc_id"), "code", F.col("pos").alias("dpos"), F.col("words").alias("dwords"))
     both = found.join(small(items.withColumnsRenamed({"id": "item_id"})), "code")
     pair = both.select("doc_id", "item_id", (F.col("dpos") - F.col("pos")).alias("shift"), "pos", F.size("words").alias("n"), "size", F.filter(F.arrays_zip("slots", "words", "dwords"), lambda z: z["slots"] | (z["words"] != z["dwords"])).alias("z"))
     pair = pair.withColumn("z", F.transform("z", lambda z: F.struct(z["words"].alias("a"), z["dwords"].alias("b"))))

@@ -183,3 +183,21 @@ def test_dense_items_are_found(spark):
     got = {(r.doc_id, r.item_id): (r.coverage, r.changed_slots) for r in decontam.leaks(d, b).collect()}
     assert got.keys() == {(1, 0), (2, 0), (3, 1)}
     assert got[1, 0] == got[3, 1] == (1.0, 0) and got[2, 0][1] == 2
+
+
+def test_short_items_inside_documents(spark):
+    bench = [(0, "who wrote the first long novel"), (1, "12 or 15 pears?"), (2, "今天天气很好我们去公园散步吧"), (3, "什么是爱"), (4, "what is the capital of France"), (5, "Zugzwang")]
+    docs = [
+        (1, "They asked: Who wrote the first long novel? Nobody in the room knew the answer at all."),
+        (2, "And then he said 12 or 15 pears, which was not so many as we all had thought."),
+        (3, "And then he said 13 or 15 pears, which was not so many as we all had thought."),
+        (4, "他说：“今天天气很好，我们去公园散步吧。”然后他们就出发了。"),
+        (5, "有人问：什么是爱？没有人回答这个问题。"),
+        (6, "We wondered what is the capital of Poland and of the other lands near it."),
+        (7, "In chess a zugzwang, and then again a Zugzwang, is a thing that players like to see."),
+        (8, "他们没有说什么，也没有去公园，大家都在家里看书。"),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.changed_slots) for r in decontam.leaks(d, b).collect()}
+    assert got == {(1, 0): (1.0, 0), (2, 1): (1.0, 0), (4, 2): (1.0, 0), (5, 3): (1.0, 0), (6, 4): (1.0, 1), (7, 5): (1.0, 0)}
