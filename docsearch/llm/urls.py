@@ -2,11 +2,13 @@
 
 Per host, paths are a tree of segments.  Digit runs and long hexadecimal segments become typed wildcards at once.  Then, level
 by level from the root, a node with more than ``MAX_CHILDREN`` different segments keeps those with at least its
-1 / MAX_CHILDREN-th share of pages, and the others become ``*`` (the rest below ``LEVELS`` segments becomes ``**``).  Templates
+1 / MAX_CHILDREN-th share of pages and those whose labels (``SMOOTHING`` at least) differ significantly, for so many siblings,
+from their siblings', and the others become ``*``.  Below ``LEVELS`` segments a node goes on while it has twice
+``SMOOTHING`` labelled pages; under one with fewer the rest becomes ``**``.  Templates
 that differ in one segment are merged along their order by purity while neighbours do not differ significantly in
 a two-proportion test.  A template is rejected if the purity of its labelled pages, smoothed towards its host's and that towards the
-overall purity, is under ``LEAST_PURITY``.  All counts are aggregates with map-side combining; what one window sees is bounded by
-``MAX_CHILDREN``.
+overall purity, is under ``LEAST_PURITY``.  All counts are aggregates with map-side combining; one window
+sees ``MAX_CHILDREN`` segments and those that labels told apart.
 """
 
 from __future__ import annotations
@@ -42,10 +44,15 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def typed(path: Column) -> Column:
-    """Segments with digit runs and long hexadecimal strings as wildcards, the rest below LEVELS as ``**``."""
+    """Segments with digit runs and long hexadecimal strings as wildcards."""
     x = F.transform(F.split(path, "/"), lambda s: F.when(s.rlike("^[0-9a-fA-F-]{8,}$") & s.rlike("[0-9]") & s.rlike("[a-fA-F]"), "{x}").otherwise(F.regexp_replace(s, "[0-9]+", "{n}")))
-    x = F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1)))
-    return F.when(F.size(x) > LEVELS, F.concat(F.slice(x, 1, LEVELS), F.array(F.lit("**")))).otherwise(x)
+    return F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1)))
+
+
+def _differ(g: Column, k: Column, g0: Column, k0: Column) -> Column:
+    """z of a two-proportion test, g of k against g0 of k0."""
+    p = (g + g0 + 1) / (k + k0 + 2)
+    return F.abs((g + 0.5) / (k + 1) - (g0 + 0.5) / (k0 + 1)) / F.sqrt(p * (1 - p) * (1 / (k + 1) + 1 / (k0 + 1)))
 
 
 def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -53,28 +60,41 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.min("quality").alias("quality"))
     rows = pages.join(marks, "page_id", "left").select("host", typed(F.col("path")).alias("typed"), "quality")
     t = rows.groupBy("host", "typed").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("quality") == 1, F.lit(False)).cast("long")).alias("good"), F.count("quality").alias("labelled"))
-    t = materialise(t.withColumn("tpl", F.array().cast("array<string>")), "paths")
-    for d in range(LEVELS):
-        kids = t.where(F.size("typed") > d).groupBy("host", "tpl", F.col("typed")[d].alias("seg")).agg(F.sum("n").alias("n"))
-        fan = kids.groupBy("host", "tpl").agg(F.count("*").alias("fan"), F.sum("n").alias("total")).where(F.col("fan") > MAX_CHILDREN)
-        wild = kids.join(fan, ["host", "tpl"]).where(F.col("n") * MAX_CHILDREN < F.col("total")).select("host", "tpl", "seg", F.lit(True).alias("wild"))
-        t = t.withColumn("seg", F.get("typed", F.lit(d))).join(wild, ["host", "tpl", "seg"], "left")
-        t = t.withColumn("tpl", F.when(F.size("typed") > d, F.concat("tpl", F.array(F.when(F.col("wild"), "*").otherwise(F.col("seg"))))).otherwise(F.col("tpl"))).drop("seg", "wild")
-        t = materialise(t, f"level-{d}")
-    t = t.withColumn("tpl", F.when(F.size("typed") > LEVELS, F.concat("tpl", F.array(F.lit("**")))).otherwise(F.col("tpl")))
+    t = materialise(t.withColumn("tpl", F.array().cast("array<string>")).withColumn("open", F.lit(True)), "paths")
+    depth = 0
+    while True:
+        live = F.col("open") & (F.size("typed") > depth)
+        if depth >= LEVELS:
+            enough = t.where(live).groupBy("host", "tpl").agg(F.sum("labelled").alias("k")).where(F.col("k") >= 2 * SMOOTHING).select("host", "tpl", F.lit(True).alias("enough"))
+            t = t.join(enough, ["host", "tpl"], "left")
+            ends = live & F.col("enough").isNull()
+            t = materialise(t.select("host", "typed", "n", "good", "labelled", F.when(ends, F.concat("tpl", F.array(F.lit("**")))).otherwise(F.col("tpl")).alias("tpl"), (F.col("open") & ~ends).alias("open")), f"open-{depth}")
+        if t.where(live).isEmpty():
+            break
+        kids = t.where(live).groupBy("host", "tpl", F.col("typed")[depth].alias("seg")).agg(F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("labelled").alias("k"))
+        fan = kids.groupBy("host", "tpl").agg(F.count("*").alias("fan"), F.sum("n").alias("total"), F.sum("g").alias("gs"), F.sum("k").alias("ks")).where(F.col("fan") > MAX_CHILDREN)
+        z = _differ(F.col("g"), F.col("k"), F.col("gs") - F.col("g"), F.col("ks") - F.col("k"))
+        apart = (F.col("k") >= SMOOTHING) & (z > F.greatest(F.lit(Z), F.sqrt(2 * F.log(F.col("fan").cast("double")))))
+        wild = kids.join(fan, ["host", "tpl"]).where((F.col("n") * MAX_CHILDREN < F.col("total")) & ~apart).select("host", "tpl", "seg", F.lit(True).alias("wild"))
+        t = t.withColumn("seg", F.get("typed", F.lit(depth))).join(wild, ["host", "tpl", "seg"], "left")
+        t = t.withColumn("tpl", F.when(live, F.concat("tpl", F.array(F.when(F.col("wild"), "*").otherwise(F.col("seg"))))).otherwise(F.col("tpl"))).drop("seg", "wild")
+        t = materialise(t, f"level-{depth}")
+        depth += 1
     nodes = t.groupBy("host", F.col("tpl").alias("leaf")).agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled")).withColumn("tpl", F.col("leaf"))
-    for d in range(LEVELS):
+    for d in range(depth):
         # one row for each merged template; its neighbours differ in segment d alone
         merged = nodes.groupBy("host", "tpl").agg(F.sum("good").alias("g"), F.sum("labelled").alias("k"))
-        others = F.concat(F.slice("tpl", F.lit(1), F.lit(d)), F.array(F.lit("?")), F.slice("tpl", d + 2, LEVELS + 1))
+        others = F.concat(F.slice("tpl", F.lit(1), F.lit(d)), F.array(F.lit("?")), F.slice("tpl", d + 2, depth + 1))
         merged = merged.where(F.size("tpl") > d).select("host", "tpl", "g", "k", others.alias("others"))
         w = Window.partitionBy("host", "others").orderBy(F.coalesce(F.col("g") / F.nullif("k", F.lit(0)), F.lit(-1.0)), "tpl")
         g0, k0 = F.lag("g").over(w), F.lag("k").over(w)
-        p = (F.col("g") + g0 + 1) / (F.col("k") + k0 + 2)
-        z = F.abs((F.col("g") + 0.5) / (F.col("k") + 1) - (g0 + 0.5) / (k0 + 1)) / F.sqrt(p * (1 - p) * (1 / (F.col("k") + 1) + 1 / (k0 + 1)))
+        z = _differ(F.col("g"), F.col("k"), g0, k0)
         cut = merged.withColumn("new", F.coalesce((z > Z).cast("int"), F.lit(1))).withColumn("cluster", F.sum("new").over(w))
-        named = cut.withColumn("to", F.array_join(F.array_sort(F.collect_set(F.col("tpl")[d]).over(Window.partitionBy("host", "others", "cluster"))), "|")).select("host", "tpl", "to")
-        nodes = nodes.join(named, ["host", "tpl"], "left").withColumn("tpl", F.when(F.col("to").isNotNull(), F.concat(F.slice("tpl", F.lit(1), F.lit(d)), F.array("to"), F.slice("tpl", d + 2, LEVELS + 1))).otherwise(F.col("tpl"))).drop("to")
+        # a name only; a very long one, which all its templates would carry, is shortened behind its least segments
+        to = cut.groupBy("host", "others", "cluster").agg(F.array_sort(F.collect_set(F.col("tpl")[d])).alias("x"))
+        to = to.withColumn("to", F.when(F.size("x") > 2 * MAX_CHILDREN, F.concat(F.array_join(F.slice("x", 1, MAX_CHILDREN), "|"), F.lit("|..."))).otherwise(F.array_join("x", "|"))).drop("x")
+        named = cut.join(to, ["host", "others", "cluster"]).select("host", "tpl", "to")
+        nodes = nodes.join(named, ["host", "tpl"], "left").withColumn("tpl", F.when(F.col("to").isNotNull(), F.concat(F.slice("tpl", F.lit(1), F.lit(d)), F.array("to"), F.slice("tpl", d + 2, depth + 1))).otherwise(F.col("tpl"))).drop("to")
         nodes = materialise(nodes, f"merged-{d}")
     pool = nodes.groupBy("host", "tpl").agg(F.sum("good").alias("n_good"), F.sum("labelled").alias("n_labelled"))
     by_host = nodes.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("labelled").alias("hk"))

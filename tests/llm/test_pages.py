@@ -134,3 +134,23 @@ def test_url_templates(spark):
     src = df.select("page_id", *(c.alias(n) for c, n in zip(urls.parts(df["url"]), ("host", "path"), strict=True)))
     shown = {r.template for r in urls.templates(src, labels).collect()}
     assert {t for t in shown if "tags" in t} == {"/tags/*/x"} and len(shown) <= 3
+
+
+def test_url_templates_small_sections_and_deep_paths(spark):
+    rows, marks = [], []
+
+    def add(path, good):
+        k = len(rows)
+        rows.append((k, f"http://h.edu{path}"))
+        marks.append((k, good))
+
+    for c in range(60):  # one section in sixty, under a fiftieth of the pages
+        name = f"{chr(97 + c % 26)}{chr(97 + c // 26)}"
+        for k in range(30):
+            add(f"/{name}/{k}.html", int(name != "cb"))
+    for k in range(60):
+        add(f"/w/a/b/c/{'bad' if k % 2 else 'fine'}/{k}.html", 1 - k % 2)
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    out = {r.page_id: r.verdict for r in urls.judge(df, labels).collect()}
+    assert out == {k: "allow" if good else "block" for k, good in marks}
