@@ -5,8 +5,9 @@ presentation importance is the entropy, to the base of its number of pages, of t
 its content importance is one less the mean entropy of its block texts over pages (a text on every page: 0, on one: 1), rolled
 up from all blocks below it.  Branches of composite importance under ``LOW``, on hosts with ``MIN_PAGES`` pages that have the
 node, are removed from each page, as are branches that their element, class, id or role marks as page furniture.  What is
-left of the ``article`` (or ``main``) elements, or of the body where a page has none, is the text.  The article itself and the
-path to it are never removed for their entropy, so copies of one article don't erase each other.
+left of the ``article`` (or ``main``) elements, or of the body where a page has none, is the text.  The article itself, what is
+below it and the path to it are never removed for their entropy, so copies of one article don't erase each other; inside it
+only the marks count.
 """
 
 from __future__ import annotations
@@ -180,7 +181,7 @@ def _nodes(batches):
 
 
 def low_nodes(pages: DataFrame) -> DataFrame:
-    """(host, path) of the style-tree nodes whose composite importance is low; articles and the path to them are never among them."""
+    """(host, path) of the style-tree nodes whose composite importance is low; articles, what is below them and the path to them are never among them."""
     counts = pages.select("url", "html").mapInArrow(tidy(_nodes), _NODES).groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     own = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     m = F.greatest(F.log("m"), F.lit(1e-9))
@@ -190,7 +191,7 @@ def low_nodes(pages: DataFrame) -> DataFrame:
     above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
     texts = texts.select("host", F.explode(above).alias("path"), "entropy", "m").groupBy("host", "path").agg((1 - F.sum("entropy") / F.sum("m")).alias("content"))
     both = shapes.join(texts, ["host", "path"]).where((F.col("m") >= MIN_PAGES) & ((1 - WEIGHT) * F.col("shape") + WEIGHT * F.col("content") < LOW))
-    return both.where(~F.col("path").rlike(r"(^|/)(article|main)(\.[^/]*)?$|^(/html(\.[^/]*)?)?(/body(\.[^/]*)?)?$")).where(~F.col("path").rlike("/(p|h[1-6]|pre|blockquote)$")).select("host", "path")
+    return both.where(~F.col("path").rlike(r"(^|/)(article|main)(\.[^/]*)?(/|$)|^(/html(\.[^/]*)?)?(/body(\.[^/]*)?)?$")).where(~F.col("path").rlike("/(p|h[1-6]|pre|blockquote)$")).select("host", "path")
 
 
 def extract(pages: DataFrame) -> DataFrame:

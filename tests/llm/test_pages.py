@@ -154,3 +154,10 @@ def test_url_templates_small_sections_and_deep_paths(spark):
     labels = spark.createDataFrame(marks, "doc_id long, quality int")
     out = {r.page_id: r.verdict for r in urls.judge(df, labels).collect()}
     assert out == {k: "allow" if good else "block" for k, good in marks}
+
+
+def test_copies_keep_all_of_an_article(spark):
+    body = "<article><div>plain words</div><div class='box'><p>one</p><p>two</p></div><ul><li>item</ul><table><tr><td>cell</table><figure><figcaption>caption</figcaption></figure></article>"
+    df = spark.createDataFrame([(k, "http://c.org/", f"<body>{body}<div class='strip'>Same</div></body>") for k in range(40)], "page_id long, url string, html string")
+    assert {r.text for r in html.extract(df).collect()} == {"plain words\none\ntwo\nitem\ncell\ncaption"}
+    assert {r.path for r in html.low_nodes(df).collect()} == {"/body/div.strip"}
