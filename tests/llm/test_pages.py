@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from docsearch.llm import html, urls, warc
@@ -86,17 +91,111 @@ def test_main_text():
     assert html.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau ypsilon phi chi psi omega".split()
+TREE = "page_id long, url string, html string, text string, host string, node long, kind int"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "t", "h", 1, 2) for r in rows], TREE)
+
+
+def said(k, n=12):
+    r = random.Random(k)
+    return " ".join(r.choices(WORDS, k=n)) + f" {k}"
+
+
+def plain_tree(pages):
+    """Brute force of the style tree: (host, node) to (contents, content, presentation, importance)."""
+    texts, shapes, kinds, above = defaultdict(set), defaultdict(dict), {}, {}
+    for host, page in pages:
+        found = {}
+        blocks = html.parse(page, host, shapes=found)
+        words = "\n".join([t for _, k, _, t in blocks if k == html.ARTICLE] or [t for _, k, _, t in blocks if k != html.FURNISHED] or [t for *_, t in blocks]).lower().split()
+        key = frozenset(" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2)))  # the fixtures' pages differ or are copies
+        for n, _, _, t in blocks:
+            texts[n].add((t, key))
+        for n, (kind, up, tags) in found.items():
+            kinds[n], above[n] = max(kind, kinds.get(n, 0)), up
+            shapes[n][key] = max(shapes[n].get(key, ()), tuple(tags))
+    out, own = {}, {}
+    for n in shapes:
+        m = len(shapes[n])
+        count = Counter(t for t, _ in texts[n])
+        met, shown = sum(c * (c - 1) for c in count.values()), sum(count.values())
+        own[n] = min(1.0, -math.log((met + html.PAIRS * html.RATE[kinds[n]]) / (shown * (m - 1) + html.PAIRS)) / math.log(html.REPEATS)), sum(c * len(t) for t, c in count.items())
+    for n in shapes:
+        m, below = len(shapes[n]), [own[x] for x in shapes if n == x or n in above[x]]
+        chars = sum(c for _, c in below)
+        if chars:
+            content = sum(i * c for i, c in below) / chars
+            pres = -sum(c / m * math.log(c / m) for c in Counter(shapes[n].values()).values()) / math.log(m) if m > 1 else 0.0
+            leaf = not any(shapes[n].values())
+            out[n] = m, content, pres, content if leaf else 0.8 * content + 0.2 * pres
+    return out
+
+
 def test_style_tree(spark):
-    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
-    page = lambda k: f"<body><div class='main'><p>text {k} {words[k % 10]} {k * 7}</p></div><div class='strip'><span>Same words on every page</span></div></body>"
-    rows = [(k, f"http://h.org/{k}", page(k), "t") for k in range(30)] + [(99, "http://other.org/1", page(1), "t"), (98, None, None, "t"), (1, "http://h.org/1", page(1), "t")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
-    assert {(r.host, r.path) for r in html.low_nodes(df).collect()} == {("h.org", "/body/div.strip")}
+    page = lambda k: f"<body><div class='main'><p>{said(k)}</p></div><div class='strip'><span>Same words on every page</span><ul><li>a<li>b</ul></div></body>"
+    rows = [(k, f"http://h.org/{k}", page(k)) for k in range(30)] + [(99, "http://other.org/1", page(1)), (98, None, None), (1, "http://h.org/1", page(1))]
+    df = frame(spark, rows)
     out = {r.page_id: (r.text, r.n_chars) for r in html.extract(df).collect()}
-    assert out[3][0] == f"text 3 {words[3]} 21" and out[99][0].endswith("every page") and out[98] == ("", 0)
+    assert out[3] == (said(3), len(said(3))) and out[99][0] == f"{said(1)}\nSame words on every page\na\nb" and out[98] == ("", 0)
     assert html.extract(df).count() == len(rows) and html.extract(df.limit(0)).count() == 0
-    copies = spark.createDataFrame([(k, "http://c.org/", "<article><h1>A</h1><p>the same article</p></article>") for k in range(40)], "page_id long, url string, html string")
-    assert {r.text for r in html.extract(copies).collect()} == {"A\nthe same article"}
+    # without the tree nothing would go
+    assert html.main_text(page(3)) == f"{said(3)}\nSame words on every page\na\nb"
+
+
+def test_style_tree_is_that_of_brute_force(spark):
+    ads = [f"advert number {k} buy now" for k in range(5)]
+    pages = []
+    for k in range(40):
+        more = "".join(f"<p>{said(100 * k + j)}</p>" for j in range(k % 4))
+        pages.append(("h.org", f"<body><nav><ul><li>Home<li>{WORDS[k % 3]}</ul></nav><div class=box><p>{said(k, 30)}</p>{more}</div><div class='x {k}'>{ads[k % 5]}</div>{'<div class=odd>once</div>' if k == 7 else ''}</body>"))
+        pages.append(("h.org", f"<article><p>{said(5000 + k)}</p><div class=tail>The end of it</div></article><div class=ad>{ads[k % 5]}</div>"))
+    want = plain_tree(pages)
+    got = {r.node: r for r in html.style_tree(spark.createDataFrame(pages, "host string, html string").repartition(3)).collect()}
+    assert got.keys() == want.keys()
+    for n, (m, *values) in want.items():
+        r = got[n]
+        # the operator knows contents by one minimum hash, so a few different pages may be one
+        assert abs(r.contents - m) <= 0.2 * m + 1 and np.allclose([r.content, r.presentation, r.importance], values, atol=0.12), (r, m, values)
+
+
+def test_pages_without_article(spark):
+    menu = "".join(f"<li>{w}" for w in WORDS)
+    page = lambda k, body: f"<body><div id=top><ul>{menu}</ul></div><div class=box><h2>{said(k, 4)}</h2>{body}</div><div class=box2><p>Read on in the archive</p></div></body>"
+    rows = [(k, "http://h.org/", page(k, f"<p>{said(k)}</p><p>{said(1000 + k)}</p>")) for k in range(25)]
+    rows += [(100 + k, "http://few.org/", page(k, f"<p>{said(k)}</p>")) for k in range(2)]
+    out = {r.page_id: r.text for r in html.extract(frame(spark, rows)).collect()}
+    assert all(out[k] == f"{said(k, 4)}\n{said(k)}\n{said(1000 + k)}" for k in range(25))
+    assert "archive" in out[100]  # two pages show nothing yet
+
+
+def test_the_tree_overrules_marks(spark):
+    # furniture by name whose texts are all different is content, and a note in all articles is none; comments never are text
+    page = lambda k: f"<div class=promo><p>{said(k, 30)}</p></div><div class=promotion>Buy</div><div class=comments><p>{said(9000 + k)}</p></div>"
+    story = lambda k: f"<nav>Menu</nav><article><p>{said(k, 30)}</p><div class=end>Thank you for reading</div><div class=comments>{said(9000 + k)}</div></article>"
+    rows = [(k, "http://p.org/", f"<body>{page(k)}</body>") for k in range(150)] + [(1000 + k, "http://s.org/", story(k)) for k in range(30)] + [(2000, "http://one.org/", f"<body>{page(1)}x</body>"), (2001, "http://one.org/", story(1))]
+    out = {r.page_id: r.text for r in html.extract(frame(spark, rows)).collect()}
+    assert all(out[k] == said(k, 30) for k in range(150)) and all(out[1000 + k] == said(k, 30) for k in range(30))
+    assert out[2000] == "x" and out[2001] == f"{said(1, 30)}\nThank you for reading"
+
+
+def test_tree_alone_on_the_tables(spark):
+    """On a host with some hundred pages of the tables, the tree alone separates the articles, without any mark."""
+    names = {"nav": "n", "article": "a", "footer": "f"}
+    found = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").limit(1200).collect()]
+    bare = [re.sub(r"<(/?)(nav|article|footer)>", lambda m: "</div>" if m[1] else f'<div class="{names[m[2]]}">', page).replace('"ad"', '"x"') for page in found]
+    bare = [re.sub(r"&copy; \S+", "&copy; h.org", x) for x in bare]
+    low = {r.node for r in html.style_tree(spark.createDataFrame([("h.org", x) for x in bare], "host string, html string")).collect() if not r.stays}
+    assert all(html.main_text(x, "h.org", frozenset(low)) == html.main_text(page) for x, page in zip(bare, found, strict=True))
+    assert html.main_text(bare[0], "h.org") != html.main_text(found[0])
+
+
+def test_long_and_odd_pages(spark):
+    rows = [(1, "u", "<div>" * 3000 + "deep" + "<p>x</p>" * 5), (2, "http://a/", "<table>" + "<tr><td>a<td>b" * 20000 + "</table>"), (3, "http://a/", "word " * 300000), (4, "http://A/", "<article></article><div>text</div>"), (5, "http://a/", "<!-- <article> --><div>text</div>"), (None, "http://a/", "<p>z")]
+    out = {r.page_id: r for r in html.extract(frame(spark, rows)).collect()}
+    assert out[1].text == "deep\nx\nx\nx\nx\nx" and out[2].n_chars == 79999 and out[3].n_chars == 1499999 and out[4].text == out[5].text == "text" and out[None].text == "z"
 
 
 def test_url_rules(spark):
@@ -158,6 +257,8 @@ def test_url_templates_small_sections_and_deep_paths(spark):
 
 def test_copies_keep_all_of_an_article(spark):
     body = "<article><div>plain words</div><div class='box'><p>one</p><p>two</p></div><ul><li>item</ul><table><tr><td>cell</table><figure><figcaption>caption</figcaption></figure></article>"
-    df = spark.createDataFrame([(k, "http://c.org/", f"<body>{body}<div class='strip'>Same</div></body>") for k in range(40)], "page_id long, url string, html string")
-    assert {r.text for r in html.extract(df).collect()} == {"plain words\none\ntwo\nitem\ncell\ncaption"}
-    assert {r.path for r in html.low_nodes(df).collect()} == {"/body/div.strip"}
+    rows = [(k, "http://c.org/", f"<body>{body}<div class='strip'>Same</div></body>") for k in range(40)]
+    near = [(100 + k, "http://n.org/", f"<article><h1>The same head</h1><p>{said(7, 60)}</p><p>{said(k % 10)}</p></article><footer>{k}</footer>") for k in range(40)]
+    out = {r.page_id: r.text for r in html.extract(frame(spark, rows + near)).collect()}
+    assert {out[k] for k in range(40)} == {"plain words\none\ntwo\nitem\ncell\ncaption"}
+    assert all(out[100 + k] == f"The same head\n{said(7, 60)}\n{said(k % 10)}" for k in range(40))
