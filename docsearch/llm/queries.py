@@ -87,7 +87,7 @@ _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstu
 SQL: dict[str, str] = {
     "op2_warc_salvage": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
 q AS (SELECT page_id, octet_length(b) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h || '0', (5 * i) // 4 + 1, 2))::INT >> (3 - (5 * i) % 4)) & 31) + 1, 1)), '') AS payload_digest, max(page_id) OVER (PARTITION BY h) AS last FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last OR page_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM q""",
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last OR page_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, 0::BIGINT AS n_gaps FROM q""",
     "op9_suffix_repetition": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS % "text"} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
 g AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, (VALUES (3), ({repeats.MIN_REPEAT}), ({repeats.LONGEST + 1})) AS n(k) WHERE len(w) >= k),
 r AS (SELECT doc_id, k, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k, array_to_string(w[i:i + k - 1], ' ')) > 1),

@@ -5,9 +5,11 @@ Each page becomes a record in a gzip member of its own.  Of pages with equal pay
 Files are written by Spark's text writer, whose line separator is set to the zero byte that a member ends with, so the
 files are plain concatenations of members in any file system that Spark can write.
 
-The reader takes members and bare records alike.  Whatever fails a check (gzip CRC and length, version line,
-Content-Length, record end, block digest) is skipped up to the next offset from which a valid record can be read, found by
-searching for member and version lines; later records are recovered and the bytes between are logged as a gap.
+The reader takes members and bare records alike, in time linear in the file.  A member is first inflated in chunks for its extent and
+checksum, then once more for its records, which leave as they come.  Whatever fails a check (gzip CRC and length, version line,
+Content-Length, record end, block digest) is skipped up to the next valid record: inside a member at the next version line of what was
+inflated, else at the next offset of the file with a valid member or record.  Of a damaged or cut member the records with a right block digest
+are recovered.  All bytes between are logged as gaps.
 """
 
 from __future__ import annotations
@@ -17,16 +19,19 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsearch.llm.common import arrow_batches, remove, shared_folder, small, tidy
+from docsearch.llm.common import arrow_batches, materialise, remove, shared_folder, small, tidy
 
 #: A file is closed after so many records; a task reads one file at once.
 FILE_RECORDS = 2000
+#: A header has an end within so many bytes; members are inflated in chunks of that many.
+HEADER_BYTES, _CHUNK = 1 << 20, 1 << 18
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _EMPTY_MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 
@@ -67,15 +72,19 @@ class Bad(ValueError):
     pass
 
 
-def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
-    """(fields, block, end) of the record at an offset."""
+def _parse(data: bytes | bytearray, at: int, more: Callable[[], bool] = lambda: False, strict: bool = False) -> tuple[dict, bytes, int]:
+    """(fields, block, end) of the record at an offset; more: appends to the data, false at its end; strict: with a block digest only."""
+    while len(data) - at < 10 and more():
+        pass
     if data[at : at + 7] != _VERSION or data[at + 7 : at + 10] not in (b"0\r\n", b"1\r\n"):
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        raise Bad("the header has no end")
+    seen = at
+    while (end := data.find(b"\r\n\r\n", seen, at + HEADER_BYTES)) < 0:
+        seen = max(at, len(data) - 3)
+        if len(data) >= at + HEADER_BYTES or not more():
+            raise Bad("the header has no end")
     try:
-        head = data[at:end].decode()
+        head = bytes(data[at:end]).decode()
     except UnicodeDecodeError as e:
         raise Bad("a header that is not text") from e
     fields = {}
@@ -85,62 +94,138 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
             raise Bad("a header line without a colon")
         fields[key.strip().lower()] = value.strip()
     size = fields.get("content-length", "")
-    if not size.isdecimal():
+    if not (size.isascii() and size.isdecimal()):
         raise Bad("no Content-Length")
     start = end + 4
     stop = start + int(size)
+    while len(data) < stop + 4 and more():
+        pass
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Bad("the block's length is not Content-Length")
-    block = data[start:stop]
+    block = bytes(data[start:stop])
     want = fields.get("warc-block-digest", "")
-    if want.lower().startswith("sha1:") and want[5:] != digest(block):
+    known = want.lower().startswith("sha1:")
+    if known and want[5:] != digest(block):
         raise Bad("the block's digest differs")
+    if strict and not known:
+        raise Bad("no block digest in a damaged member")
     return fields, block, stop + 4
 
 
-def _at(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int]:
-    """(records, end) of the member or bare record at an offset."""
-    if data[at : at + 3] != _MAGIC:
-        fields, block, end = _parse(data, at)
-        return [(fields, block)], end
-    d = zlib.decompressobj(31)
-    try:
-        raw = d.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Bad(f"gzip: {e}") from e
-    if not d.eof:
-        raise Bad("gzip: cut off")
-    found, pos = [], 0
-    while pos < len(raw):
-        fields, block, pos = _parse(raw, pos)
-        found.append((fields, block))
-    return found, len(data) - len(d.unused_data)
-
-
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """("record", start, end, (fields, block)) and ("gap", start, end, reason), in order; together they cover the data."""
-    at = 0
+def _inflate(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """(bytes, 0) as they come, at the end (b"", offset behind the member); Bad for damage and a cut."""
+    d, view, step = zlib.decompressobj(31), memoryview(data), 1 << 10
     while at < len(data):
+        chunk = view[at : at + step]
+        at += len(chunk)
+        step = min(2 * step, _CHUNK)
+        while True:
+            try:
+                out = d.decompress(chunk, _CHUNK)
+            except zlib.error as e:
+                raise Bad(f"gzip: {e}") from e
+            if out:
+                yield out, 0
+            chunk = d.unconsumed_tail
+            if d.eof or not chunk:
+                break
+        if d.eof:
+            yield b"", at - len(d.unused_data)
+            return
+    raise Bad("gzip: cut off")
+
+
+def _inner(data: bytes, at: int, strict: bool) -> Iterator[tuple]:
+    """("record" or "gap", inflated start, end, (fields, block) or reason) of a member; strict for a damaged one."""
+    chunks = _inflate(data, at)
+    buf, base = bytearray(), 0
+
+    def more() -> bool:
+        try:
+            out, _ = next(chunks)
+        except (Bad, StopIteration):
+            return False
+        buf.extend(out)
+        return bool(out)
+
+    pos, bad, reason = 0, -1, ""
+    while pos < len(buf) or more():
         try:
-            found, end = _at(data, at)
+            fields, block, end = _parse(buf, pos, more, strict)
         except Bad as e:
-            reason, nxt = str(e), at
-            while True:  # the next offset from which a record can be read
-                places = [p for p in (data.find(_MAGIC, nxt + 1), data.find(_VERSION, nxt + 1)) if p >= 0]
-                nxt = min(places, default=len(data))
-                if nxt == len(data):
+            if bad < 0:
+                bad, reason = base + pos, str(e)
+            while (nxt := buf.find(_VERSION, pos + 1)) < 0:
+                pos = max(pos, len(buf) - len(_VERSION))
+                if not more():
                     break
-                try:
-                    _at(data, nxt)
-                    break
-                except Bad:
-                    pass
-            yield "gap", at, nxt, reason
-            at = nxt
-            continue
-        for x in found:
-            yield "record", at, end, x
-        at = end
+            pos = nxt if nxt >= 0 else len(buf)
+        else:
+            if bad >= 0:
+                yield "gap", bad, base + pos, reason
+                bad = -1
+            yield "record", base + pos, base + end, (fields, block)
+            pos = end
+        if pos > _CHUNK:
+            del buf[:pos]
+            base, pos = base + pos, 0
+    if bad >= 0:
+        yield "gap", bad, base + len(buf), reason
+
+
+def _member(data: bytes, at: int) -> tuple[int, str, Iterator[tuple]]:
+    """(end, what is wrong or "", rows of _inner) of the member at an offset; Bad for a damaged one without a record."""
+    end, fault = at, ""
+    try:
+        for _, stop in _inflate(data, at):
+            end = stop or end
+    except Bad as e:
+        fault = str(e)
+    rows = _inner(data, at, bool(fault))
+    if fault:
+        first = next((x for x in rows if x[0] == "record"), None)
+        if first is None:
+            raise Bad(fault)
+        rows = chain([first], (x for x in rows if x[0] == "record"))
+    return end, fault, rows
+
+
+def salvage(data: bytes) -> Iterator[tuple[str, int, int, object, int | None, int | None]]:
+    """("record", start, end, (fields, block), inner start, inner end) and ("gap", start, end, reason, inner start, inner end), in order.
+
+    Offsets are those of the file, the inner ones of the inflated member (None for bare records and gaps between).  Together they cover
+    the data; records of a damaged member have no extent of their own, as the gap behind them is the whole member.
+    """
+    at, bad, reason = 0, -1, ""
+    places = {_MAGIC: -1, _VERSION: -1}
+    while at < len(data):
+        fault = ""
+        try:
+            if data[at : at + 3] == _MAGIC:
+                end, fault, rows = _member(data, at)
+            else:
+                fields, block, end = _parse(data, at)
+                rows = iter([("record", None, None, (fields, block))])
+        except Bad as e:
+            fault, rows = str(e), None
+        if rows is not None:
+            if bad >= 0:
+                yield "gap", bad, at, reason, None, None
+                bad = -1
+            for kind, a, b, x in rows:
+                yield kind, at, at if fault else end, x, a, b
+        if fault:
+            if bad < 0:
+                bad, reason = at, fault
+            for what, place in places.items():
+                if place <= at:
+                    found = data.find(what, at + 1)
+                    places[what] = found if found >= 0 else len(data)
+            at = min(places.values())
+        else:
+            at = end
+    if bad >= 0:
+        yield "gap", bad, len(data), reason, None, None
 
 
 def write(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
@@ -166,8 +251,8 @@ def write(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None
     (rows.mapInArrow(tidy(run), "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", file_records).text(path))
 
 
-_SCHEMA = "file string, start long, end long, gap string, fields map<string,string>, payload_bytes long, payload_digest string, block binary"
-_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.binary()]
+_SCHEMA = "file string, start long, end long, inner_start long, inner_end long, gap string, fields map<string,string>, payload_bytes long, payload_digest string, block binary"
+_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.binary()]
 
 
 def _payload(fields: dict, block: bytes) -> tuple[int | None, str | None]:
@@ -190,11 +275,11 @@ def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 name, rows, held = batch.column(0)[k].as_py(), [], 0
-                for kind, a, b, x in salvage(batch.column(1)[k].as_py()):
+                for kind, a, b, x, i, j in salvage(batch.column(1)[k].as_py()):
                     if kind == "gap":
-                        rows.append((name, a, b, x, None, None, None, None))
+                        rows.append((name, a, b, i, j, x, None, None, None, None))
                     else:
-                        rows.append((name, a, b, None, list(x[0].items()), *_payload(*x), x[1] if blocks else None))
+                        rows.append((name, a, b, i, j, None, list(x[0].items()), *_payload(*x), x[1] if blocks else None))
                         held += len(x[1]) if blocks else 0
                     if len(rows) >= 1000 or held > 1 << 24:
                         yield batch_of(rows)
@@ -207,15 +292,15 @@ def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each page, from archives written and read back.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, n_gaps) of each page, from archives written and read back.
 
     Lengths and digests of responses are computed from the payload that was read; those of revisits are what the record
-    says of the payload that it refers to.  An empty table gives an empty result.
+    says of the payload that it refers to.  n_gaps counts the quarantined byte gaps of all archives.  An empty table gives an empty result.
     """
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/docsearch-{uuid.uuid4().hex}/archives"
     write(pages, path)
     atexit.register(remove, spark, path)
     number = lambda name: F.expr(f"try_cast(regexp_extract(fields['{name}'], '^<urn:page:(-?[0-9]*)>$', 1) as long)")
-    kind = F.col("fields")["warc-type"].alias("record_type")
-    return read(spark, path, blocks=False).where("gap is null").select(number("warc-record-id").alias("page_id"), "payload_bytes", "payload_digest", kind, number("warc-refers-to").alias("refers_to"))
+    log = materialise(read(spark, path, blocks=False).select(number("warc-record-id").alias("page_id"), "payload_bytes", "payload_digest", F.col("fields")["warc-type"].alias("record_type"), number("warc-refers-to").alias("refers_to"), "gap"), "records")
+    return log.where("gap is null").drop("gap").withColumn("n_gaps", F.lit(log.where("gap is not null").count()))

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -26,7 +27,7 @@ def test_round_trip(spark):
         body = (h or "").encode()
         top = None if i is None else max(j for j, _, x in PAGES if j is not None and (x or "") == (h or ""))
         response = i is None or top == i
-        want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if response else "revisit", None if response else top))
+        want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if response else "revisit", None if response else top, 0))
     assert got == sorted(want, key=str)
     assert warc.round_trip(df.limit(0)).count() == 0
 
@@ -36,7 +37,7 @@ def records(n=6):
 
 
 def ids(found):
-    return [int(x[0]["warc-record-id"][10:-1]) for kind, _, _, x in found if kind == "record"]
+    return [int(x[0]["warc-record-id"][10:-1]) for kind, _, _, x, *_ in found if kind == "record"]
 
 
 @pytest.mark.parametrize("packed", [True, False])
@@ -51,13 +52,13 @@ def test_salvage(packed):
         (whole[: inside - 20] + whole[inside:], [0, 1, 3, 4, 5], 1),
         (b"junk" + whole, list(range(6)), 1),
         (whole + b"\x1f\x8b\x08 tail WARC/1.1\r\n", list(range(6)), 1),
-        (whole[:-9], [0, 1, 2, 3, 4], 1),
+        (whole[:-9], list(range(6)) if packed else [0, 1, 2, 3, 4], 1),  # the member lacks its checksum, the record has its own
         (whole[:at] + b"noise WARC/1.1\r\nContent-Length: 5\r\n\r\n" + whole[at:], list(range(6)), 1),
     ):
         found = list(warc.salvage(broken))
         assert ids(found) == want
         assert sum(kind == "gap" for kind, *_ in found) >= gaps
-        edges = [(a, b) for _, a, b, _ in found]
+        edges = [(a, b) for _, a, b, *_ in found]
         assert edges[0][0] == 0 and edges[-1][1] == len(broken) and all(x[1] == y[0] for x, y in zip(edges, edges[1:], strict=False))
     assert list(warc.salvage(b"")) == [] and [k for k, *_ in warc.salvage(b"nothing here")] == ["gap"]
 
@@ -70,6 +71,33 @@ def test_salvage_digest_and_members():
     assert all(warc.member(b"x" * n)[-1] == 0 for n in (0, 1, 100))
 
 
+def test_salvage_inside_members():
+    r = records(3)
+    changed = [r[0], r[1].replace(b"page 1", b"page X", 1), r[2]]
+    found = list(warc.salvage(zlib.compress(b"".join(changed), wbits=31) + warc.member(records(5)[4])))
+    assert ids(found) == [0, 2, 4] and [(x[4], x[5]) for x in found if x[0] == "gap"] == [(len(r[0]), len(r[0]) + len(r[1]))]
+    noise = random.Random(1).randbytes(3000)
+    packed = zlib.compress(r[0] + r[1] + warc.record(2, noise.hex(), noise.hex(), None), wbits=31)
+    found = list(warc.salvage(packed[:-600] + warc.member(records(5)[4])))
+    assert ids(found) == [0, 1, 4] and [(x[1], x[2]) for x in found if x[0] == "gap"] == [(0, len(packed) - 600)]
+    assert [x[1:3] for x in found if x[0] == "record"][:2] == [(0, 0), (0, 0)]
+    assert ids(warc.salvage(zlib.compress(b"no record here", wbits=31))) == []
+    assert ids(warc.salvage(zlib.compress(b"x" * 3_000_000 + b"".join(r), wbits=31))) == [0, 1, 2]
+
+
+def test_salvage_is_linear():
+    one = warc.member(warc.record(1, "u", random.Random(2).randbytes(2000).hex(), None))
+    long = warc.record(2, "u", "x" * 5_000_000, None)
+    took = []
+    for n in (2000, 20000):
+        data = one * n + b"\x1f\x8b\x08WARC/1.1\r\n" * 1000 + long
+        began = time.process_time()
+        found = [x[0] for x in warc.salvage(data)]
+        took.append(time.process_time() - began)
+        assert found.count("record") == n + 1 and found.count("gap") == 1
+    assert took[1] < 20 * took[0] + 1
+
+
 def test_gaps_are_rows(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"bad" + b"".join(map(warc.member, records(3))))
     (tmp_path / "b.warc").write_bytes(b"")
