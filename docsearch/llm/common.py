@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 500
 #: A side is broadcast up to so many rows of a few longs each (counted, not estimated); beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
+#: From so many edges on, each side of a join in ``components`` is a table.
+SPLIT_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,13 +72,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts the lineage.
 
     Unlike ``checkpoint()`` it is columnar and compressed, and unlike ``localCheckpoint`` it outlives executors.
-    It is removed when the driver's Python ends.
+    It is removed by ``release``, or when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/docsearch-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_folder(spark)}/docsearch-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    atexit.register(remove, spark, folder)
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out._scratch = folder
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that ``materialise`` has made and that nothing will read again."""
+    for df in tables:
+        if folder := getattr(df, "_scratch", None):
+            remove(df.sparkSession, folder)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -85,6 +96,12 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is not among the ids (a column doc_id of longs); a null doc_id stays."""
+    name = f"_{uuid.uuid4().hex}"  # clashes with no column of docs
+    return docs.join(small(ids.toDF(name)), docs["doc_id"].cast("long") == F.col(name), "left_anti")
+
+
 def crc_mod(column: Column, mod: int) -> Column:
     """crc32 of a value as text, modulo mod; a null counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit(""))), F.lit(mod))
@@ -93,25 +110,29 @@ def crc_mod(column: Column, mod: int) -> Column:
 def components(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
     """(node, component): the least node reachable, for all nodes of the edges (a, b).
 
-    Alternating large-star and small-star steps; each is an aggregate with map-side combining and a join, so a
-    hub of any degree is never gathered in one task.  Each step's edges are a table in the shared folder.
+    Alternating large-star and small-star steps; each is an aggregate with map-side combining and a join, which Spark can split where a
+    hub has very many edges.  Each step's edges are a table in the shared folder.
     Ends when a step changes nothing, which takes about log2 of the longest path.
     """
     e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    if e.isEmpty():
+    n = e.count()
+    if not n:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     last = None
     for _ in range(most):
+        # a join with an aggregate can't be split where a hub has very many edges, one with a table can
+        settled = (lambda df: materialise(df, name)) if n > SPLIT_ROWS else (lambda df: df)
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct()
-        e = materialise(e, name)
+        least = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = settled(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        low = settled(large.groupBy("a").agg(F.min("b").alias("m")))
+        step = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct()
+        before, e = e, materialise(step, name)
+        release(before, least, large, low)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last:
             break
-        last = now
+        last, n = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsearch.llm import textkit
-from docsearch.llm.common import arrow_batches, materialise, small, tidy
+from docsearch.llm.common import arrow_batches, materialise, small, tidy, without
 
 WINDOW, LITERALS, COVER, MAP_BITS = 8, 5, 0.5, 24
 #: Units that may follow a number.
@@ -229,5 +229,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFr
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id has no leak; a null doc_id stays."""
-    bad = materialise(leaks(docs, benchmark, cover).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
-    return docs.join(small(bad), docs["doc_id"].cast("long") == F.col("leaked"), "left_anti")
+    return without(docs, materialise(leaks(docs, benchmark, cover).select("doc_id").distinct(), "leaked"))

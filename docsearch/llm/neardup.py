@@ -3,27 +3,31 @@
 Every text becomes its set of distinct 5-word shingles.  Texts with equal sets form one class.  A class has a
 signature of ``COORDS`` minima; it is posted under its (coordinate, value) pairs.  Two sets with a similarity of
 0.75 agree in 48 +- 3.5 of 64 coordinates; ``MATCHES`` = 32 lies 4.6 standard deviations below, and a pair with so
-many matches must share one of the 64 - 32 + 1 rarest pairs of each (prefix).  Pairs that one class alone has are
-no postings at all, and a class with fewer than 32 shared pairs has no partner (skip merging).
-
-Within a posting list, classes are first joined to one pivot each (two rounds, with other pivots), confirmed on
-the full sets, and merged into components; only lists that then still hold several components are compared
-exhaustively, in blocks of 512 x 512, by bit sets of the full shingle sets, and only links leave a block.  So no
-list is expanded into pairs, nothing is capped, and a hot list is spread over many tasks.
+many matches must share a posting among the rarest of each, if each leaves out its ``MATCHES`` - 1 most frequent ones
+(prefix).  Pairs that one class alone has are no postings at all, and a class with fewer than ``MATCHES`` shared ones has no
+partner (skip merging); nor have classes that are in one component already, or whose set sizes differ too much.
+
+For each pair that a posting list brings together the colliding coordinates of the two signatures are counted, and pairs
+with ``MATCHES`` or more are confirmed on the full sets.  Within a list, classes are first paired with one pivot each (two
+rounds, with other pivots) and merged into components; only lists that then still hold several components are counted
+exhaustively, signatures only, in blocks of 2048 x 2048.  Full sets go to those that such a count leaves undecided, once for each
+sub-block of 512 x 512, and only links leave it.  So no list is expanded into pairs, nothing is capped, and a hot list is
+spread over many tasks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsearch.llm import textkit
-from docsearch.llm.common import arrow_batches, components, materialise, small, tidy
+from docsearch.llm.common import arrow_batches, components, materialise, release, small, tidy, without
 
-SHINGLE, COORDS, MATCHES, BLOCK = 5, 64, 32, 512
+SHINGLE, COORDS, MATCHES, BLOCK, SUB = 5, 64, 32, 2048, 512
 _MULT = np.random.default_rng(64).integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -36,42 +40,45 @@ def _minima(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(size, two sums of hashes) of each set."""
+    size = np.diff(off)
+    a = np.zeros((3, len(size)), np.uint64)
+    a[0] = size
+    if some := len(at := np.flatnonzero(size)):
+        for k in (1, 2):
+            a[k, at] = np.add.reduceat(textkit.mix(h, k), off[at])
+    return a.view(np.int64) if some else a.astype(np.int64)
+
+
 def _signatures(shingle: int):
     def run(batches):
         for batch in batches:
-            ids, sig, n, k1, k2 = batch.column(0), [], [], [], []
-            for i, j, h, off in textkit.shingle_sets(batch.column(1), shingle):
-                size = np.diff(off)
-                some = np.flatnonzero(size)
-                a = np.zeros((3, j - i), np.uint64)
-                if len(some):
-                    a[0, some] = np.add.reduceat(textkit.mix(h, 1), off[some])
-                    a[1, some] = np.add.reduceat(textkit.mix(h, 2), off[some])
-                    rows = _minima(h, off[some])
-                else:
-                    rows = np.zeros((0, COORDS), np.int32)
-                at = np.concatenate([[0], np.cumsum(np.where(size > 0, COORDS, 0))]).astype(np.int32)
+            sig, keys = [], []
+            for _, _, h, off in textkit.shingle_sets(batch.column(1), shingle):
+                some = np.flatnonzero(np.diff(off))
+                rows = _minima(h, off[some]) if len(some) else np.zeros((0, COORDS), np.int32)
+                at = np.concatenate([[0], np.cumsum(np.where(np.diff(off) > 0, COORDS, 0))]).astype(np.int32)
                 sig.append(pa.ListArray.from_arrays(pa.array(at), pa.array(rows.ravel())))
-                n.append(size)
-                k1.append(a[0].view(np.int64))
-                k2.append(a[1].view(np.int64))
-            if not n:
-                continue
-            cat = lambda xs: pa.array(np.concatenate(xs).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, cat(n), cat(k1), cat(k2), pa.concat_arrays(sig)], ["doc_id", "n_shingles", "k1", "k2", "sig"])
+                keys.append(_keys(h, off))
+            if keys:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.concatenate(keys, axis=1)), pa.concat_arrays(sig)], ["doc_id", "n_shingles", "k1", "k2", "sig"])
 
     return run
 
 
 def _sets(shingle: int):
-    """Full shingle sets as sorted little-endian 64-bit numbers."""
+    """Full shingle sets as sorted little-endian 64-bit numbers, with their keys."""
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, keys = [], []
             for i, j, h, off in textkit.shingle_sets(batch.column(1), shingle):
                 out += [h[off[r] : off[r + 1]].tobytes() for r in range(j - i)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["cid", "grams"])
+                keys.append(_keys(h, off))
+            if out:
+                n, k1, k2 = np.concatenate(keys, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(k1), pa.array(k2), pa.array(out, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "grams"])
 
     return run
 
@@ -81,13 +88,15 @@ def _linked(common, a, b, percent: int):
 
 
 def _confirm(percent: int):
+    """Of (ca, cb, a, ga, gb), in runs of equal a, the (ca, cb) whose full sets are linked."""
+
     def run(batches):
         for batch in batches:
-            keep, mine, last = [], None, None
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x is not last:
-                    mine, last = np.frombuffer(x, np.uint64), x
-                other = np.frombuffer(y, np.uint64)
+            keep, mine, last = [], np.zeros(0, np.uint64), None
+            for a, x, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                if a != last:
+                    mine, last = np.frombuffer(x.as_buffer(), np.uint64), a
+                other = np.frombuffer(y.as_buffer(), np.uint64)
                 keep.append(bool(_linked(len(np.intersect1d(mine, other, assume_unique=True)), len(mine), len(other), percent)))
             t = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             if t.num_rows:
@@ -108,35 +117,60 @@ def _bits(sets: list[np.ndarray]) -> np.ndarray:
     return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
 
 
-def _compare(percent: int):
-    """Links of different components between the two sides of a block pair."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("cid")
-        _, bi, bj = key
-        cid, comp, block = (pdf[c].to_numpy() for c in ("cid", "comp", "block"))
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
-        size = np.array([len(x) for x in sets])
-        bits = _bits(sets)
-        right = np.flatnonzero(block == bj)
-        out: list[tuple[int, int]] = []
-        for i in np.flatnonzero(block == bi):
-            js = right[comp[right] != comp[i]]
-            js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
-            if bi == bj:
-                js = js[js > i]
-            if len(js):
-                both = np.bitwise_count(bits[js] & bits[i]).sum(1, dtype=np.int64)
-                out += [(int(cid[i]), int(cid[j])) for j in js[_linked(both, size[i], size[js], percent)]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _collide(percent: int):
+    """Counts colliding coordinates between the two sides of a block pair, and deals what may be linked to sub-blocks.
+
+    A row for each class of a sub-block with such a partner; those of the left side carry their partners.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cid")
+        token, bi, bj = (t[c][0].as_py() for c in ("token", "bi", "bj"))
+        cid, comp, block, size = (t[c].to_numpy() for c in ("cid", "comp", "block", "n_shingles"))
+        sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDS)
+        left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+        partners: dict[tuple[int, int], dict[int, list]] = {}
+        for x, i in enumerate(left.tolist()):
+            js = right[x + 1 :] if bi == bj else right
+            ok = (comp[js] != comp[i]) & (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))
+            js = js[ok]
+            js = js[(sig[js] == sig[i]).sum(1) >= MATCHES]
+            for y in np.unique(np.searchsorted(right, js) // SUB).tolist():
+                partners.setdefault((x // SUB, y), {})[i] = js[np.searchsorted(right, js) // SUB == y].tolist()
+        rows = []
+        for (x, y), found in partners.items():
+            for i in sorted({j for js in found.values() for j in js} | set(found)):
+                rows.append((token, bi, bj, x, y, int(cid[i]), int(comp[i]), cid[found[i]].tolist() if i in found else None))
+        kinds = [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["token", "bi", "bj", "x", "y", "cid", "comp", "partners"])
+
+    return run, "token long, bi int, bj int, x int, y int, cid long, comp long, partners array<long>"
+
+
+def _decide(percent: int):
+    """Links of different components within a sub-block, on the full sets."""
+
+    def run(t: pa.Table) -> pa.Table:
+        cid, comp = t["cid"].to_numpy(), t["comp"].to_numpy()
+        place = {c: k for k, c in enumerate(cid.tolist())}
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["grams"]]
+        size, bits = np.array([len(x) for x in sets]), _bits(sets)
+        links: set[tuple[int, int]] = set()
+        for i, js in enumerate(t["partners"].to_pylist()):
+            if js:
+                j = np.array([place[c] for c in js])
+                both = np.bitwise_count(bits[j] & bits[i]).sum(1, dtype=np.int64)
+                links.update((int(comp[i]), int(c)) for c in comp[j[_linked(both, size[i], size[j], percent)]])
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["ca", "cb"])
 
     return run
 
 
-def _relabel(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lists with their classes' components merged along the links, and (comp, root) for what changed."""
+def _merge(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Lists with their classes' components merged along the links."""
     roots = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    return lists.join(roots.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component"), roots
+    return lists.join(roots.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
@@ -145,78 +179,85 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Documents are linked when 100 * |A n B| >= percent * |A u B| for their shingle sets; ``component_id`` is the
     smallest doc_id reachable, ``kept`` tells whether that is the document itself.  A text with fewer words than a
     shingle is one shingle; null, empty and blank texts have none and are linked with nothing.  Rows that share a
-    doc_id each get a row, with the least component of any of their texts.  A null doc_id is linked with nothing: its component_id is null and it is kept.  An
+    doc_id are one document: each gets a row, and the links of all their texts count.  A null doc_id is linked with nothing: its component_id is null and it is kept.  An
     empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    p1 = materialise(src.mapInArrow(tidy(_signatures(shingle)), "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"), "signatures")
+    p1 = src.mapInArrow(tidy(_signatures(shingle)), "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>")
+    p1 = materialise(p1.withColumn("row", F.monotonically_increasing_id()), "signatures")
     keyed = p1.where("n_shingles > 0 and doc_id is not null")
     # classes of several rows; a table of its own, so that both sides of the join are plain shuffles, which Spark splits where
-    # one class has very many copies
-    sets_key = ["n_shingles", "k1", "k2"]
-    classes = materialise(keyed.groupBy(*sets_key).agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "classes")
-    members = keyed.select("doc_id", *sets_key).join(classes, sets_key, "left").select("doc_id", F.coalesce("cid", "doc_id").alias("cid"))
-    members = materialise(members.distinct(), "members")
-    reps = keyed.join(members.where("doc_id = cid").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cid"), "n_shingles", "sig")
+    # one class has very many copies (so are the tables below that lists of any length are joined with)
+    key = ["n_shingles", "k1", "k2"]
+    classes = materialise(keyed.groupBy(*key).agg(F.min("row").alias("cid"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "classes")
+    members = keyed.join(classes, key, "left").withColumn("cid", F.coalesce("cid", "row"))
+    members = materialise(members.select("row", "doc_id", *key, "cid", F.when(F.col("row") == F.col("cid"), F.col("sig")).alias("sig")), "members")
+    reps = members.where("row = cid")
     post = reps.select("cid", F.posexplode("sig").alias("pos", "value")).select("cid", F.xxhash64("pos", "value").alias("token"))
-    shared = post.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    need = COORDS - MATCHES
+    shared = materialise(post.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     lists = (
         post.join(shared, "token")
         .groupBy("cid")
         .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))
         .where(F.size("ts") >= MATCHES)
-        .select("cid", F.explode(F.slice("ts", F.lit(1), F.size("ts") - (need - 1))).alias("t"))
+        .select("cid", F.explode(F.slice("ts", F.lit(1), F.size("ts") - (MATCHES - 1))).alias("t"))
         .select(F.col("t.token").alias("token"), "cid", F.col("cid").alias("comp"))
     )
     lists = materialise(lists, "postings")
-    wanted = materialise(lists.select("cid").distinct(), "candidates")
-    source = src.join(small(wanted.withColumnRenamed("cid", "doc_id")), "doc_id", "left_semi").join(small(members.where("doc_id <> cid").select("doc_id").distinct()), "doc_id", "left_anti")
-    sets = materialise(source.mapInArrow(tidy(_sets(shingle)), "cid long, grams binary").dropDuplicates(["cid"]), "sets")
-    sig = reps.select("cid", "n_shingles", "sig").join(small(wanted), "cid", "left_semi")
-    sig = materialise(sig, "candidate-signatures")
-
-    labels: list[DataFrame] = []
+    release(classes, shared)
+    wanted = reps.join(small(lists.select("cid").distinct()), "cid", "left_semi")
+    wanted = materialise(wanted.select("cid", "doc_id", *key, "sig"), "candidates")
+    source = src.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    sets = source.mapInArrow(tidy(_sets(shingle)), "doc_id long, n_shingles long, k1 long, k2 long, grams binary")
+    sets = materialise(sets.join(small(wanted.select("cid", "doc_id", *key)), ["doc_id", *key]).select("cid", "grams").dropDuplicates(["cid"]), "sets")
+    sig = wanted.select("cid", "n_shingles", "sig")
+
+    # rows of one document belong together
+    twice = members.groupBy("doc_id").agg(F.min("cid").alias("ca"), F.max("cid").alias("last")).where("ca < last").select("doc_id", "ca")
+    edges = [members.join(small(twice), "doc_id").select("ca", F.col("cid").alias("cb"))]
     for turn in range(2):
-        open_lists = lists.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid", "comp") if turn else F.struct("cid", "comp", F.lit(0))).alias("p")).where("lo < hi")
-        pairs = (
-            lists.join(open_lists.select("token", F.col("p.cid").alias("a"), F.col("p.comp").alias("ca")), "token")
-            .where("ca <> comp")
-            .select("a", "ca", F.col("cid").alias("b"), F.col("comp").alias("cb"))
-            .distinct()
-        )
+        pivot = F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid", "comp") if turn else F.struct("cid", "comp", F.lit(0))).alias("p")
+        open_lists = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot).where("lo < hi")
+        open_lists = materialise(open_lists.select("token", F.col("p.cid").alias("a"), F.col("p.comp").alias("ca")), f"pivots-{turn}")
+        pairs = lists.join(open_lists, "token").where("ca <> comp").select("a", "ca", F.col("cid").alias("b"), F.col("comp").alias("cb")).distinct()
         a, b = (sig.select(F.col("cid").alias(x), F.col("sig").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab")
-        pairs = pairs.join(a, "a").join(b, "b").where((F.size(F.filter(F.arrays_zip("sa", "sb"), lambda z: z["sa"] == z["sb"])) >= MATCHES) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "ca", "cb")
+        collisions = F.size(F.filter(F.arrays_zip("sa", "sb"), lambda z: z["sa"] == z["sb"]))
+        pairs = pairs.join(a, "a").join(b, "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (collisions >= MATCHES)).select("a", "b", "ca", "cb")
         pairs = materialise(pairs, f"star-{turn}")
         ga, gb = (sets.select(F.col("cid").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
-        links = pairs.join(gb, "b").join(ga, "a").select("a", "b", "ga", "gb").mapInArrow(tidy(_confirm(percent)), "a long, b long").join(pairs, ["a", "b"]).select("ca", "cb").distinct()
-        lists, roots = _relabel(lists, links)
-        lists = materialise(lists, f"postings-{turn}")
-        labels.append(roots)
+        links = pairs.join(gb, "b").join(ga, "a").select("ca", "cb", "a", "ga", "gb").mapInArrow(tidy(_confirm(percent)), "ca long, cb long")
+        links = materialise(links.distinct(), f"links-{turn}")
+        edges.append(links)
+        release(open_lists, pairs)
+        before, lists = lists, materialise(_merge(lists, links), f"postings-{turn}")
+        release(before)
 
     state = lists.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("h")).where("lo < hi")
     state = state.groupBy("size", "h").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
-    left = lists.join(state, "token").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-    left = left.select("token", "cid", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    left = left.select("token", "cid", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    found = left.join(sets, "cid").groupBy("token", "bi", "bj").applyInPandas(_compare(percent), "a long, b long")
-    comps = lists.select("cid", "comp").distinct()
-    links = found.distinct().join(comps.toDF("a", "ca"), "a").join(comps.toDF("b", "cb"), "b").select("ca", "cb").distinct()
-    lists, _ = _relabel(lists, links)
-
-    final = lists.select("cid", "comp").distinct()
-    by_doc = members.join(final, "cid", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "cid")).alias("component"))
+    left = lists.join(materialise(state, "open"), "token").join(sig, "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    left = left.select("token", "cid", "comp", "n_shingles", "sig", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    left = left.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
+    near = materialise(left.groupBy("token", "bi", "bj").applyInArrow(*_collide(percent)), "undecided")
+    found = near.join(sets, "cid").groupBy("token", "bi", "bj", "x", "y").applyInArrow(_decide(percent), "ca long, cb long")
+    edges.append(materialise(found.distinct(), "links"))
+    release(near, lists, sets, wanted)
+
+    roots = components(reduce(DataFrame.unionAll, edges).select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b"))
+    grouped = members.join(roots.select(F.col("node").alias("cid"), "component"), "cid", "left").select("row", "doc_id", F.coalesce("component", "cid").alias("component"))
+    grouped = materialise(grouped, "grouped")
+    least = materialise(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
+    by_row = grouped.join(least, "component").select("row", "component_id")
     return (
-        p1.select("doc_id", "n_shingles")
-        .join(by_doc, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        p1.select("row", "doc_id", "n_shingles")
+        .join(by_row, "row", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of docs, with all their columns, without those that ``near_duplicates`` does not keep."""
-    dropped = materialise(near_duplicates(docs, percent=percent).where(~F.col("kept")).select(F.col("doc_id").alias("dropped")).distinct(), "dropped")
-    return docs.join(small(dropped), docs["doc_id"].cast("long") == F.col("dropped"), "left_anti")
+    dropped = materialise(near_duplicates(docs, percent=percent).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    return without(docs, dropped)

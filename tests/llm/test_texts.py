@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docsearch.llm import decontam, neardup, quality, repeats, textkit
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,6 +81,36 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id for r in kept), key=str) == sorted([1, 1, None, 4], key=str)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    one, other = (" ".join(f"{x}{k}" for k in range(40)) for x in "xy")
+    rows = [(5, one), (5, other), (7, one), (6, other), (9, other + " z"), (8, "alone")]
+    df = spark.createDataFrame([(*r, 0, 0, 0, 0) for r in rows], "doc_id long, text string, dropped int, row int, cid int, component int")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    assert got == {(5, 36): (5, True), (7, 36): (5, False), (6, 36): (5, False), (9, 37): (5, False), (8, 1): (8, True)}
+    kept = neardup.representatives(df)
+    assert sorted(r.doc_id for r in kept.collect()) == [5, 5, 8] and kept.columns == df.columns
+
+
+def test_a_passage_in_thousands_of_texts(spark, monkeypatch):
+    """5,000 texts with one passage in common, just under the similarity, and a few that are over it: all are told apart."""
+    r = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(70))
+    rows = [(k, passage + " " + " ".join(f"{k}x{j}" for j in range(8 + k % 12))) for k in range(5000)]
+    pairs = [(k, passage + " " + " ".join(f"{k}y{j}" for j in range(30))) for k in range(6000, 6010)]
+    rows += pairs + [(k + 100, t + f" tail{k}") for k, t in pairs]
+    r.shuffle(rows)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sizes = {i: len(grams(t)) for i, t in rows}
+    # the passage has 66 shingles: short texts are linked by it alone, the longest with the shortest
+    link = lambda a, b: 100 * 66 >= 75 * (sizes[a] + sizes[b] - 66)
+    least = min(i for i in range(5000) if link(i, min(range(5000), key=sizes.get)))
+    shortest = min(sizes[i] for i in range(5000))
+    for i in range(5000):
+        assert got[i] == (least if 100 * 66 >= 75 * (sizes[i] + shortest - 66) else i)
+    for k in range(6000, 6010):
+        assert got[k] == got[k + 100] == k
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="aAbB é \n\t.", max_size=60) | st.none(), max_size=6))
 def test_shingles_of_any_text(texts):
@@ -143,6 +174,8 @@ def test_decontamination(spark):
     assert got.keys() == {(1, 0), (2, 0), (6, 0), (8, 1)}
     assert got[1, 0] == 0 and got[2, 0] == 3
     assert sorted((r.doc_id for r in decontam.decontaminate(d, b).collect()), key=str) == sorted([3, 4, 5, 7, None], key=str)
+    clash = d.withColumn("leaked", F.lit(1)).withColumn("code", F.lit(2))
+    assert decontam.decontaminate(clash, b).columns == clash.columns and decontam.decontaminate(clash, b).count() == 5
     assert decontam.leaks(d.limit(0), b).count() == decontam.leaks(d, b.limit(0)).count() == 0
 
 
