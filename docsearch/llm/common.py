@@ -7,15 +7,17 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch that a Python operator gets at once; texts are long, so fewer than Spark's default.
 BATCH_ROWS = 500
-#: A side is broadcast up to so many rows of a few longs each (counted, not estimated); beyond it the join is shuffled.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast up to so many bytes of values (summed up, not estimated); beyond it the join is shuffled.
+BROADCAST_BYTES = 8 << 20
 #: From so many edges on, each side of a join in ``components`` is a table.
 SPLIT_ROWS = 1_000_000
 
@@ -90,10 +92,19 @@ def release(*tables: DataFrame) -> None:
             remove(df.sparkSession, folder)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A broadcast hint if a count shows that the table is small, else the table as it is (a shuffled join)."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """Bytes of a value, counting nested ones by their text."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.ArrayType, T.MapType, T.StructType)):
+        return 8 * F.greatest(F.size(name), F.lit(1))
+    return F.lit(8) if not isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(8))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast hint if the sum of its values shows that the table is small, else the table as it is (a shuffled join)."""
+    n = df.agg(F.sum(reduce(Column.__add__, (_bytes(f.name, f.dataType) for f in df.schema.fields)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_BYTES else df
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:

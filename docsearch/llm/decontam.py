@@ -7,9 +7,10 @@ a window with names is posted with and without the names replaced.  A window wit
 and also posted as its eight words unmasked, which only a verbatim copy has; so every token lies in some window.  An item of fewer than eight tokens is one
 window; documents post windows of the lengths that such items have, with five literals or else as their words unmasked, so an
 item of one word leaks wherever the word stands.  Scripts without spaces count each character as a token.  A bit map of fixed size over the benchmark's
-windows lets only likely windows of a document leave the scan.  Per document, item and alignment, the slots must map
-one to one (an item's value to one value in the document and back); the windows of consistent alignments then have to
-cover ``COVER`` of the item's tokens.
+windows lets only likely windows of a document leave the scan.  Per document, item and alignment, the slots must be consistent: of the
+slots of each type more than ``AGREE`` must have the value that is most frequent for their key.  A name's key is the name, in the item and, the
+other way, in the document; a number's is the number with the word after it, as 60 km and 60 minutes are two parameters that happen to be equal;
+a unit's is the unit.  The windows of consistent alignments then have to cover ``COVER`` of the item's tokens.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from docsearch.llm import textkit
 from docsearch.llm.common import arrow_batches, materialise, small, tidy, without
 
-WINDOW, LITERALS, COVER, MAP_BITS = 8, 5, 0.5, 24
+WINDOW, LITERALS, COVER, MAP_BITS, AGREE = 8, 5, 0.5, 24, 2 / 3
+#: Types of slots.
+LITERAL, NUMBER, UNIT, NAME = range(4)
 #: Units that may follow a number.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz pound pounds ounce ounces gram grams kilogram kilograms "
@@ -68,7 +71,7 @@ def _characters(b: np.ndarray, s: np.ndarray, e: np.ndarray, rows: np.ndarray):
 
 
 def tokens(b: np.ndarray, s: np.ndarray, e: np.ndarray, rows: np.ndarray):
-    """(start, end, row, literal hash, template hash, is a name, is a literal, hash of the word itself) of each token of a piece."""
+    """(start, end, row, hash with names as they are, with names replaced, is a name, type but for names, hash of the word itself) of each token of a piece."""
     s, e, rows = _characters(b, s, e, rows)
     n = len(b)
     count = lambda kind: np.concatenate([[0], np.cumsum(kind[b], dtype=np.int32)])
@@ -95,7 +98,7 @@ def tokens(b: np.ndarray, s: np.ndarray, e: np.ndarray, rows: np.ndarray):
     c0, c1 = b[ts], b[np.minimum(ts + 1, max(n - 1, 0))] if n else b[ts]
     name = long & ~first & (c0 >= 65) & (c0 <= 90) & (((c1 >= 97) & (c1 <= 122)) | (c1 >= 128)) & ~d
     plain = np.where(number | glued, _NUM, np.where(unit, _UNIT, literal))
-    return ts, te, rows, plain, np.where(name, _NAME, plain), name, ~(number | glued | unit), literal
+    return ts, te, rows, plain, np.where(name, _NAME, plain), name, np.where(number | glued, NUMBER, np.where(unit, UNIT, LITERAL)), literal
 
 
 def _codes(h: np.ndarray, at: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
@@ -106,15 +109,16 @@ def _codes(h: np.ndarray, at: np.ndarray, n: np.ndarray, salt: int) -> np.ndarra
 
 
 def windows(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, bits: np.ndarray | None, lengths: tuple[int, ...] = ()):
-    """Yields (row, position, hash, tokens, slots, tokens of the row) for windows that the bit map lets pass (all without one).
+    """Yields (row, position, hash, tokens, types of slots, the token after, tokens of the row) for windows that the bit map lets pass (all without one).
 
     A text with fewer tokens than a window has one window of all its tokens; with lengths, every text also has the windows
     of these lengths that have five literals, and the others as their words unmasked, each once.
     """
     b, s, e, rows = textkit.spans(raw, offsets, i, j)
-    ts, te, rows, plain, typed, name, fixed, word = tokens(b, s, e, rows)
+    ts, te, rows, plain, typed, name, kinds, word = tokens(b, s, e, rows)
     if not len(ts):
         return
+    fixed = kinds == LITERAL
     size = np.bincount(rows, minlength=j - i)
     first = np.concatenate([[0], np.cumsum(size)])
     at = np.flatnonzero(rows[: len(ts) - WINDOW + 1] == rows[WINDOW - 1 :]) if len(ts) >= WINDOW else np.zeros(0, np.int64)
@@ -163,18 +167,18 @@ def windows(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, bits: np.ndarr
             _, once = np.unique(np.stack([rows[use].astype(np.uint64), code]), axis=1, return_index=True)
             use, n, code = use[once], n[once], code[once]
         for x, k, c in zip(use.tolist(), n.tolist(), code.tolist(), strict=True):
-            words = [bytes(textkit._LOWER[b[ts[y] : te[y]]]).decode("utf-8", "replace") for y in range(x, x + k)]
-            slot = [kind != "exact" and bool(not fixed[y] or (kind == "typed" and name[y])) for y in range(x, x + k)]
             r = int(rows[x])
-            yield i + r, int(x - first[r]), c - (1 << 64 if c >> 63 else 0), words, slot, int(size[r])
+            words = [bytes(textkit._LOWER[b[ts[y] : te[y]]]).decode("utf-8", "replace") for y in range(x, min(x + k + 1, int(first[r + 1])))]
+            slot = [LITERAL if kind == "exact" else NAME if kind == "typed" and name[y] else int(kinds[y]) for y in range(x, x + k)]
+            yield i + r, int(x - first[r]), c - (1 << 64 if c >> 63 else 0), words[:k], slot, (words[k:] or [""])[0], int(size[r])
 
 
-_SCHEMA = "id long, pos int, code long, words array<string>, slots array<boolean>, size int"
+_SCHEMA = "id long, pos int, code long, words array<string>, slots array<int>, after string, size int"
 
 
 def _template_windows(rows: DataFrame, bits=None, lengths: tuple[int, ...] = ()) -> DataFrame:
     """rows: (id, text)."""
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.int32()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.string(), pa.int32()]
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
 
     def run(batches):
@@ -201,27 +205,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFr
     spark = docs.sparkSession
     arrow_batches(spark)
     items = materialise(_template_windows(benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text")), "item-windows").distinct()
-    places = items.select(F.shiftrightunsigned("code", 64 - MAP_BITS).alias("p")).distinct().toPandas()["p"].to_numpy(np.int64)  # 2**24 at most
+    place = F.shiftrightunsigned("code", 64 - MAP_BITS)
+    # 64 places a row: 2**18 rows at most
+    marked = items.select(F.shiftright(place, 6).alias("p"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(code, {64 - MAP_BITS}) & 63 as int))").alias("bit")).groupBy("p").agg(F.bit_or("bit").alias("bits")).toArrow()
     lengths = tuple(r["size"] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())
-    bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
-    found = _template_windows(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), spark.sparkContext.broadcast(bits), lengths).select(F.col("id").alias("doc_id"), "code", F.col("pos").alias("dpos"), F.col("words").alias("dwords"))
+    bits = np.zeros(1 << (MAP_BITS - 6), "<i8")
+    bits[marked["p"].to_numpy()] = marked["bits"].to_numpy()
+    found = _template_windows(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), spark.sparkContext.broadcast(bits.view(np.uint8)), lengths).select(F.col("id").alias("doc_id"), "code", F.col("pos").alias("dpos"), F.col("words").alias("dwords"))
     both = found.join(small(items.withColumnsRenamed({"id": "item_id"})), "code")
-    pair = both.select("doc_id", "item_id", (F.col("dpos") - F.col("pos")).alias("shift"), "pos", F.size("words").alias("n"), "size", F.filter(F.arrays_zip("slots", "words", "dwords"), lambda z: z["slots"] | (z["words"] != z["dwords"])).alias("z"))
-    pair = pair.withColumn("z", F.transform("z", lambda z: F.struct(z["words"].alias("a"), z["dwords"].alias("b"))))
-    line = pair.groupBy("doc_id", "item_id", "shift").agg(
+    words = F.arrays_zip("slots", "words", "dwords", F.concat(F.slice("words", F.lit(2), F.size("words")), F.array("after")).alias("after"), F.sequence(F.col("pos"), F.col("pos") + F.size("words") - 1).alias("at"))
+    pair = both.select("doc_id", "item_id", (F.col("dpos") - F.col("pos")).alias("shift"), "pos", F.size("words").alias("n"), "size", words.alias("z"))
+    slot = lambda z: F.struct(z["at"].alias("at"), z["slots"].alias("type"), z["words"].alias("a"), F.when(z["slots"] == NUMBER, z["after"]).alias("after"), z["dwords"].alias("b"))
+    pair = pair.withColumn("z", F.transform(F.filter("z", lambda z: (z["slots"] > LITERAL) | (z["words"] != z["dwords"])), slot))
+    alignment = ["doc_id", "item_id", "shift"]
+    line = pair.groupBy(*alignment).agg(
         F.array_distinct(F.flatten(F.collect_set("z"))).alias("m"),
         F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)))).alias("at"),
         F.countDistinct("pos").alias("n"),
         F.max("size").alias("size"),
     )
-    one_to_one = (F.size(F.array_distinct(F.transform("m", lambda x: x["a"]))) == F.size("m")) & (F.size(F.array_distinct(F.transform("m", lambda x: x["b"]))) == F.size("m"))
-    line = line.where(one_to_one)
+    line = materialise(line, "alignments")
+    # (key, value) of each slot, names both ways; a literal that differs is a clash of hashes and agrees with nothing
+    both_ways = F.flatten(F.transform("m", lambda x: F.when(x["type"] == NAME, F.array(F.struct(x["type"], x["a"], F.lit("").alias("after"), x["b"]), F.struct(F.lit(-NAME).alias("type"), x["b"].alias("a"), F.lit("").alias("after"), x["a"].alias("b")))).otherwise(F.array(F.struct(x["type"], x["a"], F.coalesce(x["after"], F.lit("")).alias("after"), x["b"])))))
+    votes = line.select(*alignment, F.explode(both_ways).alias("x")).groupBy(*alignment, "x").agg(F.count("*").alias("n")).groupBy(*alignment, "x.type", "x.a", "x.after").agg(F.max("n").alias("agree"), F.sum("n").alias("n"))
+    votes = votes.groupBy(*alignment, "type").agg(F.sum("agree").alias("agree"), F.sum("n").alias("n")).where((F.col("agree") <= AGREE * F.col("n")) | (F.col("type") == LITERAL))
+    line = line.join(votes.select(*alignment).distinct(), alignment, "left_anti")
     out = line.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("covered"),
         F.max("size").cast("long").alias("item_tokens"),
         F.sum("n").alias("n_windows"),
-        F.min(F.size(F.filter("m", lambda x: x["a"] != x["b"]))).cast("long").alias("changed_slots"),
+        F.min(F.size(F.array_distinct(F.transform(F.filter("m", lambda x: x["a"] != x["b"]), lambda x: F.struct(x["a"], x["b"]))))).cast("long").alias("changed_slots"),
     )
     out = out.withColumn("coverage", F.col("covered") / F.col("item_tokens"))
     return out.where(F.col("covered") >= cover * F.col("item_tokens")).select("doc_id", "item_id", "covered", "item_tokens", "coverage", "n_windows", "changed_slots")

@@ -288,8 +288,7 @@ def extract(pages: DataFrame) -> DataFrame:
     # what differs from the marks' own decision: branches to remove, nodes of furniture to keep
     turned = tree.where((F.col("kind") <= OUTSIDE) == F.col("stays")).select("host", (F.when(F.col("stays"), -1 - F.col("node")).otherwise(F.col("node"))).alias("node"))
     turned = materialise(turned.groupBy("host").agg(F.collect_set("node").alias("turned")), "turned")
-    entries = turned.agg(F.sum(F.size("turned"))).first()[0] or 0
-    rows = src.join(small(turned, entries), "host", "left").select("page_id", "url", "html", "host", "turned")
+    rows = src.join(small(turned), "host", "left").select("page_id", "url", "html", "host", "turned")
 
     def run(batches):
         last, low, high = None, frozenset(), frozenset()

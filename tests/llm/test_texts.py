@@ -218,6 +218,87 @@ def test_dense_items_are_found(spark):
     assert got[1, 0] == got[3, 1] == (1.0, 0) and got[2, 0][1] == 2
 
 
+def plain_leaks(docs, items):
+    """Brute force over all alignments, for items of eight words and more without runs of slots or names at sentence starts."""
+
+    def parts(t):
+        words, out = (t or "").split(), []
+        for k, w in enumerate(words):
+            x = w.strip(".,?!")
+            kind = "number" if x.isdigit() else "unit" if k and words[k - 1].isdigit() and x in decontam.UNITS else "name" if k and words[k - 1][-1] not in ".?!" and x[0].isupper() and x[1:].islower() and x[1:] else ""
+            out.append((kind, x.lower()))
+        return out
+
+    found = {}
+    for i, t in docs:
+        d = parts(t)
+        for j, item in items:
+            b, covered, changed = parts(item), set(), []
+            for shift in range(-len(b), len(d)):
+                same = {}
+                for masked in (True, False):
+                    form = lambda x, masked=masked: x[0] if x[0] and (masked or x[0] != "name") else x[1]
+                    for p in range(len(b) - 7):
+                        if 0 <= p + shift and p + shift + 8 <= len(d) and all(form(b[p + k]) == form(d[p + shift + k]) for k in range(8)) and sum(form(b[p + k]) == b[p + k][1] and not (b[p + k][0]) for k in range(8)) + (0 if masked else sum(b[p + k][0] == "name" for k in range(8))) >= 5:
+                            same |= dict.fromkeys(range(p, p + 8))
+                votes = {}
+                for p in same:
+                    (kind, a), x = b[p], d[p + shift][1]
+                    if kind == "name":
+                        votes.setdefault("back", []).append((x, a))
+                    if kind:
+                        votes.setdefault(kind, []).append(((a, b[p + 1][1] if p + 1 < len(b) else "") if kind == "number" else a, x))
+                if same and all(3 * sum(max(Counter(y for k2, y in v if k2 == key).values()) for key in {k2 for k2, _ in v}) > 2 * len(v) for v in votes.values()):
+                    covered |= same.keys()
+                    changed.append(len({(b[p][1], d[p + shift][1]) for p in same if b[p][1] != d[p + shift][1]}))
+            if 2 * len(covered) >= len(b):
+                found[i, j] = len(covered), min(changed)
+    return found
+
+
+def test_templates_are_those_of_brute_force(spark):
+    r = random.Random(4)
+    fill = "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were".split()
+    nouns = "apples pears plums boats cards coins books lamps".split()
+    names = "Anna Boris Clara David Emma Felix".split()
+    items, docs = [], []
+
+    def item():
+        n = r.randint(3, 6)
+        return " ".join(f"{' '.join(r.choices(fill, k=r.randint(5, 8)))} {r.choice(names)} has {r.randint(2, 9)} {r.choice([*nouns, 'km', 'minutes'])}" for _ in range(n))
+
+    for j in range(12):
+        items.append((j, "so " + item()))
+    for j, t in items:
+        for _ in range(5):
+            w = t.split()
+            for k in range(len(w)):
+                if w[k].isdigit() and r.random() < 0.5:
+                    w[k] = str(r.randint(2, 30))
+                if w[k] in names and r.random() < 0.15:
+                    w[k] = r.choice(names)
+                if w[k] in fill and r.random() < 0.03:
+                    w[k] = "other"
+            docs.append((len(docs), " ".join(r.choices(fill, k=20)) + " " + " ".join(w) + " " + " ".join(r.choices(fill, k=20))))
+        docs.append((len(docs), "so " + item()))
+    d = spark.createDataFrame([(*x, 0, "t") for x in docs], "doc_id long, text string, shift int, type string")
+    b = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, doc_id int")
+    got = {(x.doc_id, x.item_id): (x.covered, x.changed_slots) for x in decontam.leaks(d, b).collect()}
+    want = plain_leaks(docs, items)
+    assert got == want and len(want) > 20
+
+
+def test_equal_parameters_may_part(spark):
+    item = "A car drives for 60 minutes at a speed of 60 km an hour and then it stops near 3 apples and 3 pears"
+    docs = [(1, "Now this. " + item.replace("60 minutes", "75 minutes").replace("60 km", "90 km")), (2, "Now this. " + item.replace("3 apples", "5 apples").replace("3 pears", "7 pears")), (3, "Now that is not it at all, for a car that drives")]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.changed_slots) for r in got} == {(1, 2), (2, 2)}
+    sums = "2 + 2 = 4, 3 + 3 = 6, 4 + 4 = 8, 5 + 5 = 10"
+    docs = [(1, f"Learn this: {sums}, and more."), (2, "Learn this: 2 + 3 = 5, 3 + 4 = 7, and more.")]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, sums), (1, "who wrote it first")], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 0)]
+
+
 def test_short_items_inside_documents(spark):
     bench = [(0, "who wrote the first long novel"), (1, "12 or 15 pears?"), (2, "今天天气很好我们去公园散步吧"), (3, "什么是爱"), (4, "what is the capital of France"), (5, "Zugzwang")]
     docs = [
