@@ -3,8 +3,8 @@
 Per host, paths are a tree of segments.  Digit runs and long hexadecimal segments become typed wildcards at once.  Then, level
 by level from the root, a node with more than ``MAX_CHILDREN`` different segments keeps those with at least its
 1 / MAX_CHILDREN-th share of pages and those whose labels (``SMOOTHING`` at least) differ significantly, for so many siblings,
-from their siblings', and the others become ``*``.  Below ``LEVELS`` segments a node goes on while it has twice
-``SMOOTHING`` labelled pages; under one with fewer the rest becomes ``**``.  Templates
+from their siblings', and the others become ``*``.  Below ``LEVELS`` segments a node goes on, at any depth, while it has several
+paths and good and bad labels, which more segments could tell apart; under one without the rest becomes ``**``.  Templates
 that differ in one segment are merged along their order by purity while neighbours do not differ significantly in
 a two-proportion test.  A template is rejected if the purity of its labelled pages, smoothed towards its host's and that towards the
 overall purity, is under ``LEAST_PURITY``.  All counts are aggregates with map-side combining; one window
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsearch.llm.common import materialise, small
+from docsearch.llm.common import materialise, release, small
 
 MAX_CHILDREN, LEVELS, SMOOTHING, LEAST_PURITY, Z = 50, 4, 10.0, 0.5, 1.96
 #: The rules (verdict, host, path).
@@ -65,10 +65,12 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     while True:
         live = F.col("open") & (F.size("typed") > depth)
         if depth >= LEVELS:
-            enough = t.where(live).groupBy("host", "tpl").agg(F.sum("labelled").alias("k")).where(F.col("k") >= 2 * SMOOTHING).select("host", "tpl", F.lit(True).alias("enough"))
-            t = t.join(enough, ["host", "tpl"], "left")
-            ends = live & F.col("enough").isNull()
+            mixed = t.where(live).groupBy("host", "tpl").agg(F.sum("good").alias("g"), F.sum("labelled").alias("k"), F.count("*").alias("paths"))
+            mixed = mixed.where((F.col("g") > 0) & (F.col("g") < F.col("k")) & (F.col("paths") > 1)).select("host", "tpl", F.lit(True).alias("mixed"))
+            ends = live & F.col("mixed").isNull()
+            before, t = t, t.join(mixed, ["host", "tpl"], "left")
             t = materialise(t.select("host", "typed", "n", "good", "labelled", F.when(ends, F.concat("tpl", F.array(F.lit("**")))).otherwise(F.col("tpl")).alias("tpl"), (F.col("open") & ~ends).alias("open")), f"open-{depth}")
+            release(before)
         if t.where(live).isEmpty():
             break
         kids = t.where(live).groupBy("host", "tpl", F.col("typed")[depth].alias("seg")).agg(F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("labelled").alias("k"))
@@ -76,9 +78,10 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
         z = _differ(F.col("g"), F.col("k"), F.col("gs") - F.col("g"), F.col("ks") - F.col("k"))
         apart = (F.col("k") >= SMOOTHING) & (z > F.greatest(F.lit(Z), F.sqrt(2 * F.log(F.col("fan").cast("double")))))
         wild = kids.join(fan, ["host", "tpl"]).where((F.col("n") * MAX_CHILDREN < F.col("total")) & ~apart).select("host", "tpl", "seg", F.lit(True).alias("wild"))
-        t = t.withColumn("seg", F.get("typed", F.lit(depth))).join(wild, ["host", "tpl", "seg"], "left")
+        before, t = t, t.withColumn("seg", F.get("typed", F.lit(depth))).join(wild, ["host", "tpl", "seg"], "left")
         t = t.withColumn("tpl", F.when(live, F.concat("tpl", F.array(F.when(F.col("wild"), "*").otherwise(F.col("seg"))))).otherwise(F.col("tpl"))).drop("seg", "wild")
         t = materialise(t, f"level-{depth}")
+        release(before)
         depth += 1
     nodes = t.groupBy("host", F.col("tpl").alias("leaf")).agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled")).withColumn("tpl", F.col("leaf"))
     for d in range(depth):

@@ -263,6 +263,97 @@ def test_url_templates(spark):
     assert {t for t in shown if "tags" in t} == {"/tags/*/x"} and len(shown) <= 3
 
 
+def plain_verdicts(pages, quality):
+    """Brute force of the path-template tree: (host, path) to verdict, for urls that no rule decides."""
+
+    def typed(path):
+        long = lambda x: re.fullmatch("[0-9a-fA-F-]{8,}", x) and re.search("[0-9]", x) and re.search("[a-fA-F]", x)
+        return tuple("{x}" if long(x) else re.sub("[0-9]+", "{n}", x) for x in path.split("/")[1:])
+
+    def z(g, k, g0, k0):
+        p = (g + g0 + 1) / (k + k0 + 2)
+        return abs((g + 0.5) / (k + 1) - (g0 + 0.5) / (k0 + 1)) / math.sqrt(p * (1 - p) * (1 / (k + 1) + 1 / (k0 + 1)))
+
+    stats = defaultdict(lambda: [0, 0, 0])  # pages, good, labelled
+    for i, host, path in pages:
+        s = stats[host, typed(path)]
+        s[0] += 1
+        s[1] += quality.get(i) == 1
+        s[2] += i in quality
+    leaf = {}
+    for host in {h for h, _ in stats}:
+        work = [((), 0, [p for h, p in stats if h == host])]
+        while work:
+            tpl, depth, paths = work.pop()
+            add = lambda ps, k: sum(stats[host, p][k] for p in ps)
+            leaf |= {(host, p): tpl for p in paths if len(p) <= depth}
+            paths = [p for p in paths if len(p) > depth]
+            if not paths:
+                continue
+            if depth >= urls.LEVELS and not (len(paths) > 1 and 0 < add(paths, 1) < add(paths, 2)):
+                leaf |= {(host, p): (*tpl, "**") for p in paths}
+                continue
+            kids = defaultdict(list)
+            for p in paths:
+                kids[p[depth]].append(p)
+            total, g0, k0, wild = add(paths, 0), add(paths, 1), add(paths, 2), []
+            for seg, ps in sorted(kids.items()):
+                n, g, k = (add(ps, j) for j in range(3))
+                apart = k >= urls.SMOOTHING and z(g, k, g0 - g, k0 - k) > max(urls.Z, math.sqrt(2 * math.log(len(kids))))
+                if len(kids) > urls.MAX_CHILDREN and n * urls.MAX_CHILDREN < total and not apart:
+                    wild += ps
+                else:
+                    work.append(((*tpl, seg), depth + 1, ps))
+            if wild:
+                work.append(((*tpl, "*"), depth + 1, wild))
+    name = {x: x[1] for x in {(h, leaf[h, p]) for h, p in stats}}
+    count = lambda key: [sum(s[j] for (h, p), s in stats.items() if key(h, p)) for j in (1, 2)]
+    for d in range(max(len(t) for _, t in name)):
+        groups = defaultdict(set)
+        for (h, _), t in name.items():
+            if len(t) > d:
+                groups[h, t[:d], t[d + 1 :]].add(t)
+        for (h, a, b), ts in groups.items():
+            rows = sorted((g / k if k else -1.0, t, g, k) for t in ts for g, k in [count(lambda h2, p, h=h, t=t: h2 == h and name[h, leaf[h2, p]] == t)])
+            cluster = [[rows[0]]]
+            for x, y in zip(rows, rows[1:], strict=False):
+                if z(y[2], y[3], x[2], x[3]) > urls.Z:
+                    cluster.append([])
+                cluster[-1].append(y)
+            for c in cluster:
+                to = "|".join(sorted(x[1][d] for x in c))
+                for x in c:
+                    name |= {(h2, t): (*a, to, *b) for (h2, t), now in name.items() if h2 == h and now == x[1]}
+    good, labelled = count(lambda h, p: True)
+    out = {}
+    for i, host, path in pages:
+        g, k = count(lambda h, p: h == host and name[h, leaf[h, p]] == name[host, leaf[host, typed(path)]])  # noqa: B023
+        hg, hk = count(lambda h, p: h == host)  # noqa: B023
+        prior = (hg + urls.SMOOTHING * (good + 1) / (labelled + 2)) / (hk + urls.SMOOTHING)
+        out[i] = "block" if (g + urls.SMOOTHING * prior) / (k + urls.SMOOTHING) < urls.LEAST_PURITY else "allow"
+    return out
+
+
+def test_url_templates_are_those_of_brute_force(spark):
+    r = random.Random(8)
+    pages, quality = [], {}
+    for i in range(1500):
+        host = r.choice(["a.edu", "a.edu", "b.edu"])
+        path = [r.choice(["news", "spam", "tags", "x"])]
+        if path[0] == "tags":
+            path.append(f"t{chr(97 + r.randrange(26))}{chr(97 + r.randrange(3))}")
+        path += r.choices(["p", "q", "12", "0a1b2c3d"], k=r.randint(0, 3)) + (["deep", r.choice(["bad", "fine"]), str(i)] if r.random() < 0.5 else [])
+        pages.append((i, host, "/" + "/".join(path)))
+        if r.random() < 0.7:
+            bad = "spam" in path or "bad" in path or "tcc" in path or "tab" in path
+            quality[i] = int(r.random() < (0.1 if bad else 0.8))
+    df = spark.createDataFrame([(i, f"http://{h}{p}", "t", "u") for i, h, p in pages], "page_id long, url string, typed string, quality string")
+    labels = spark.createDataFrame(list(quality.items()), "doc_id long, quality int")
+    got = {x.page_id: x.verdict for x in urls.judge(df, labels).collect()}
+    want = plain_verdicts(pages, quality)
+    assert {"block", "allow"} == set(want.values()) and {i: (got[i], pages[i]) for i in want if got[i] != want[i]} == {}
+
+
 def test_url_templates_small_sections_and_deep_paths(spark):
     rows, marks = [], []
 
@@ -277,6 +368,8 @@ def test_url_templates_small_sections_and_deep_paths(spark):
             add(f"/{name}/{k}.html", int(name != "cb"))
     for k in range(60):
         add(f"/w/a/b/c/{'bad' if k % 2 else 'fine'}/{k}.html", 1 - k % 2)
+    for k in range(26):  # far below, with labels enough to outweigh the host
+        add(f"/v/a/b/c/d/e/f/g/{'bad' if k % 2 else 'fine'}/{k}.html", 1 - k % 2)
     df = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame(marks, "doc_id long, quality int")
     out = {r.page_id: r.verdict for r in urls.judge(df, labels).collect()}
