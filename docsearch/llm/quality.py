@@ -142,17 +142,22 @@ def _extract(batches):
             at = np.searchsorted(rows, np.arange(j - i + 1)).astype(np.int32)
             out.append(pa.ListArray.from_arrays(pa.array(at), pa.array(keys.astype(np.int32))))
         if out:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.concat_arrays(out), batch.column(2)], ["doc_id", "keys", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.concat_arrays(out), batch.column(2), batch.column(3)], ["doc_id", "keys", "y", "h"])
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    """Fits on labelled rows outside the held-out fifth; labels other than 0 and 1 and null ids are ignored."""
+    """Fits on labelled rows outside the held-out fifth; labels other than 0 and 1 and null ids are ignored.
+
+    Null and empty texts are rows with the constant feature only; texts count whole, however long.  Of several labels of one doc_id the
+    least counts, of several texts of one doc_id the one with the greatest hash, of equal ones either.  Other columns are ignored.
+    Without labels (or with fewer than four of a class) the model gives their smoothed share, 0.5 for none, to every text.
+    """
     seen = labels.where("doc_id is not null and quality in (0, 1)").where(crc_mod(F.col("doc_id"), 5) != 0)
     sample = seen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     picked = docs.sparkSession.createDataFrame(sample.toPandas(), "doc_id long, quality int")  # fit_rows rows at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    got = rows.select("doc_id", "text", F.col("quality").cast("int").alias("y")).mapInArrow(tidy(_extract), "doc_id long, keys array<int>, y int")
-    got = got.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    got = rows.select("doc_id", "text", F.col("quality").cast("int").alias("y"), F.xxhash64("text").alias("h")).mapInArrow(tidy(_extract), "doc_id long, keys array<int>, y int, h long")
+    got = got.groupBy("doc_id").agg(F.max_by(F.struct("keys", "y"), "h").alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
     keys = got["keys"].combine_chunks()
     flat, at = keys.flatten().to_numpy(), np.concatenate([[0], np.cumsum(keys.value_lengths())])
     return fit([flat[a:b] for a, b in zip(at, at[1:])], np.where(got["y"].to_numpy() == 1, 1, -1))  # noqa: B905
@@ -181,7 +186,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores at least the threshold; nothing is shuffled."""
+    """The rows of docs, with all their columns, whose text scores at least the threshold; nothing is shuffled.
+
+    Null and empty texts have the score of the constant feature and are kept or not by it; repeated rows and null ids are treated
+    like any other, whole texts are scored, an empty table stays empty, and no name of a further column clashes.
+    """
     arrow_batches(docs.sparkSession)
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
