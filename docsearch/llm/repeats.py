@@ -1,7 +1,8 @@
 """Quality rules on repetition inside a text, by suffix arrays over words.
 
 Per text, a suffix array over its words is built by prefix doubling (only groups that are still tied are sorted
-again), the longest common prefixes of neighbours come from the kept ranks.  Runs of neighbours with a common
+again), the longest common prefixes of neighbours are found by bisection on prefix hashes, so that memory is a few numbers
+a word.  Runs of neighbours with a common
 prefix of at least ``MIN_REPEAT`` words are the LCP intervals; each suffix in one starts a maximal repeat as long as the
 larger of its two common prefixes.  The union of these spans is the covered part.  Many texts share one array
 of a piece: a word's first rank holds its row too, so that no repeat crosses texts.
@@ -26,16 +27,15 @@ _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, n_repeats long"
 
 
-def _ranks(rows: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
-    """ranks[j][i]: order of the 2**j words from i on; the last has no ties."""
+def _ranks(rows: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The place of the suffix from each word on among all; a suffix that ends with its row comes before those that go on."""
     n = len(words)
     order = np.lexsort((words, rows))
     new = np.ones(n, bool)
     new[1:] = (words[order][1:] != words[order][:-1]) | (rows[order][1:] != rows[order][:-1])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    levels, step = [rank], 1
-    size = np.bincount(rank, minlength=n)
+    step, size = 1, np.bincount(rank, minlength=n)
     tied = np.flatnonzero(size[rank] > 1)
     while len(tied):
         nxt = np.where(tied + step < n, rank[np.minimum(tied + step, n - 1)], -1)
@@ -49,31 +49,32 @@ def _ranks(rows: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
         pos = np.arange(len(at))
         first = np.maximum.accumulate(np.where(head, pos, 0))
         mine = np.maximum.accumulate(np.where(sub, pos, 0))
-        rank = rank.copy()
         rank[at] = own + mine - first
-        levels.append(rank)
         step *= 2
         group = np.cumsum(sub) - 1
         tied = np.sort(at[np.bincount(group)[group] > 1])
-    return levels
+    return rank
 
 
 def suffix_lcp(rows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, lcp): lcp[k] is the common prefix, in words, of suffixes k - 1 and k (lcp[0] = 0)."""
     n = len(words)
-    levels = _ranks(rows, words)
     sa = np.empty(n, np.int64)
-    sa[levels[-1]] = np.arange(n)
+    sa[_ranks(rows, words)] = np.arange(n)
     lcp = np.zeros(n, np.int64)
-    k = np.flatnonzero(levels[0][sa[1:]] == levels[0][sa[:-1]]) + 1
-    a, b = sa[k - 1].copy(), sa[k].copy()
-    for j in range(len(levels) - 1, -1, -1):
-        r = levels[j]
-        inside = np.maximum(a, b) < n
-        same = inside & (r[np.minimum(a, n - 1)] == r[np.minimum(b, n - 1)])
-        a[same] += 1 << j
-        b[same] += 1 << j
-    lcp[k] = a - sa[k - 1]
+    k = np.flatnonzero((words[sa[1:]] == words[sa[:-1]]) & (rows[sa[1:]] == rows[sa[:-1]])) + 1
+    a, b = sa[k - 1], sa[k]
+    ends = np.cumsum(np.bincount(rows))[rows]
+    power, inverse = textkit._grow(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:n], dtype=np.uint64)])
+    # the first ``low`` words are equal, no more than ``high`` can be
+    low, high = np.ones(len(k), np.int64), ends[a] - np.maximum(a, b)
+    while len(live := np.flatnonzero(low < high)):
+        x, y, half = a[live], b[live], (low[live] + high[live] + 1) // 2
+        same = (total[x + half] - total[x]) * inverse[x] == (total[y + half] - total[y]) * inverse[y]
+        low[live] = np.where(same, half, low[live])
+        high[live] = np.where(same, high[live], half - 1)
+    lcp[k] = low
     return sa, lcp
 
 

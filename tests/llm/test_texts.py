@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -150,6 +151,23 @@ def test_repetition(spark):
     assert (huge[1].longest_repeat, huge[1].kept, huge[0].n_words) == (199999, False, 0)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 3), max_size=25), min_size=1, max_size=4))
+def test_suffix_array(texts):
+    rows = np.array([k for k, t in enumerate(texts) for _ in t], np.int64)
+    flat = [x for t in texts for x in t]
+    words = textkit.mix(np.array(flat, np.uint64))
+    ends = [sum(map(len, texts[: r + 1])) for r in rows]
+    if flat:
+        sa, lcp = repeats.suffix_lcp(rows, words)
+        common = lambda i, j: next((k for k in range(ends[i] - max(i, j)) if flat[i + k] != flat[j + k]), ends[i] - max(i, j)) if rows[i] == rows[j] else 0
+        assert sorted(sa) == list(range(len(flat))) and lcp.tolist() == [0] + [common(sa[k - 1], sa[k]) for k in range(1, len(sa))]
+        for i in range(len(flat)):  # every suffix stands beside the one it shares most with
+            best = max((common(i, j) for j in range(len(flat)) if j != i), default=0)
+            k = sa.tolist().index(i)
+            assert max(lcp[k], lcp[k + 1] if k + 1 < len(sa) else 0) == best
+
+
 ITEM = "A train travels from Boston at 60 km per hour and meets Alice after 5 hours while Alice waits near the old stone bridge for her friend"
 
 
@@ -186,6 +204,49 @@ def test_leaks_are_those_of_the_tables(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == want
 
 
+def plain_quality(texts, y):
+    """Brute force of the operator on features given as sets: ratios, a primal solver of the same problem, margins of one fold."""
+    n = 1 + max(x for t in texts for x in t)
+    p, q = np.full(1 << quality.BITS, quality.ALPHA), np.full(1 << quality.BITS, quality.ALPHA)
+    for t, c in zip(texts, y, strict=True):
+        (p if c > 0 else q)[list(t)] += 1
+    r = (np.log(p / p.sum()) - np.log(q / q.sum()))[:n]
+    r[0] = 1.0
+    x = np.zeros((len(texts), n))
+    for k, t in enumerate(texts):
+        x[k, list(t)] = r[list(t)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cost = np.where(y > 0, quality.C * len(y) / (2 * (y > 0).sum()), quality.C * len(y) / (2 * (y < 0).sum()))
+    w, best, seen = np.zeros(n), np.zeros(n), np.inf
+    for step in range(1, 40001):  # subgradients of |w|^2 / 2 + sum of cost * hinge
+        inside = y * (x @ w) < 1
+        w = w - (w - (cost * inside * y) @ x) / (step + 50)
+        loss = w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+        if loss < seen:
+            best, seen = w.copy(), loss
+    return r, best, seen, x, cost
+
+
+def test_dual_coordinate_descent_solves_its_problem():
+    rng = np.random.default_rng(2)
+    texts, y = [], np.array([1] * 20 + [-1] * 15)
+    for c in y:
+        texts.append({0, *(int(k) for k in np.flatnonzero(rng.random(12) < np.where(np.arange(12) % 2 == (c > 0), 0.6, 0.25)) + 1)})
+    rows = [np.array(sorted(t)) for t in texts]
+    r, want, loss, x, cost = plain_quality(texts, y)
+    assert np.allclose(quality._ratios(rows, y)[: len(r)], r)
+    got = quality._descend(rows, y, quality._ratios(rows, y), cost)[: len(r)]
+    mine = got @ got / 2 + (cost * np.maximum(0, 1 - y * (x @ got))).sum()
+    assert mine <= loss * 1.02 and np.allclose(got, want, atol=0.15 * np.abs(want).max())
+
+
+def test_quality_of_repeated_ids(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more")))).withColumns({"keys": F.lit(1), "y": F.lit(2), "h": F.lit(3), "quality": F.lit(9)})
+    m = [quality.train(x, labels) for x in (twice.repartition(3), twice.repartition(7))]
+    assert np.array_equal(m[0]["w"], m[1]["w"]) and quality.accepted(twice, m[0]).columns == twice.columns
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").where("held_out").collect()
