@@ -18,8 +18,10 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, TASK_BYTES, MOST_PARTS = 4 << 20, 64 << 20, 8192
 
 
 def squeeze(x: bytes) -> bytes:
@@ -64,20 +66,43 @@ def unpack_words(x: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
 
 
+def checksum(hashes: np.ndarray, ranks: np.ndarray) -> int:
+    return int((hashes * (2 * ranks.astype(np.uint64) + np.uint64(1))).sum(dtype=np.uint64).view(np.int64))
+
+
+def widths(texts: DataFrame, column: str = "text") -> tuple[int, int]:
+    """(tasks, parts) for a shuffle of blocks and of their words, from the counted bytes of the texts.
+
+    The session's partitions are the least; beyond, a task has about ``TASK_BYTES`` of text.  A block's words are dealt into
+    ``MOST_PARTS`` bundles at most, so that a bundle stays worth a row; parts are read as a stream.
+    """
+    total = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    tasks = max(2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    return tasks, min(tasks, MOST_PARTS)
+
+
 class Block:
     """ids: of its documents, sizes: tokens of each, ranks: of all tokens, words: by rank, more: values by document."""
 
     def __init__(self, number: int, ids: list, sizes: list[int], ranks: np.ndarray, words: list, more: list) -> None:
         self.number, self.ids, self.sizes, self.ranks, self.words, self.more = number, ids, sizes, ranks, words, more
 
-    def bundles(self, parts: int, to_bytes: Callable = bytes, also: np.ndarray | None = None, part: Callable | None = None) -> Iterator[tuple]:
-        """(part, ranks ascending, words, values of ``also`` by rank) for each part that has words; part: of a word."""
+    def _hashes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+    def checksum(self, to_bytes: Callable = bytes) -> int:
+        """Of the words with their ranks; those of the bundles add up to it."""
+        return checksum(self._hashes([to_bytes(w) for w in self.words]), np.arange(len(self.words)))
+
+    def bundles(self, parts: int, to_bytes: Callable = bytes, also: np.ndarray | None = None) -> Iterator[tuple]:
+        """(part, ranks ascending, words, their checksum, values of ``also`` by rank) for each part that has words."""
         words = [to_bytes(w) for w in self.words]
-        part = np.fromiter(map(part, words) if part else (xxhash.xxh3_64_intdigest(w) % parts for w in words), np.int64, len(words))
+        hashes = self._hashes(words)
+        part = (hashes % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
             if len(at):
-                yield int(part[at[0]]), at, [words[k] for k in at], None if also is None else also[at]
+                yield int(part[at[0]]), at, [words[k] for k in at], checksum(hashes[at], at), None if also is None else also[at]
 
 
 def blocks(batches, tokens: Callable, more: int = 0, positions: bool = True, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:

@@ -9,6 +9,7 @@ per block, and no text does.  Decoding joins ids with the token-byte table, whos
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsearch.llm.blocks import blocks, pack, pack_words, ragged, record, unpack, unpack_words
+from docsearch.llm.blocks import blocks, pack, pack_words, ragged, record, unpack, unpack_words, widths
 from docsearch.llm.common import arrow_batches, give_back, tidy
 
 
@@ -49,43 +50,46 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
 
     Null and empty texts have no ids; repeated rows get repeated results, null ids stay null, other columns are
     ignored, an empty table gives an empty result.  Both reads of ``docs`` must give the same rows in the same
-    order, as a table's scan does; a block that meets another word list than its own is an error, never a wrong result.
+    order, as a table's scan does; a block that meets another word list than its own is an error (a 64-bit checksum of the list tells).
+    Very long texts are blocks of their own.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     held = _hold(docs, ranks)
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    tasks, parts = widths(src)
     to_bytes = str.encode
 
     def positions(batches):
         find = regex.compile(pattern).findall
         for b in blocks(batches, find):
             yield record(
-                ["block", "n_words", "ids", "sizes", "ranks"],
-                [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()],
-                [(b.number, len(b.words), b.ids, pack(np.array(b.sizes, np.uint32)), pack(b.ranks))],
+                ["block", "n_words", "check", "ids", "sizes", "ranks"],
+                [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()],
+                [(b.number, len(b.words), b.checksum(to_bytes), b.ids, pack(np.array(b.sizes, np.uint32)), pack(b.ranks))],
             )
 
     def words(batches):
         find = regex.compile(pattern).findall
         for b in blocks(batches, find, positions=False):
-            rows = [(p, b.number, pack(np.diff(at, prepend=0)), pack_words(w)) for p, at, w, _ in b.bundles(parts, to_bytes)]
-            yield record(["part", "block", "at", "words"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows)
+            rows = [(p, b.number, pack(np.diff(at, prepend=0)), pack_words(w), c) for p, at, w, c, _ in b.bundles(parts, to_bytes)]
+            yield record(["part", "block", "at", "words", "check"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()], rows)
 
-    def encode_part(t: pa.Table) -> pa.Table:
+    def encode_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()  # what the part before has left
-        encoder, seen, rows = _encoder(held), {}, []
-        for block, at, ws in zip(t["block"].to_pylist(), t["at"].to_pylist(), t["words"].to_pylist(), strict=True):
-            got = []
-            for w in unpack_words(ws):
-                ids = seen.get(w)
-                if ids is None:
-                    ids = seen[w] = encoder.encode_ordinary(w.decode())
-                got.append(ids)
-            flat = np.fromiter((i for x in got for i in x), np.uint32)
-            rows.append((block, at, pack(np.fromiter(map(len, got), np.uint32, len(got))), pack(flat)))
-        return pa.Table.from_batches([record(["block", "at", "sizes", "flat"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()], rows)])
+        encoder, seen = _encoder(held), {}
+        for t in batches:
+            rows = []
+            for block, at, ws, check in zip(*(t[c].to_pylist() for c in ("block", "at", "words", "check")), strict=True):
+                got = []
+                for w in unpack_words(ws):
+                    ids = seen.get(w)
+                    if ids is None:
+                        ids = seen[w] = encoder.encode_ordinary(w.decode())
+                    got.append(ids)
+                flat = np.fromiter((i for x in got for i in x), np.uint32)
+                rows.append((block, at, pack(np.fromiter(map(len, got), np.uint32, len(got))), pack(flat), check))
+            yield record(["block", "at", "sizes", "flat", "check"], [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()], rows)
 
     def reassemble(docs_: pa.Table, words_: pa.Table) -> pa.Table:
         give_back()  # what the block before has left
@@ -98,7 +102,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
             size.append(unpack(s))
             flat.append(unpack(f))
         rank, size, flat = (np.concatenate(x) for x in (rank, size, flat))
-        if docs_.num_rows != 1 or len(rank) != n or (n and not np.array_equal(np.sort(rank), np.arange(n))):
+        check = sum(words_["check"].to_pylist()) - docs_["check"][0].as_py()
+        if docs_.num_rows != 1 or check % (1 << 64) or len(rank) != n or (n and not np.array_equal(np.sort(rank), np.arange(n))):
             raise ValueError("a block and its word list differ: the input changed between two reads")
         # the bundles' order: word of rank r is the place[r]-th
         place = np.empty(n, np.int64)
@@ -120,10 +125,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
         return pa.table({"doc_id": ids, "ids": lists})
 
-    packed = src.mapInArrow(tidy(positions), "block long, n_words long, ids array<long>, sizes binary, ranks binary")
-    listed = src.mapInArrow(tidy(words), "part long, block long, at binary, words binary")
-    coded = listed.groupBy("part").applyInArrow(encode_part, "block long, at binary, sizes binary, flat binary")
-    return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
+    packed = src.mapInArrow(tidy(positions), "block long, n_words long, check long, ids array<long>, sizes binary, ranks binary")
+    listed = src.mapInArrow(tidy(words), "part long, block long, at binary, words binary, check long")
+    coded = listed.repartition(tasks, "part").groupBy("part").applyInArrow(encode_part, "block long, at binary, sizes binary, flat binary, check long")
+    both = packed.repartition(tasks, "block").groupBy("block").cogroup(coded.repartition(tasks, "block").groupBy("block"))
+    return both.applyInArrow(reassemble, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:

@@ -7,10 +7,11 @@ probability of its own: p(word | state) = p(class | state) * p(word | class), wh
 smoothed count's share in its class (rare: half for the words seen once, half for the event of an unseen one).  All
 probabilities of a state add up to 1.
 
-Word counts are global: blocks (see ``blocks``) send their distinct words, dealt by class, to be summed, and get counts and
+Word counts are global: blocks (see ``blocks``) send their distinct words, dealt by hash, to be summed, and get counts and
 classes back.  Baum-Welch counts over states, classes and transitions are summed across partitions, ``ROUNDS`` times
-over all training texts, cut into runs of ``RUN`` tokens for that; a score is the exact likelihood of the whole text by
-the scaled forward recursion.
+over all training texts, whole: of texts longer than ``SEGMENT`` the forward vectors at the segments' borders are found first, then the
+segments are taken from the last to the first, so that memory does not grow with a text.  A score is the exact likelihood of the
+whole text by the scaled forward recursion.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsearch.llm.blocks import blocks, pack, pack_words, record, unpack, unpack_words
-from docsearch.llm.common import arrow_batches, crc_mod, give_back, materialise, tidy
+from docsearch.llm.blocks import blocks, pack, pack_words, record, unpack, unpack_words, widths
+from docsearch.llm.common import arrow_batches, crc_mod, give_back, materialise, release, tidy
 
-STATES, CLASSES, ROUNDS, RUN, CHUNK, PRIOR = 8, 1 << 14, 5, 192, 2048, 20.0
+STATES, CLASSES, ROUNDS, PRIOR = 8, 1 << 14, 5, 20.0
+#: Tokens of a text, of texts side by side, and of the short and long texts of a task that are gathered before.
+SEGMENT, ABREAST, GATHER_SHORT, GATHER_LONG = 1024, 1 << 18, 1 << 20, 1 << 22
 END, RARE, FIRST = 0, 1, 2
 
 
@@ -36,73 +39,117 @@ def word_class(w: bytes) -> int:
     return FIRST + xxhash.xxh3_64_intdigest(w if len(w) <= 6 else w[:4] + b"\0" + w[-3:]) % CLASSES
 
 
-def _runs(sizes: np.ndarray, use: np.ndarray, longest: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, begins a text) of runs of the texts in use, longest first."""
-    ends = np.cumsum(sizes)
-    if longest is None:
-        start, length, head = (ends - sizes)[use], sizes[use], np.ones(int(use.sum()), bool)
-    else:
-        n = -(-sizes[use] // longest)
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        start = np.repeat((ends - sizes)[use], n) + at * longest
-        length, head = np.minimum(longest, np.repeat(ends[use], n) - start), at == 0
-    order = np.argsort(-length, kind="stable")
-    return start[order], length[order], head[order]
+def _emissions(cls: np.ndarray, start: np.ndarray, size: np.ndarray, t0: int, t1: int, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, emissions) of tokens t0 to t1 of the texts, times first; beyond a text's end its last token."""
+    k = cls[start + np.minimum(np.arange(t0, t1)[:, None], size - 1)]
+    return k, emit[k]
 
 
 def forward(cls: np.ndarray, sizes: np.ndarray, m: dict) -> np.ndarray:
     """log10 likelihood of the class sequence of each text (all of size 1 or more), by the scaled recursion."""
     out = np.zeros(len(sizes))
     order = np.argsort(-sizes, kind="stable")
-    start, length = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    start, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
     if not len(order):
         return out
     a, total = np.tile(m["start"], (len(order), 1)), np.zeros(len(order))
-    live = np.searchsorted(-length, -np.arange(int(length[0])), "left")  # texts of more than t tokens
-    for t, n in enumerate(live.tolist()):
-        a = (a[:n] @ m["move"] if t else a[:n]) * m["emit"][cls[start[:n] + t]]
-        c = a.sum(1)
-        a /= c[:, None]
-        total[:n] += np.log10(c)
+    live = np.searchsorted(-size, -np.arange(int(size[0])), "left").tolist()  # texts of more than t tokens
+    for t0 in range(0, len(live), 256):
+        n0, t1 = live[t0], min(t0 + 256, len(live))
+        _, b = _emissions(cls, start[:n0], size[:n0], t0, t1, m["emit"])
+        c = np.ones((t1 - t0, n0))
+        for t in range(t0, t1):
+            n = live[t]
+            a = (a[:n] @ m["move"] if t else a[:n]) * b[t - t0, :n]
+            c[t - t0, :n] = x = a.sum(1)
+            a /= x[:, None]
+        total[:n0] += np.log10(c).sum(0)
     out[order] = total
     return out
 
 
-def expect(cls: np.ndarray, sizes: np.ndarray, use: np.ndarray, m: dict, counts: dict) -> None:
-    """Adds the Baum-Welch counts of the texts in use."""
-    start, length, head = _runs(sizes, use, RUN)
-    emit, move = m["emit"].astype(np.float32), m["move"].astype(np.float32)
-    for i in range(0, len(start), CHUNK):
-        s, size, h = start[i : i + CHUNK], length[i : i + CHUNK], head[i : i + CHUNK]
-        live = np.searchsorted(-size, -np.arange(int(size[0])), "left").tolist()
-        a, e, scale, seen = [], [], [], []
-        now = np.where(h[:, None], m["start"], m["middle"]).astype(np.float32)
-        for t, n in enumerate(live):
-            k = cls[s[:n] + t]
-            b = emit[k]
-            now = (now[:n] @ move if t else now[:n]) * b
-            c = now.sum(1, keepdims=True)
-            now = now / c
-            a.append(now)
-            e.append(b)
-            scale.append(c)
-            seen.append(k)
-            counts["loglik"] += float(np.log10(c, dtype=np.float64).sum())
-        back = np.ones((live[-1], STATES), np.float32)
-        for t in range(len(live) - 1, -1, -1):
-            n = live[t]
-            if len(back) < n:
-                back = np.concatenate([back, np.ones((n - len(back), STATES), np.float32)])
-            post = a[t] * back
-            if t:
-                ahead = e[t] * back / scale[t]
-                counts["move"] += (a[t - 1][:n].T @ ahead) * move
-                back = ahead @ move.T
-            e[t] = post
-        counts["start"] += e[0][h].sum(0, dtype=np.float64)
-        k, post = np.concatenate(seen), np.concatenate(e)
+def _expect(cls: np.ndarray, start: np.ndarray, size: np.ndarray, m: dict, counts: dict) -> None:
+    """Adds the counts of texts side by side, longest first."""
+    emit, move, first = (m[x].astype(np.float32) for x in ("emit", "move", "start"))
+    live = np.searchsorted(-size, -np.arange(int(size[0]) + 1), "left")
+    borders = list(range(0, int(size[0]), SEGMENT))
+    # forward vectors before each segment, of the texts that go on there
+    before = [np.tile(first, (len(size), 1))]
+    for t0 in borders[:-1]:
+        n = int(live[t0 + SEGMENT])
+        _, b = _emissions(cls, start[:n], size[:n], t0, t0 + SEGMENT, emit)
+        x = before[-1][:n]
+        for t in range(SEGMENT):
+            x = (x @ move if t0 + t else x) * b[t]
+            if t % 4 == 3:
+                x /= x.sum(1, keepdims=True)
+        before.append(x / x.sum(1, keepdims=True))
+    carry = np.zeros((0, STATES), np.float32)
+    for t0 in reversed(borders):
+        t1 = min(t0 + SEGMENT, int(size[0]))
+        ns = live[t0:t1].tolist()
+        k, b = _emissions(cls, start[: ns[0]], size[: ns[0]], t0, t1, emit)
+        a, scale = np.zeros_like(b), np.ones((t1 - t0, ns[0], 1), np.float32)
+        x = edge = before.pop()
+        for t, n in enumerate(ns):
+            x = (x[:n] @ move if t0 + t else x[:n]) * b[t, :n]
+            scale[t, :n] = c = x.sum(1, keepdims=True)
+            x = a[t, :n] = x / c
+        counts["loglik"] += float(np.log10(scale, dtype=np.float64).sum())
+        b /= scale
+        back = np.ones_like(b)
+        back[-1, : len(carry)] = carry
+        for t in range(len(ns) - 1, 0, -1):
+            n = ns[t]
+            b[t, :n] *= back[t, :n]
+            back[t - 1, :n] = b[t, :n] @ move.T
+            b[t, n:] = 0
+        b[0] *= back[0]
+        carry = b[0] @ move.T
+        # b is now emission times backward vector over scale
+        moved = a[:-1].reshape(-1, STATES).T @ b[1:].reshape(-1, STATES)
+        if t0:
+            moved += edge.T @ b[0]
+        counts["move"] += moved * move
+        a *= back
+        if not t0:
+            counts["start"] += a[0].sum(0, dtype=np.float64)
+        flat = k.ravel()
         for j in range(STATES):
-            counts["emit"][:, j] += np.bincount(k, post[:, j], minlength=FIRST + CLASSES)
+            counts["emit"][:, j] += np.bincount(flat, a[:, :, j].ravel(), minlength=FIRST + CLASSES)
+
+
+def expect(cls: np.ndarray, sizes: np.ndarray, use: np.ndarray, m: dict, counts: dict) -> None:
+    """Adds the Baum-Welch counts of the texts in use (all of size 1 or more)."""
+    start, size = (np.cumsum(sizes) - sizes)[use], sizes[use]
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    i = 0
+    while i < len(size):
+        n = max(1, ABREAST // min(int(size[i]), SEGMENT))
+        _expect(cls, start[i : i + n], size[i : i + n], m, counts)
+        i += n
+
+
+def _gathered(rows, m: dict, counts: dict) -> None:
+    """``expect`` over (held, sizes, classes) of blocks; texts of several blocks go side by side, long ones and others apart."""
+    held: dict[bool, list] = {False: [], True: []}
+
+    def close(long: bool) -> None:
+        if held[long]:
+            cls = np.concatenate([x for x, _ in held[long]])
+            size = np.concatenate([y for _, y in held[long]])
+            held[long].clear()
+            expect(cls, size, np.ones(len(size), bool), m, counts)
+
+    for out, sizes, cls in rows:
+        for long in (False, True):
+            use = ~out & ((sizes > SEGMENT) == long)
+            held[long].append((cls[np.repeat(use, sizes)].astype(np.int32), sizes[use]))
+            if sum(len(x) for x, _ in held[long]) >= (GATHER_LONG if long else GATHER_SHORT):
+                close(long)
+    close(False)
+    close(True)
 
 
 def fresh_counts() -> dict:
@@ -116,28 +163,26 @@ def first_model(share: np.ndarray) -> dict:
     move = np.full((STATES, STATES), 0.1 / (STATES - 1))
     np.fill_diagonal(move, 0.9)
     even = np.full(STATES, 1 / STATES)
-    return {"emit": emit / emit.sum(0), "move": move, "start": even, "middle": even}
+    return {"emit": emit / emit.sum(0), "move": move, "start": even}
 
 
 def maximise(counts: dict, share: np.ndarray) -> dict:
     emit = (counts["emit"] + PRIOR * share[:, None]) / (counts["emit"].sum(0) + PRIOR)
     move = counts["move"] + 0.1
-    use = counts["emit"].sum(0) + 1e-3
-    return {"emit": emit, "move": move / move.sum(1, keepdims=True), "start": (counts["start"] + 0.1) / (counts["start"] + 0.1).sum(), "middle": use / use.sum()}
+    return {"emit": emit, "move": move / move.sum(1, keepdims=True), "start": (counts["start"] + 0.1) / (counts["start"] + 0.1).sum()}
 
 
 _COUNTS = "key int, " + ", ".join(f"s{j} double" for j in range(STATES))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    parts = min(CLASSES, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _packed(docs: DataFrame, parts: int) -> DataFrame:
     bundle = pa.struct([("part", pa.int64()), ("at", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
         for b in blocks(batches, words, more=1):
             held = np.array([x[0] for x in b.more], bool)
             seen = np.bincount(b.ranks[np.repeat(~held, b.sizes)], minlength=len(b.words))
-            rows = [{"part": p, "at": pack(np.diff(at, prepend=0)), "words": pack_words(w), "counts": pack(c)} for p, at, w, c in b.bundles(parts, also=seen, part=lambda w: word_class(w) % parts)]
+            rows = [{"part": p, "at": pack(np.diff(at, prepend=0)), "words": pack_words(w), "counts": pack(c)} for p, at, w, _, c in b.bundles(parts, also=seen)]
             yield record(
                 ["block", "n_words", "ids", "held", "sizes", "ranks", "bundles"],
                 [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.list_(bundle)],
@@ -179,9 +224,10 @@ def score(docs: DataFrame, states_rounds: int = ROUNDS) -> DataFrame:
     spark = docs.sparkSession
     arrow_batches(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"))
-    packed = materialise(_packed(src), "blocks")
+    tasks, parts = widths(src)
+    packed = materialise(_packed(src, parts), "blocks")
     schema = "block long, at binary, counts binary, kinds binary, class int, n long, v long, mass long"
-    counted = materialise(packed.select("block", F.explode("bundles").alias("b")).select("block", "b.*").groupBy("part").applyInArrow(_count, schema), "word-counts")
+    counted = materialise(packed.select("block", F.explode("bundles").alias("b")).select("block", "b.*").repartition(tasks, "part").groupBy("part").applyInArrow(_count, schema), "word-counts")
     # sums by class, CLASSES rows at most
     sums = counted.where("block is null").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("mass").alias("mass")).toPandas()
     texts = packed.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
@@ -219,8 +265,10 @@ def score(docs: DataFrame, states_rounds: int = ROUNDS) -> DataFrame:
         return pa.table([b["ids"], b["held"], pa.array([pack(sizes + 1)], pa.binary()), pa.array([pack(flat)], pa.binary()), *columns], ["ids", "held", "sizes", "classes", "log_all", "log_plain", "known", "once", "unseen"])
 
     schema = "ids array<long>, held array<boolean>, sizes binary, classes binary, log_all array<double>, log_plain array<double>, known array<double>, once array<double>, unseen array<double>"
-    ready = packed.drop("bundles").groupBy("block").cogroup(counted.where("block is not null").select("block", "at", "counts", "kinds").groupBy("block")).applyInArrow(reassemble, schema)
+    replies = counted.where("block is not null").select("block", "at", "counts", "kinds").repartition(tasks, "block")
+    ready = packed.drop("bundles").repartition(tasks, "block").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(reassemble, schema)
     ready = materialise(ready, "classes")
+    release(packed, counted)
 
     model = first_model(share)
     for _ in range(states_rounds if texts else 0):
@@ -228,9 +276,7 @@ def score(docs: DataFrame, states_rounds: int = ROUNDS) -> DataFrame:
 
         def step(batches, held=held):
             counts = fresh_counts()
-            for batch in batches:
-                for h, sizes, cls in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    expect(unpack(cls), unpack(sizes), ~np.array(h, bool), held.value, counts)
+            _gathered(((np.array(h.as_py(), bool), unpack(sizes.as_py()), unpack(cls.as_py())) for batch in batches for h, sizes, cls in zip(*batch.columns, strict=True)), held.value, counts)
             some = np.flatnonzero(counts["emit"].any(1))
             rows = np.concatenate([counts["emit"][some], counts["move"], counts["start"][None], np.eye(1, STATES) * counts["loglik"]])
             keys = np.concatenate([some, FIRST + CLASSES + np.arange(STATES + 2)]).astype(np.int32)

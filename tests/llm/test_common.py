@@ -42,6 +42,9 @@ def test_blocks_are_the_same_with_and_without_positions():
 
 
 def test_small_is_counted(spark):
+    long = spark.range(9).select(F.repeat(F.lit("x"), common.BROADCAST_BYTES // 9).alias("a"), F.array(F.lit("é")).alias("b"))
+    assert "ResolvedHint" not in common.small(long)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" in common.small(long.limit(3))._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in common.small(spark.range(5))._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in common.small(spark.range(5), common.BROADCAST_ROWS + 1)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in common.small(spark.range(common.BROADCAST_BYTES // 8 + 1))._jdf.queryExecution().analyzed().toString()
     assert spark.range(3).select(common.crc_mod(F.lit(None).cast("long"), 7)).first()[0] == 0

@@ -7,9 +7,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import regex
 import tiktoken
 
-from docsearch.llm import bpe, chat, hmm
+from docsearch.llm import blocks, bpe, chat, hmm
 from docsearch.llm.queries import tokenizer
 from pyspark.sql import functions as F
 
@@ -32,6 +33,28 @@ def test_bpe(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), ranks, pattern).count() == 0
 
 
+def plain_bpe(piece, ranks):
+    """Byte pairs merged one by one, the least rank first, the leftmost of equal ones."""
+    parts = [piece[k : k + 1] for k in range(len(piece))]
+    while len(parts) > 1 and (best := min((ranks.get(a + b, math.inf), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))[0] < math.inf:
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    return [ranks[x] for x in parts]
+
+
+def test_bpe_is_that_of_brute_force(spark):
+    ranks, pattern = tokenizer()
+    rows = [(k, t) for k, t in enumerate(TEXTS) if len(t or "") < 3000]
+    got = {r.doc_id: r.ids for r in bpe.encode(spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, check int, part int"), ranks, pattern).collect()}
+    assert got == {k: [i for x in regex.findall(pattern, t or "") for i in plain_bpe(x.encode(), ranks)] for k, t in rows}
+
+
+def test_a_changed_word_list_is_an_error():
+    a, b = (blocks.Block(0, [1], [2], np.array([0, 1]), w, []) for w in ([b"x", b"y"], [b"y", b"x"]))
+    for parts in (1, 3):
+        assert sum(c for *_, c, _ in a.bundles(parts)) % (1 << 64) == a.checksum() % (1 << 64)
+    assert a.checksum() != b.checksum()
+
+
 def test_bpe_of_documents(spark):
     ranks, pattern = tokenizer()
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -59,6 +82,80 @@ def test_forward_is_exact():
         assert abs(x - total) < 1e-9 * max(1, abs(total))
 
 
+def plain_expect(cls, sizes, m):
+    """Baum-Welch counts, text by text."""
+    counts, at = hmm.fresh_counts(), 0
+    for n in sizes.tolist():
+        seq, at = cls[at : at + n], at + n
+        b = m["emit"][seq]
+        a, c, back = np.zeros((n, hmm.STATES)), np.zeros(n), np.ones((n, hmm.STATES))
+        for t in range(n):
+            x = (a[t - 1] @ m["move"] if t else m["start"]) * b[t]
+            c[t] = x.sum()
+            a[t] = x / c[t]
+        for t in range(n - 2, -1, -1):
+            back[t] = m["move"] @ (b[t + 1] * back[t + 1]) / c[t + 1]
+            counts["move"] += np.outer(a[t], b[t + 1] * back[t + 1] / c[t + 1]) * m["move"]
+        np.add.at(counts["emit"], seq, a * back)
+        counts["start"] += a[0] * back[0]
+        counts["loglik"] += np.log10(c).sum()
+    return counts
+
+
+def test_expected_counts_are_exact_across_segments():
+    rng = np.random.default_rng(5)
+    k, s, g = hmm.FIRST + hmm.CLASSES, hmm.STATES, hmm.SEGMENT
+    sizes = np.array([3, 2 * g + 17, 1, g, g + 1, 700, 8, 5 * g, 3 * g - 1, *rng.integers(1, 90, 40)])
+    share = rng.random(k)
+    m = hmm.first_model(share / share.sum())
+    m["move"] = rng.random((s, s)) + np.eye(s)
+    m["move"] /= m["move"].sum(1, keepdims=True)
+    cls = rng.integers(0, k, sizes.sum())
+    want, got = plain_expect(cls, sizes, m), hmm.fresh_counts()
+    ends = np.cumsum(sizes)
+    rows = ((np.zeros(j - i, bool), sizes[i:j], cls[(ends - sizes)[i] : ends[j - 1]]) for i, j in ((0, 5), (5, 20), (20, len(sizes))))
+    hmm._gathered(rows, m, got)
+    assert np.allclose(got["move"], want["move"], rtol=2e-3, atol=1e-2) and np.allclose(got["start"], want["start"], rtol=2e-3, atol=1e-3)
+    assert np.allclose(got["emit"], want["emit"], rtol=5e-3, atol=1e-4) and abs(got["loglik"] - want["loglik"]) < 1e-4 * abs(want["loglik"])
+
+
+def plain_scores(rows):
+    """Brute force of the whole operator: (doc_id, text) to log10 probability."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    train = [hmm.words(t) for i, t in rows if not held(i)]
+    counts = Counter(w for t in train for w in t)
+    kind = lambda w: hmm.word_class(w) if counts[w] > 1 else hmm.RARE
+    share, mass, once = np.zeros(hmm.FIRST + hmm.CLASSES), Counter(), sum(c == 1 for c in counts.values())
+    for w, c in counts.items():
+        share[kind(w)] += c
+        mass[kind(w)] += c + 1
+    share[hmm.END], share[hmm.RARE] = len(train), max(once, 1)
+    share /= share.sum()
+    m = hmm.first_model(share)
+    seqs = [[*map(kind, t), hmm.END] for t in train]
+    for _ in range(hmm.ROUNDS):
+        m = hmm.maximise(plain_expect(np.concatenate(seqs), np.array(list(map(len, seqs))), m), share)
+    out = {}
+    for i, t in rows:
+        total, a = 0.0, m["start"]
+        for k, w in enumerate([*hmm.words(t), None]):
+            c = hmm.END if w is None else kind(w)
+            within = 1 if w is None else (counts[w] + 1) / mass[c] if c != hmm.RARE else 0.5 / once if counts[w] else 0.5
+            a = (a @ m["move"] if k else a) * m["emit"][c] * within
+            total += math.log10(a.sum())
+            a = a / a.sum()
+        out[i] = total
+    return out
+
+
+def test_scores_are_those_of_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 3000").select("doc_id", "text").limit(60)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(900001, " ".join(f"w{k % 50}" for k in range(2500))), (900002, "")]
+    want = plain_scores(rows)
+    got = {r.doc_id: r.score for r in hmm.score(spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, score double, block int").repartition(3)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-3 * abs(want[i]) + 1e-6 for i in want)
+
+
 def test_baum_welch_climbs():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 500, 60)
