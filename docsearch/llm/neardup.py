@@ -10,9 +10,9 @@ partner (skip merging); nor have classes that are in one component already, or w
 For each pair that a posting list brings together the colliding coordinates of the two signatures are counted, and pairs
 with ``MATCHES`` or more are confirmed on the full sets.  Within a list, classes are first paired with one pivot each (two
 rounds, with other pivots) and merged into components; only lists that then still hold several components are counted
-exhaustively, signatures only, in blocks of 2048 x 2048.  Full sets go to those that such a count leaves undecided, once for each
-sub-block of 512 x 512, and only links leave it.  So no list is expanded into pairs, nothing is capped, and a hot list is
-spread over many tasks.
+exhaustively, signatures only, in blocks of 1024 x 1024.  Full sets go to those that such a count leaves undecided, once for each
+block pair (one whose sets are too large together is cut), and only links leave it.  So no list is expanded into pairs, nothing is
+capped, and a hot list is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsearch.llm import textkit
+from docsearch.llm.blocks import ragged
 from docsearch.llm.common import arrow_batches, components, materialise, release, small, tidy, without
 
-SHINGLE, COORDS, MATCHES, BLOCK, SUB = 5, 64, 32, 2048, 512
+SHINGLE, COORDS, MATCHES, BLOCK, SUB_SHINGLES = 5, 64, 32, 1024, 1 << 21
 _MULT = np.random.default_rng(64).integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -105,18 +106,6 @@ def _confirm(percent: int):
     return run
 
 
-def _bits(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of packed bits a set, over the shingles that two or more of the sets have."""
-    size = np.array([len(x) for x in sets])
-    u, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[at]
-    bits = np.zeros((len(sets), max(1, int((count > 1).sum()))), bool)
-    rows = np.repeat(np.arange(len(sets)), size)
-    bits[rows[place >= 0], place[place >= 0]] = True
-    packed = np.packbits(bits, axis=1)
-    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
-
-
 def _collide(percent: int):
     """Counts colliding coordinates between the two sides of a block pair, and deals what may be linked to sub-blocks.
 
@@ -129,39 +118,62 @@ def _collide(percent: int):
         cid, comp, block, size = (t[c].to_numpy() for c in ("cid", "comp", "block", "n_shingles"))
         sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDS)
         left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-        partners: dict[tuple[int, int], dict[int, list]] = {}
+        one, other = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for x, i in enumerate(left.tolist()):
             js = right[x + 1 :] if bi == bj else right
-            ok = (comp[js] != comp[i]) & (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))
-            js = js[ok]
+            js = js[(comp[js] != comp[i]) & (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))]
             js = js[(sig[js] == sig[i]).sum(1) >= MATCHES]
-            for y in np.unique(np.searchsorted(right, js) // SUB).tolist():
-                partners.setdefault((x // SUB, y), {})[i] = js[np.searchsorted(right, js) // SUB == y].tolist()
-        rows = []
-        for (x, y), found in partners.items():
-            for i in sorted({j for js in found.values() for j in js} | set(found)):
-                rows.append((token, bi, bj, x, y, int(cid[i]), int(comp[i]), cid[found[i]].tolist() if i in found else None))
-        kinds = [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["token", "bi", "bj", "x", "y", "cid", "comp", "partners"])
+            one.append(np.full(len(js), i, np.int32))
+            other.append(js.astype(np.int32))
+        one, other = np.concatenate(one), np.concatenate(other)
+        # parts of either side of so many shingles together
+        part = np.zeros(len(cid), np.int32)
+        for side in (left, right):
+            part[side] = np.cumsum(size[side]) // SUB_SHINGLES
+        out = []
+        place = part[one].astype(np.int64) << 32 | part[other]
+        for p in np.unique(place).tolist():
+            a, b = one[place == p], other[place == p]
+            inside = np.unique(np.concatenate([a, b]))
+            ends = np.searchsorted(a, inside, "right")  # the left side is in order
+            at = np.concatenate([[0], ends]).astype(np.int32)
+            kinds = {"token": (token, pa.int64()), "bi": (bi, pa.int32()), "bj": (bj, pa.int32()), "x": (p >> 32, pa.int32()), "y": (p & 0xFFFFFFFF, pa.int32())}
+            fixed = [pa.repeat(pa.scalar(v, k), len(inside)) for v, k in kinds.values()]
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(cid[b]))
+            out.append(pa.table([*fixed, pa.array(cid[inside]), pa.array(comp[inside]), lists], [*kinds, "cid", "comp", "partners"]))
+        empty = [("token", pa.int64()), *((c, pa.int32()) for c in ("bi", "bj", "x", "y")), ("cid", pa.int64()), ("comp", pa.int64()), ("partners", pa.list_(pa.int64()))]
+        return pa.concat_tables(out) if out else pa.schema(empty).empty_table()
 
     return run, "token long, bi int, bj int, x int, y int, cid long, comp long, partners array<long>"
 
 
 def _decide(percent: int):
-    """Links of different components within a sub-block, on the full sets."""
+    """Links of different components within a sub-block, on the full sets; none between what others have joined already."""
 
     def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cid")
         cid, comp = t["cid"].to_numpy(), t["comp"].to_numpy()
-        place = {c: k for k, c in enumerate(cid.tolist())}
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["grams"]]
-        size, bits = np.array([len(x) for x in sets]), _bits(sets)
-        links: set[tuple[int, int]] = set()
-        for i, js in enumerate(t["partners"].to_pylist()):
-            if js:
-                j = np.array([place[c] for c in js])
-                both = np.bitwise_count(bits[j] & bits[i]).sum(1, dtype=np.int64)
-                links.update((int(comp[i]), int(c)) for c in comp[j[_linked(both, size[i], size[j], percent)]])
+        size = np.array([len(x) for x in sets])
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        lists = t["partners"].combine_chunks()
+        js = np.searchsorted(cid, lists.flatten().to_numpy())
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        mark, label, links = np.zeros(len(distinct), bool), comp.copy(), []
+        for i in np.flatnonzero(np.diff(ends)).tolist():
+            j = js[ends[i] : ends[i + 1]]
+            j = j[label[j] != label[i]]
+            if not len(j):
+                continue
+            mine = codes[offsets[i] : offsets[i + 1]]
+            mark[mine] = True
+            theirs, _ = ragged(codes, offsets, j)
+            both = np.add.reduceat(mark[theirs], np.cumsum(size[j]) - size[j], dtype=np.int64)
+            mark[mine] = False
+            for k in np.unique(label[j[_linked(both, size[i], size[j], percent)]]).tolist():
+                links.append((int(label[i]), k))
+                label[label == k] = label[i]
         return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["ca", "cb"])
 
     return run
