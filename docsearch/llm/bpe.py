@@ -9,7 +9,8 @@ per block, and no text does.  Decoding joins ids with the token-byte table, whos
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -53,6 +54,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
     order, as a table's scan does; a block that meets another word list than its own is an error (a 64-bit checksum of the list tells).
     Very long texts are blocks of their own.
     """
+    return _encoded(docs, ranks, pattern, lambda doc_ids, lists: pa.table([doc_ids, lists], ["doc_id", "ids"]), "doc_id long, ids array<int>", doc_id, text)
+
+
+def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish: Callable[[pa.Array, pa.ListArray], pa.Table], schema: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What ``finish`` makes of the documents' ids and their lists of tokens, some documents at a time, in the worker that puts these together."""
     spark = docs.sparkSession
     arrow_batches(spark)
     held = _hold(docs, ranks)
@@ -111,56 +117,64 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
         offsets = np.concatenate([[0], np.cumsum(size)])
         flat = flat.astype(np.int32)
         ids, sizes, seq = docs_["ids"][0].values, unpack(docs_["sizes"][0].as_py()), unpack(docs_["ranks"][0].as_py())
-        out, ends, total = [], [0], 0
+        out = []
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         i = 0
         while i < len(sizes):  # some documents at a time
             j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + (1 << 17), "right")) - 1)
             values, n_ids = ragged(flat, offsets, place[seq[cuts[i] : cuts[j]]])
-            out.append(values)
-            run = np.concatenate([[0], np.cumsum(n_ids)])[cuts[i + 1 : j + 1] - cuts[i]] + total
-            ends += run.tolist()
-            total += len(values)
+            ends = np.concatenate([[0], np.cumsum(n_ids)])[cuts[i : j + 1] - cuts[i]]
+            out.append(finish(ids[i:j], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))))
             i = j
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-        return pa.table({"doc_id": ids, "ids": lists})
+        return pa.concat_tables(out)
 
     packed = src.mapInArrow(tidy(positions), "block long, n_words long, check long, ids array<long>, sizes binary, ranks binary")
     listed = src.mapInArrow(tidy(words), "part long, block long, at binary, words binary, check long")
     coded = listed.repartition(tasks, "part").groupBy("part").applyInArrow(encode_part, "block long, at binary, sizes binary, flat binary, check long")
     both = packed.repartition(tasks, "block").groupBy("block").cogroup(coded.repartition(tasks, "block").groupBy("block"))
-    return both.applyInArrow(reassemble, "doc_id long, ids array<int>")
+    return both.applyInArrow(reassemble, schema)
+
+
+def _table(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """Bytes by id; its size is that of the vocabulary."""
+    table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
+def _joined(lists: pa.ListArray, token: Callable[[int], bytes | str], by: bytes | str) -> Iterator[bytes | str]:
+    """The tokens of each list, one after the other."""
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0))]).tolist()
+    ids = lists.flatten().to_numpy().tolist()
+    for a, b in zip(ends, ends[1:], strict=False):
+        yield by.join(map(token, ids[a:b]))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
     """Adds ``decoded`` (binary): the bytes of each id one after the other, by the token-byte table.
 
-    Null ids give null; an id outside the table is an error.
+    Null ids give null, an empty list empty bytes; an id outside the table is an error; other columns stay as they are.
     """
-    table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    held = encoded.sparkSession.sparkContext.broadcast(table)
-    at = encoded.columns.index(ids)
+    at, held = encoded.columns.index(ids), encoded.sparkSession.sparkContext.broadcast(_table(ranks))
 
     def run(batches):
-        token = held.value.__getitem__
         for batch in batches:
             lists = batch.column(at)
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0))]).tolist()
-            parts = list(map(token, lists.flatten().to_numpy().tolist()))
-            out = [b"".join(parts[a:b]) if has else None for a, b, has in zip(ends, ends[1:], lists.is_valid().to_pylist())]  # noqa: B905
+            out = [x if has else None for x, has in zip(_joined(lists, held.value.__getitem__, b""), lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(tidy(run), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, then decoded from the ids."""
-    both = decode(encode(docs, ranks, pattern), ranks)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): of the encoded lists and of what they decode to, summed up where the lists are put together."""
+    spark = docs.sparkSession
+    tokens, numbers = (spark.sparkContext.broadcast(x) for x in (_table(ranks), list(map(str, range(max(ranks.values(), default=-1) + 1)))))
+
+    def finish(doc_ids: pa.Array, lists: pa.ListArray) -> pa.Table:
+        ids = [hashlib.sha256(x.encode()).hexdigest() for x in _joined(lists, numbers.value.__getitem__, " ")]
+        texts = [hashlib.sha256(x).hexdigest() for x in _joined(lists, tokens.value.__getitem__, b"")]
+        return pa.table([doc_ids, lists.value_lengths().cast(pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _encoded(docs, ranks, pattern, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

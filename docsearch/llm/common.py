@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of an Arrow batch that a Python operator gets at once; texts are long, so fewer than Spark's default.
-BATCH_ROWS = 500
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 #: A side is broadcast up to so many bytes of values (summed up, not estimated); beyond it the join is shuffled.
 BROADCAST_BYTES = 8 << 20
 #: From so many edges on, each side of a join in ``components`` is a table.
@@ -27,7 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bounds the batches of this session's Python operators by rows and by bytes (a single longer row is a batch)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:

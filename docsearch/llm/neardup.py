@@ -69,17 +69,15 @@ def _signatures(shingle: int):
 
 
 def _sets(shingle: int):
-    """Full shingle sets as sorted little-endian 64-bit numbers, with their keys."""
+    """Full shingle sets as sorted little-endian 64-bit numbers, of the texts that have the class's keys."""
 
     def run(batches):
         for batch in batches:
-            out, keys = [], []
+            want = np.stack([batch.column(k).to_numpy() for k in (2, 3, 4)])
             for i, j, h, off in textkit.shingle_sets(batch.column(1), shingle):
-                out += [h[off[r] : off[r + 1]].tobytes() for r in range(j - i)]
-                keys.append(_keys(h, off))
-            if out:
-                n, k1, k2 = np.concatenate(keys, axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(k1), pa.array(k2), pa.array(out, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "grams"])
+                own = np.flatnonzero((_keys(h, off) == want[:, i:j]).all(0))
+                sets = [h[off[r] : off[r + 1]].tobytes() for r in own]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + own)), pa.array(sets, pa.binary())], ["cid", "grams"])
 
     return run
 
@@ -204,9 +202,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # one class has very many copies (so are the tables below that lists of any length are joined with)
     key = ["n_shingles", "k1", "k2"]
     classes = materialise(keyed.groupBy(*key).agg(F.min("row").alias("cid"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "classes")
-    members = keyed.join(classes, key, "left").withColumn("cid", F.coalesce("cid", "row"))
-    members = materialise(members.select("row", "doc_id", *key, "cid", F.when(F.col("row") == F.col("cid"), F.col("sig")).alias("sig")), "members")
-    reps = members.where("row = cid")
+    members = keyed.select("row", "doc_id", *key).join(classes, key, "left")
+    members = materialise(members.select("row", "doc_id", F.coalesce("cid", "row").alias("cid")), "members")
+    reps = keyed.join(small(members.where("row <> cid").select("row")), "row", "left_anti").withColumnRenamed("row", "cid")
     post = reps.select("cid", F.posexplode("sig").alias("pos", "value")).select("cid", F.xxhash64("pos", "value").alias("token"))
     shared = materialise(post.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     lists = (
@@ -221,9 +219,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     release(classes, shared)
     wanted = reps.join(small(lists.select("cid").distinct()), "cid", "left_semi")
     wanted = materialise(wanted.select("cid", "doc_id", *key, "sig"), "candidates")
-    source = src.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = source.mapInArrow(tidy(_sets(shingle)), "doc_id long, n_shingles long, k1 long, k2 long, grams binary")
-    sets = materialise(sets.join(small(wanted.select("cid", "doc_id", *key)), ["doc_id", *key]).select("cid", "grams").dropDuplicates(["cid"]), "sets")
+    source = src.join(small(wanted.select("doc_id", "cid", *key)), "doc_id").select("cid", "text", *key)
+    sets = materialise(source.mapInArrow(tidy(_sets(shingle)), "cid long, grams binary").dropDuplicates(["cid"]), "sets")
     sig = wanted.select("cid", "n_shingles", "sig")
 
     # rows of one document belong together

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -239,3 +240,11 @@ def test_chat_has_no_python(spark, capsys):
     chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window int")).explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_digests_are_those_of_encode_and_decode(spark):
+    ranks, pattern = tokenizer()
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in bpe.digests(df, ranks, pattern).collect()}
+    both = bpe.decode(bpe.encode(df, ranks, pattern), ranks).collect()
+    assert got == {r.doc_id: (len(r.ids), hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest(), hashlib.sha256(bytes(r.decoded)).hexdigest()) for r in both}
