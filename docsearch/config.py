@@ -11,8 +11,6 @@ from docsearch.errors import ConfigError
 
 MODES = ("off", "symbolic", "all")
 EFFORTS = ("low", "medium", "high", "xhigh", "max")
-#: Old names of settings, with what to write today.
-RENAMED = {"pdf_strip_symbolic_inline_code": "pdf_inline_code_strip (off, symbolic or all)"}
 CONFIG_VARIABLE, CONFIG_FILE, KEY_VARIABLE = "DOCSEARCH_CONFIG", "config.yaml", "DOCSEARCH_API_KEY"
 #: Values of an API key that stand for none.
 PLACEHOLDERS = ("", "your-api-key")
@@ -166,8 +164,6 @@ def override(group: Any, values: dict, source: object = None, prefix: str = "")
     """A group with some settings replaced; unknown keys are errors, whole numbers do for fractions."""
     names, new = {f.name for f in fields(group)}, {}
     for key, value in values.items():
-        if key in RENAMED:
-            raise ConfigError(f"{prefix}{key} is now {prefix}{RENAMED[key]}", source)
         if key not in names:
             raise ConfigError(f"unknown setting {prefix}{key}; there are {', '.join(sorted(names))}", source)
         old = getattr(group, key)

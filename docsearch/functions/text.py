@@ -138,27 +138,3 @@ def tokenize(x: Column, compose: bool = True) -> Column:
     x = nfc(x) if compose else x
     found = F.concat(F.regexp_extract_all(x, F.lit(f"({KOREAN_OR_WORD})"), 1), F.regexp_extract_all(x, F.lit(f"({CODE_TOKEN})"), 1))
     return F.transform(found, F.lower)
-
-
-def group_label(paths: Column, default: str = "본문", most: int = 3) -> Column:
-    """Label of merged sections: what their paths share, and what differs (the first few of it).
-
-    paths: array<array<string>>.
-    """
-    one = F.element_at(paths, 1)
-    depth = F.aggregate(
-        paths,
-        F.size(one),
-        lambda n, p: F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (k <= n) & (F.slice(p, F.lit(1), k) == F.slice(one, F.lit(1), k)) & (F.size(p) >= k))),
-    )
-    prefix = F.array_join(F.slice(one, F.lit(1), depth), " > ")
-    rests = F.transform(paths, lambda p: F.array_join(F.slice(p, depth + 1, F.size(p) + 1), " > "))
-    items = F.array_distinct(F.filter(rests, lambda r: r != ""))
-    shown = F.concat(F.array_join(F.slice(items, 1, most), ", "), F.when(F.size(items) > most, F.concat(F.lit(" 외 "), (F.size(items) - most).cast("string"), F.lit("개"))).otherwise(""))
-    several = (
-        F.when(F.size(items) == 0, F.when(prefix == "", F.lit(default)).otherwise(prefix))
-        .when(prefix == "", shown)
-        .when(F.exists(rests, lambda r: r == ""), F.concat(prefix, F.lit(" ("), shown, F.lit(" 포함)")))
-        .otherwise(F.concat(prefix, F.lit(" > "), shown))
-    )
-    return F.when(F.size(paths) == 1, F.when(F.size(one) > 0, F.array_join(one, " > ")).otherwise(F.lit(default))).otherwise(several)

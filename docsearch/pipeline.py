@@ -182,7 +182,7 @@ class Pipeline:
     def _checked(self, question: str, reply: A.Reply, contexts: list[dict], warnings: list[str]) -> A.Answer:
         base = {"contexts": contexts, "model": reply.model or self.config.generation.model, "stop_reason": reply.stop_reason, "usage": reply.usage}
         if reply.stop_reason == "refusal":
-            return A.Answer(question, "이 질문은 모델의 안전 정책에 의해 답변이 거절되었습니다.", warnings=[*warnings, f"refused ({reply.category})"], **base)
+            return A.Answer(question, "모델이 답변을 거절한 질문입니다.", warnings=[*warnings, f"refused ({reply.category})"], **base)
         if reply.stop_reason == "max_tokens":
             warnings = [*warnings, "the answer was cut off at max_tokens"]
         if reply.fell_back:

@@ -83,21 +83,37 @@ def block_parse(spark, sf):
     @F.arrow_udf("array<struct<kind:string,first:int>>")
     def kinds(x: pa.Array) -> pa.Array:
         t = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32())]))
-        return pa.array([[{"kind": b.kind, "first": b.first} for b in C.parse_blocks(v)] for v in x.to_pylist()], t)
+        return pa.array([[{"kind": b.kind, "first": b.page} for b in C.parse_blocks(v)] for v in x.to_pylist()], t)
 
     return dressed(spark, sf).select("doc_id", F.explode(kinds("markdown")).alias("b")).groupBy("doc_id", "b.kind", "b.first").agg(F.count("*").alias("blocks"))
 
 
+def _numbered(groups: list[list]) -> list[int]:
+    return [k for k, g in enumerate(groups) for _ in g]
+
+
 def merge_small(spark, sf):
+    """The parent of each section, by the fold that ``chunk`` uses."""
+
+    @F.arrow_udf("array<int>")
+    def numbers(x: pa.Array) -> pa.Array:
+        return pa.array([_numbered(C.merged(v, lambda s: s["top"], lambda s: s["chars"], 800, 3000)) for v in x.to_pylist()], pa.list_(pa.int32()))
+
     d = read(spark, sf, "documents").select("source", F.col("doc_id"), F.concat(F.lit("c"), F.floor(F.col("doc_id") / 200).cast("string")).alias("top"), F.col("n_chars").alias("chars"))
     g = d.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "top", "chars"))).alias("s"))
-    g = g.select("source", F.explode(F.arrays_zip(F.col("s.doc_id").alias("doc_id"), C.merge_groups(F.col("s")).alias("g"))).alias("z"))
+    g = g.select("source", F.explode(F.arrays_zip(F.col("s.doc_id").alias("doc_id"), numbers(F.col("s")).alias("g"))).alias("z"))
     return g.select("source", "z.doc_id", F.col("z.g").cast("long").alias("parent_no"))
 
 
 def greedy_pack(spark, sf):
+    """Runs of blocks under a limit, by the fold that ``chunk`` uses."""
+
+    @F.arrow_udf("array<int>")
+    def numbers(x: pa.Array) -> pa.Array:
+        return pa.array([_numbered(C.packed(v, int, 5000, 2)) for v in x.to_pylist()], pa.list_(pa.int32()))
+
     d = read(spark, sf, "documents").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("s"))
-    g = d.select("lang", F.explode(F.arrays_zip(F.col("s.doc_id").alias("doc_id"), C.greedy_groups(F.col("s.n_chars"), 5000, 2).alias("g"))).alias("z"))
+    g = d.select("lang", F.explode(F.arrays_zip(F.col("s.doc_id").alias("doc_id"), numbers(F.col("s.n_chars")).alias("g"))).alias("z"))
     return g.select("lang", "z.doc_id", F.col("z.g").cast("long").alias("group_no"))
 
 
@@ -108,16 +124,48 @@ def order_tables(spark, sf):
     return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))).getField("row").alias("rows"))
 
 
+def _fragments(size: int, caption: str | None):
+    @F.arrow_udf("array<string>")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([C.split_table(C.Table("| n | p | f |", "|---|---|---|", v, caption), size) for v in x.to_pylist()], pa.list_(pa.string()))
+
+    return run
+
+
 def table_split(spark, sf):
-    t = order_tables(spark, sf).select("l_orderkey", F.posexplode(C.table_fragments(F.lit("| n | p | f |"), F.lit("|---|---|---|"), F.col("rows"), 64)).alias("fragment", "text"))
+    t = order_tables(spark, sf).select("l_orderkey", F.posexplode(_fragments(64, None)("rows")).alias("fragment", "text"))
     return t.select("l_orderkey", F.col("fragment").cast("long").alias("fragment"), "text")
 
 
 def table_split_caption(spark, sf):
-    t = order_tables(spark, sf).select("l_orderkey", F.posexplode(C.table_fragments(F.lit("| n | p | f |"), F.lit("|---|---|---|"), F.col("rows"), 90, F.lit("(단위: 원)"))).alias("fragment", "text"))
+    t = order_tables(spark, sf).select("l_orderkey", F.posexplode(_fragments(90, "(단위: 원)")("rows")).alias("fragment", "text"))
     return t.select("l_orderkey", F.col("fragment").cast("long").alias("fragment"), "text")
 
 
+def block_documents(spark, sf):
+    """Documents of one chapter, whose paragraphs are the lines of a text, under a header."""
+    body = F.concat(F.lit("# T\n\n"), F.regexp_replace("text", "\n", "\n\n"))
+    d = read(spark, sf, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("f").alias("source"), F.lit("/x").alias("source_path"), F.lit("txt").alias("file_type"), F.lit("t").alias("parser_used"), body.alias("markdown"))
+
+
+def oversized_split(spark, sf):
+    """Parts of sections that are too large for a parent: their number, from ``chunk`` itself."""
+    p = C.chunk(block_documents(spark, sf).where(~F.exists(F.split("markdown", "\n"), lambda x: F.length(x) > 3000))).where("level = 'parent'")
+    return p.select("doc_id", F.coalesce("part", F.lit("1/1")).alias("part"), F.length("text").cast("long").alias("chars"))
+
+
+def child_meta(spark, sf):
+    """What each child says of its parent: numbering without a gap, labels, headers and pages of the one in those of the other."""
+    c = C.chunk(documents(spark, sf))
+    child = c.where("level = 'child'").select("parent_id", "chunk_index", "child_id", F.col("page_start").alias("a"), F.col("page_end").alias("b"), F.map_values("headers").alias("h"), F.col("section").alias("own"))
+    parent = c.where("level = 'parent'").select("parent_id", "page_start", "page_end", "section", "subsection_count")
+    j = child.join(parent, "parent_id")
+    fault = (F.col("child_id") != F.format_string("%s-c%03d", "parent_id", "chunk_index")) | (F.col("a") < F.col("page_start")) | (F.col("b") > F.col("page_end")) | (F.array_join("h", " > ") != F.col("own")) | ((F.col("subsection_count") == 1) & (F.col("own") != F.col("section")))
+    gaps = j.groupBy("parent_id").agg(F.max("chunk_index").alias("m"), F.count("*").alias("n")).where("m + 1 <> n")
+    return j.where(fault).select("parent_id").unionAll(gaps.select("parent_id")).agg(F.count("*").alias("faults"))
+
+
 def caption_flag(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("s"))
     return d.groupBy("doc_id").agg(F.sum(((F.length(T.strip(F.col("s"))) <= 150) & ~F.col("s").contains("\n\n")).cast("long")).alias("captions"))
@@ -169,6 +217,12 @@ SQL = {
     "caption_flag": "SELECT doc_id, sum((length(regexp_replace(s, '^\\s+|\\s+$', '', 'g')) <= 150)::INT)::BIGINT AS captions FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) GROUP BY doc_id",
     "page_range": "SELECT 'd' || doc_id AS doc_id, 1::INT AS first_page, ((len(string_split(text, chr(10))) - 1) // 6 + 1)::INT AS last_page FROM documents",
     "parents_children_fk": "SELECT 0::BIGINT AS faults",
+    "child_meta": "SELECT 0::BIGINT AS faults",
+    "oversized_split": r"""WITH RECURSIVE b AS (SELECT doc_id, length(x) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS r FROM (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS x FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 3000)) = 0))),
+  f AS (SELECT doc_id, r, n + 5 AS used, 1::BIGINT AS part FROM b WHERE r = 1 UNION ALL
+  SELECT b.doc_id, b.r, CASE WHEN used + 2 + n <= 3000 THEN used + 2 + n ELSE n END, CASE WHEN used + 2 + n <= 3000 THEN part ELSE part + 1 END FROM f JOIN b ON b.doc_id = f.doc_id AND b.r = f.r + 1),
+  g AS (SELECT doc_id, part, max(used) AS used, max(max(part)) OVER (PARTITION BY doc_id) AS parts FROM f GROUP BY doc_id, part)
+  SELECT doc_id::VARCHAR AS doc_id, part || '/' || parts AS part, length('[문서명: f, 섹션: T]') + 1 + used AS chars FROM g""",
 }
 _TABLE = """WITH RECURSIVE o AS (SELECT l_orderkey, l_linenumber, '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || ' |' AS row, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || ' |') AS r FROM lineitem),
   w AS (SELECT l_orderkey, %d + sum(length(row) + 1) AS whole FROM o GROUP BY 1),

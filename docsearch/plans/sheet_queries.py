@@ -133,7 +133,8 @@ def pdf_pages(spark, sf):
 
 
 def pdf_preflight(spark, sf):
-    return pdf.preflight(pdf_pages(spark, sf))
+    """Pages with white space of all kinds around them, which doesn't count."""
+    return pdf.preflight(pdf_pages(spark, sf).withColumn("text", F.concat(F.lit("\t\n"), "text", F.lit(" \r\n\n"))))
 
 
 def pdf_route(spark, sf):
@@ -179,10 +180,10 @@ SQL = {
   SELECT 'book' AS doc, n_regionkey::VARCHAR AS sheet, string_agg(x, chr(10) || chr(10) ORDER BY row) AS text FROM l GROUP BY n_regionkey""",
     "excel_markdown_table": """SELECT 'book' AS doc, n_regionkey::VARCHAR AS sheet, '| 구분 | 가격 | 가격_2 |' || chr(10) || '|---|---|---|' || chr(10) || '| 구분 | 단가 | 합계 |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' | ' || CASE n_nationkey % 2 WHEN 0 THEN 'x' ELSE '' END || ' |', chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey""",
     "cell_to_str": """SELECT l_orderkey, l_linenumber, min(CASE l_orderkey % 5 WHEN 0 THEN l_quantity::BIGINT::VARCHAR WHEN 1 THEN round(l_discount * 100)::BIGINT || '%' WHEN 2 THEN CASE WHEN l_shipdate::TIME = TIME '00:00:00' THEN strftime(l_shipdate, '%Y-%m-%d') ELSE strftime(l_shipdate, '%Y-%m-%d %H:%M') END WHEN 3 THEN CASE l_orderkey % 2 WHEN 0 THEN 'FALSE' ELSE 'TRUE' END ELSE 'a ' || l_returnflag || ' b' END) AS cell FROM lineitem GROUP BY ALL""",
-    "pdf_preflight": """WITH p AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+    "pdf_preflight": """WITH p AS (SELECT doc_id AS doc, regexp_replace(chr(9) || chr(10) || unnest(string_split(text, chr(10))) || ' ' || chr(13) || chr(10) || chr(10), '^\\s+|\\s+$', '', 'g') AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
   q AS (SELECT *, count(*) OVER (PARTITION BY doc) AS n FROM p), s AS (SELECT *, greatest(n // 10, 1) AS step FROM q)
-  SELECT doc, n AS page_count, sum((k % step = 0 AND k / step < 10)::INT)::BIGINT AS sampled_pages, sum(CASE WHEN k % step = 0 AND k / step < 10 THEN length(trim(t)) ELSE 0 END)::BIGINT AS sampled_chars, sum(length(trim(t)))::BIGINT AS raw_chars,
-  sum(CASE WHEN k % step = 0 AND k / step < 10 THEN length(trim(t)) ELSE 0 END) / sum((k % step = 0 AND k / step < 10)::INT) AS avg_chars FROM s GROUP BY doc, n""",
+  SELECT doc, n AS page_count, sum((k % step = 0 AND k / step < 10)::INT)::BIGINT AS sampled_pages, sum(CASE WHEN k % step = 0 AND k / step < 10 THEN length(t) ELSE 0 END)::BIGINT AS sampled_chars, sum(length(t))::BIGINT AS raw_chars,
+  sum(CASE WHEN k % step = 0 AND k / step < 10 THEN length(t) ELSE 0 END) / sum((k % step = 0 AND k / step < 10)::INT) AS avg_chars FROM s GROUP BY doc, n""",
     "pdf_route": """SELECT doc_id, CASE WHEN big AND NOT scanned THEN 'fast' ELSE 'layout' END AS reader, CASE WHEN big AND NOT scanned THEN 'large_pdf' WHEN scanned THEN 'scanned_ocr' ELSE 'complex_layout' END AS reason, NULL::VARCHAR AS error,
   CASE WHEN scanned THEN NULL WHEN big THEN 'large_pdf' ELSE 'layout_unavailable' END AS plain_reason, CASE WHEN scanned THEN 'EmptyDocumentError' END AS plain_error FROM (SELECT doc_id, doc_id % 600 > 300 AS big, n_chars / 20.0 < 50 AS scanned FROM documents)""",
     "layout_ratio": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN kept > 0 ELSE kept / greatest(n_chars * (doc_id % 4), 1) >= 0.5 END AS ok FROM (SELECT *, length(regexp_replace(text, '\\s', '', 'g')) AS kept FROM documents)",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsearch.functions import markdown as M
 from docsearch.functions import text as T
+from docsearch.operators.chunking import label as section_label
 from docsearch.sources import files as S
 
 #: A file table made of documents: paths in folders, with every kind of suffix.
@@ -127,11 +129,11 @@ def ticked(spark, sf):
 
 
 def inline_code_symbolic(spark, sf):
-    return ticked(spark, sf).select("doc_id", M.inline_code_udf("symbolic")("text").alias("x")).select("doc_id", "x.text", F.col("x.removed").cast("long").alias("removed"))
+    return ticked(spark, sf).select("doc_id", M.inline_code(F.col("text"), "symbolic").alias("x")).select("doc_id", "x.text", F.col("x.removed").cast("long").alias("removed"))
 
 
 def inline_code_all(spark, sf):
-    return ticked(spark, sf).select("doc_id", M.inline_code_udf("all")("text").alias("x")).select("doc_id", "x.text", F.col("x.removed").cast("long").alias("removed"))
+    return ticked(spark, sf).select("doc_id", M.inline_code(F.col("text"), "all").alias("x")).select("doc_id", "x.text", F.col("x.removed").cast("long").alias("removed"))
 
 
 def heading_restore(spark, sf):
@@ -166,6 +168,10 @@ def xml_attr(spark, sf):
 
 
 def group_label(spark, sf):
+    @F.arrow_udf("string")
+    def label_of(x: pa.Array) -> pa.Array:
+        return pa.array([section_label(v) for v in x.to_pylist()], pa.string())
+
     k = F.col("doc_id") % 6
     a = lambda *xs: F.array(*(F.lit(x) for x in xs))
     none = F.array().cast("array<string>")
@@ -177,7 +183,7 @@ def group_label(spark, sf):
         .when(k == 4, F.array(a("A"), a("B")))
         .otherwise(F.array(a("A", "1"), a("A", "1")))
     )
-    return read(spark, sf, "documents").select("doc_id", T.group_label(paths).alias("label"))
+    return read(spark, sf, "documents").select("doc_id", label_of(paths).alias("label"))
 
 
 _MARKED = """marked AS (SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN '<!-- page: 3 -->' || chr(10) || '# | - * = `' || chr(10) || chr(10) || '---'

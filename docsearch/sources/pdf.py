@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docsearch.config import ParserConfig
 from docsearch.errors import EmptyDocumentError, ParserError
 from docsearch.functions.markdown import restore_headings, strip_inline_code
+from docsearch.functions.text import strip
 
 #: Functions of a file's bytes: ``probe`` gives the text of each page (an empty list: no pages) and raises
 #: EncryptedDocumentError; ``fast``, ``layout`` and ``plain`` give the Markdown of each page.
@@ -25,7 +26,7 @@ def preflight(pages: DataFrame, sample: int = 10) -> DataFrame:
     """(doc, page_count, sampled_pages, sampled_chars, raw_chars, avg_chars) from (doc, page_no from 0, text)."""
     n = pages.groupBy("doc").agg(F.count("*").alias("page_count"))
     step = F.greatest(F.floor(F.col("page_count") / sample), F.lit(1))
-    chars = F.length(F.trim("text"))
+    chars = F.length(strip(F.col("text")))
     taken = (F.col("page_no") % step == 0) & (F.col("page_no") / step < sample)
     rows = pages.join(n, "doc")
     out = rows.groupBy("doc", "page_count").agg(F.sum(taken.cast("long")).alias("sampled_pages"), F.sum(F.when(taken, chars).otherwise(0)).alias("sampled_chars"), F.sum(chars).alias("raw_chars"))
