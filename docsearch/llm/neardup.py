@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from docsearch.llm import textkit
 from docsearch.llm.blocks import ragged
-from docsearch.llm.common import arrow_batches, components, materialise, release, small, tidy, without
+from docsearch.llm.common import arrow_batches, components, give_back, materialise, release, small, tidy, without
 
-SHINGLE, COORDS, MATCHES, BLOCK, SUB_SHINGLES = 5, 64, 32, 1024, 1 << 21
+SHINGLE, COORDS, MATCHES, BLOCK, SUB_SHINGLES = 5, 64, 32, 1024, 1 << 19
 _MULT = np.random.default_rng(64).integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -149,6 +149,7 @@ def _decide(percent: int):
     """Links of different components within a sub-block, on the full sets; none between what others have joined already."""
 
     def run(t: pa.Table) -> pa.Table:
+        give_back()  # what the sub-block before has left
         t = t.sort_by("cid")
         cid, comp = t["cid"].to_numpy(), t["comp"].to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["grams"]]
