@@ -11,12 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsearch.errors import RetrievalError
 from docsearch.functions.text import tokenize
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
-#: A query set is broadcast; this bounds it.
-MOST_QUERIES = 10_000
+#: A query set is broadcast in blocks of about so many queries at most, and so many of their terms.
+MOST_QUERIES, MOST_TERMS = 10_000, 200_000
 
 
 def where_clause(conditions: dict[str, object] | None, columns: list[str]) -> Column:
@@ -38,13 +37,17 @@ def top(scored: DataFrame, k: int, score: str = "score", tie: str = "child_id",
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, where: dict | None = None) -> DataFrame:
     """(query_id, child_id, score, rank): nearest unit vectors by cosine, filtered before the ranking.
 
-    The query set, never the corpus, is sent to every task: counted first, and past ``MOST_QUERIES`` refused.
+    The query set, never the corpus, is sent to every task: counted first, and in blocks by hash where it is large.
     """
-    if queries.count() > MOST_QUERIES:
-        raise RetrievalError(f"more than {MOST_QUERIES} queries at once: ask in blocks")
+    blocks = 1 + 2 * queries.count() // MOST_QUERIES
     rows = vectors.where(where_clause(where, vectors.columns)).select("child_id", "vector")
-    pairs = rows.join(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))), how="cross")
-    return top(pairs.select("query_id", "child_id", F.round(dot(F.col("vector"), F.col("q")), 9).alias("score")), k)
+
+    def nearest(some: DataFrame) -> DataFrame:
+        pairs = rows.join(F.broadcast(some.select("query_id", F.col("vector").alias("q"))), how="cross")
+        return top(pairs.select("query_id", "child_id", F.round(dot(F.col("vector"), F.col("q")), 9).alias("score")), k)
+
+    parts = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) for n in range(blocks)]
+    return reduce(DataFrame.unionAll, map(nearest, parts))
 
 
 def postings(children: DataFrame, text: str = "text", compose: bool = True) -> DataFrame:
@@ -77,7 +80,9 @@ def sparse(queries: DataFrame, post: DataFrame, lens: DataFrame, k: int = 20, wh
     """
     stats = corpus(lens)
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"), compose)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = post.join(F.broadcast(asked), "term").join(term_weights(post, stats), "term").join(lens, "child_id").join(F.broadcast(stats), how="cross")
+    if asked.count() <= MOST_TERMS:
+        asked = F.broadcast(asked)
+    hits = post.join(asked, "term").join(term_weights(post, stats), "term").join(lens, "child_id").join(F.broadcast(stats), how="cross")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # nine places, so that equal scores tie in whatever order they were summed
     scored = hits.groupBy("query_id", "child_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")

@@ -13,6 +13,7 @@ from docsearch.functions.text import strip_tag_line
 from docsearch.operators import answer as A
 from docsearch.operators import search as R
 from docsearch.plans.text_queries import read
+from docsearch.staging import stage
 
 _QUESTION = "the nation of reed and thing"
 
@@ -105,8 +106,9 @@ def parent_min_score(spark, sf):
 
 def hybrid_e2e(spark, sf):
     """Flagship: from a question to the content of its best parents."""
-    parents = children(spark, sf).groupBy("parent_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("child_id", "text"))).getField("text"), "\n\n").alias("content"))
-    found, _ = R.with_parents(_promoted(spark, sf), parents)
+    promoted = stage(_promoted(spark, sf))  # a few rows; only their parents' texts are put together
+    parents = children(spark, sf).join(F.broadcast(promoted.select("parent_id").distinct()), "parent_id", "left_semi").groupBy("parent_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("child_id", "text"))).getField("text"), "\n\n").alias("content"))
+    found, _ = R.with_parents(promoted, parents)
     return found.select("query_id", "parent_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"), F.md5("content").alias("content_md5"))
 
 
