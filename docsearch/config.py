@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 from pathlib import Path
 from typing import Any
@@ -179,8 +180,22 @@ def override(group: Any, values: dict, source: object = None, prefix: str = "")
     return replace(group, **new)
 
 
+_ENTRY = re.compile(r"""\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(?:'([^']*)'|"([^"]*)"|(.*?))\s*(?:\s#.*)?\Z""")
+
+
+def read_env(folder: str | Path = ".") -> Path | None:
+    """Sets what the nearest ``.env`` in a folder or above it says and the environment does not; returns its path."""
+    here = Path(folder).resolve()
+    found = next((f for f in (d / ".env" for d in (here, *here.parents)) if f.is_file()), None)
+    for m in map(_ENTRY.match, found.read_text("utf-8").splitlines() if found else []):
+        if m:
+            os.environ.setdefault(m[1], next((x for x in m.groups()[1:] if x is not None), ""))
+    return found
+
+
 def load(path: str | Path | None = None) -> Config:
-    """From the path given, else from the one that the environment names, else ./config.yaml, else the defaults."""
+    """From the path given, else from the one that the environment names, else ./config.yaml, else the defaults; a ``.env`` is read first."""
+    read_env()
     if os.environ.get(KEY_VARIABLE, "x").strip() in PLACEHOLDERS:
         del os.environ[KEY_VARIABLE]
     chosen = path or os.environ.get(CONFIG_VARIABLE) or (CONFIG_FILE if Path(CONFIG_FILE).exists() else None)

@@ -51,39 +51,44 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, where: dict | Non
 
 
 def postings(children: DataFrame, text: str = "text", compose: bool = True) -> DataFrame:
-    """(term, child_id, tf)."""
-    return children.select("child_id", F.explode(tokenize(F.col(text), compose)).alias("term")).groupBy("term", "child_id").agg(F.count("*").alias("tf"))
+    """(term, child_id, tf, dl) from one pass over the texts; dl is the number of the child's tokens, a child without any has no row.
+
+    Texts are shuffled by child before they are cut, as they are smaller than their tokens; the counts need no further shuffle.
+    """
+    tokens = children.select("child_id", text).repartition("child_id").select("child_id", tokenize(F.col(text), compose).alias("ts"))
+    rows = tokens.select("child_id", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term"))
+    return rows.groupBy("term", "child_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def lengths(children: DataFrame, text: str = "text", compose: bool = True) -> DataFrame:
-    """(child_id, dl), token-less children included."""
-    return children.select("child_id", F.size(tokenize(F.col(text), compose)).cast("long").alias("dl"))
+def frequencies(post: DataFrame) -> DataFrame:
+    """(term, df); additive over sets of children."""
+    return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus(lens: DataFrame) -> DataFrame:
-    """One row: n, avgdl; null or zero-token corpora have no row to search in."""
-    return lens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def totals(post: DataFrame, children: DataFrame) -> DataFrame:
+    """One row: n children, token-less ones included, and their tokens; additive as well."""
+    n, tokens = children.agg(F.count("*").alias("n")), post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+    return n.join(F.broadcast(tokens), how="cross")  # one row with one row
 
 
-def term_weights(post: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, df, idf): a negative idf becomes EPSILON times the mean of all raw ones."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+def term_weights(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) from ``frequencies`` and ``totals``: a negative idf becomes EPSILON times the mean of all raw ones."""
     raw = df.join(F.broadcast(stats.select("n")), how="cross").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean), how="cross").select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def sparse(queries: DataFrame, post: DataFrame, lens: DataFrame, k: int = 20, where: dict | None = None, children: DataFrame | None = None, compose: bool = True) -> DataFrame:
-    """(query_id, child_id, score, rank) by BM25; the filter acts on scored children, never on the statistics.
+def sparse(queries: DataFrame, post: DataFrame, terms: DataFrame, stats: DataFrame, k: int = 20, where: dict | None = None, children: DataFrame | None = None, compose: bool = True) -> DataFrame:
+    """(query_id, child_id, score, rank) by BM25 from ``postings``, ``term_weights`` and ``totals``.
 
-    Query terms count as often as they come.  Only postings of query terms are touched.
+    Query terms count as often as they come; only their postings are touched, and those are not shuffled before they are
+    scored while the query terms are few enough to be sent to every task.  The filter acts on scored children, never on statistics.
     """
-    stats = corpus(lens)
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"), compose)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    if asked.count() <= MOST_TERMS:
-        asked = F.broadcast(asked)
-    hits = post.join(asked, "term").join(term_weights(post, stats), "term").join(lens, "child_id").join(F.broadcast(stats), how="cross")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    sent = F.broadcast if asked.count() <= MOST_TERMS else lambda df: df
+    weighed = terms.join(sent(asked), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    hits = post.join(sent(weighed), "term").join(F.broadcast(stats.select(F.try_divide("tokens", "n").alias("avgdl"))), how="cross")
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # nine places, so that equal scores tie in whatever order they were summed
     scored = hits.groupBy("query_id", "child_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
     if where:

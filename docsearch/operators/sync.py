@@ -50,10 +50,10 @@ def check_children(children: DataFrame) -> None:
         raise IndexingError(f"repeated child ids: {[r.child_id for r in found]}")
 
 
-def check_model(manifest: DataFrame, built_with: str | None, model: str) -> None:
+def check_model(manifest: DataFrame | None, built_with: str | None, model: str, where: str | None = None) -> None:
     """An index with documents can't be searched or extended with another embedding model."""
-    if built_with is not None and built_with != model and not manifest.isEmpty():
-        raise IndexConfigMismatchError(f"the index was built with {built_with!r}, not {model!r}")
+    if manifest is not None and built_with and built_with != model and not manifest.isEmpty():
+        raise IndexConfigMismatchError(f"the index was built with {built_with!r}, not {model!r}", where)
 
 
 def count_children(manifest: DataFrame) -> DataFrame:

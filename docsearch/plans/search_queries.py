@@ -6,6 +6,7 @@ the same number.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -38,9 +39,16 @@ def _round(df, *keep):
     return df.select("query_id", *keep, F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _sparse(spark, sf, every=False, k=20, where=None):
+def _statistics(spark, sf):
+    """(postings, term weights, totals): the texts are read and tokenised once, as in an index."""
     c = children(spark, sf)
-    return R.sparse(asked(spark, sf, every), R.postings(c, compose=False), R.lengths(c, compose=False), k, where, c, compose=False)
+    post = stage(R.postings(c, compose=False))
+    stats = R.totals(post, c)
+    return post, R.term_weights(R.frequencies(post), stats), stats
+
+
+def _sparse(spark, sf, every=False, k=20, where=None):
+    return R.sparse(asked(spark, sf, every), *_statistics(spark, sf), k, where, children(spark, sf), compose=False)
 
 
 def _fused(spark, sf, every=False):
@@ -48,10 +56,8 @@ def _fused(spark, sf, every=False):
 
 
 def bm25_stats(spark, sf):
-    c = children(spark, sf)
-    post = R.postings(c, compose=False)
-    w = R.term_weights(post, R.corpus(R.lengths(c, compose=False)))
-    return w.select("term", "df", F.round("idf", 6).alias("idf"))
+    _, terms, _ = _statistics(spark, sf)
+    return terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, sf):
@@ -59,7 +65,7 @@ def bm25_topk(spark, sf):
 
 
 def bm25_where(spark, sf):
-    return _round(_sparse(spark, sf, where={"lang": "en", "source": "src1"}), "child_id")
+    return _round(_sparse(spark, sf, True, where={"lang": "en", "source": "src1"}), "child_id")
 
 
 def dense_topk(spark, sf):
@@ -67,7 +73,7 @@ def dense_topk(spark, sf):
 
 
 def dense_topk_where(spark, sf):
-    return _round(R.dense(asked(spark, sf), vectors(spark, sf), 5, {"label": 3}), "child_id")
+    return _round(R.dense(asked(spark, sf, True), vectors(spark, sf), 5, {"label": 3}), "child_id")
 
 
 def dense_batch(spark, sf):
@@ -75,7 +81,7 @@ def dense_batch(spark, sf):
 
 
 def rrf_fuse(spark, sf):
-    f = _fused(spark, sf)
+    f = _fused(spark, sf, True)
     return f.select("query_id", "child_id", F.round("score", 9).alias("score"), F.col("ord").cast("long").alias("ord"), R.retriever_csv(F.col("retrievers")).alias("retrievers"))
 
 
@@ -84,7 +90,7 @@ def _keyword_score(text):
 
 
 def rerank_keyword(spark, sf):
-    texts = _fused(spark, sf).join(children(spark, sf).select("child_id", "text"), "child_id")
+    texts = _fused(spark, sf, True).join(children(spark, sf).select("child_id", "text"), "child_id")
     r = R.rerank(texts, _keyword_score(F.col("text")), 10)
     return r.select("query_id", "child_id", "score", F.col("ord").cast("long").alias("ord"), R.retriever_csv(F.col("retrievers")).alias("retrievers"))
 
@@ -94,12 +100,12 @@ def _promoted(spark, sf, every=False, **options):
 
 
 def parent_max(spark, sf):
-    p = _promoted(spark, sf)
+    p = _promoted(spark, sf, True)
     return p.select("query_id", "parent_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"), F.array_join(F.col("children").cast("array<string>"), ",").alias("children"), R.retriever_csv(F.col("retrievers")).alias("retrievers"))
 
 
 def parent_min_score(spark, sf):
-    texts = _fused(spark, sf).join(children(spark, sf).select("child_id", "text"), "child_id")
+    texts = _fused(spark, sf, True).join(children(spark, sf).select("child_id", "text"), "child_id")
     p = R.promote(R.rerank(texts, _keyword_score(F.col("text"))), children(spark, sf).select("child_id", "parent_id"), 8, 0.5)
     return p.select("query_id", "parent_id", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -168,6 +174,20 @@ def citation_format(spark, sf):
     return d.select("doc_id", label.alias("label"))
 
 
+def answer_format(spark, sf):
+    """Assistant turns with citations and warnings below them, as an answer shows them."""
+
+    @F.arrow_udf("string")
+    def shown(text: pa.Array, citations: pa.Array, warnings: pa.Array) -> pa.Array:
+        return pa.array([A.formatted(*x) for x in zip(text.to_pylist(), citations.to_pylist(), warnings.to_pylist(), strict=True)], pa.string())
+
+    c = read(spark, sf, "conversations").where("role = 'assistant'")
+    k = (F.col("conv_id") % 3).cast("int")
+    label = A.citation_label(F.lit(1), F.concat(F.lit("f"), F.col("conv_id").cast("string")), F.when(k == 2, F.lit("s")), F.when(k == 2, F.lit("3")))
+    some = lambda x, n: F.array_repeat(x, n)
+    return c.select("conv_id", "turn", F.md5(shown(F.coalesce("text", F.lit("")), some(label, k), some(F.lit("w"), (F.col("turn") % 2 + k % 2).cast("int") - F.lit(1)))).alias("text_md5"))
+
+
 def tag_bodies(spark, sf):
     return context_rows(spark, sf).select("parent_id", F.length(strip_tag_line(F.col("content"))).cast("long").alias("chars"))
 
@@ -204,14 +224,14 @@ _ANSWERS = f"""a AS (SELECT conv_id, turn, conv_id % 5 AS k, conv_id % 5 = 3 AND
 SQL = {
     "bm25_stats": f"WITH {_BM25 % _ONE} SELECT term, df, round(idf, 6) AS idf FROM weights",
     "bm25_topk": f"WITH {_BM25 % _ONE} SELECT query_id, child_id, round(score, 6) AS score, rank FROM sparse",
-    "bm25_where": f"WITH {_BM25 % _ONE} SELECT query_id, child_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, child_id) AS rank FROM scored JOIN kids USING (child_id) WHERE lang = 'en' AND source = 'src1' QUALIFY rank <= 20",
+    "bm25_where": f"WITH {_BM25 % _ALL} SELECT query_id, child_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank FROM scored JOIN kids USING (child_id) WHERE lang = 'en' AND source = 'src1' QUALIFY rank <= 20",
     "dense_topk": f"WITH {_DENSE % (_ONE, '', 20)} SELECT query_id, child_id, round(score, 6) AS score, rank FROM dense",
-    "dense_topk_where": f"WITH {_DENSE % (_ONE, 'AND v.label = 3', 5)} SELECT query_id, child_id, round(score, 6) AS score, rank FROM dense",
+    "dense_topk_where": f"WITH {_DENSE % (_ALL, 'AND v.label = 3', 5)} SELECT query_id, child_id, round(score, 6) AS score, rank FROM dense",
     "dense_batch": f"WITH {_DENSE % (_ALL, '', 3)} SELECT query_id, child_id, round(score, 6) AS score, rank FROM dense",
-    "rrf_fuse": f"{_hybrid(_ONE)} SELECT query_id, child_id, round(score, 9) AS score, ord, retrievers FROM fused",
-    "rerank_keyword": f"{_hybrid(_ONE)} SELECT query_id, child_id, CASE WHEN contains(text, 'reed') THEN 0.9 ELSE 0.2 END::DOUBLE AS score, row_number() OVER (ORDER BY fused.score DESC, fused.ord) AS ord, retrievers || ',rerank' AS retrievers FROM fused JOIN kids USING (child_id) QUALIFY row_number() OVER (ORDER BY fused.score DESC, fused.ord) <= 10",
-    "parent_max": f"{_hybrid(_ONE)}, {_PARENTS} SELECT query_id, parent_id, round(score, 9) AS score, rank, children, array_to_string(list_distinct_ordered, ',') AS retrievers FROM (SELECT *, list_filter(string_split(array_to_string(rs, ','), ','), lambda x, i: list_position(string_split(array_to_string(rs, ','), ','), x) = i) AS list_distinct_ordered FROM ranked) WHERE rank <= 5",
-    "parent_min_score": f"{_hybrid(_ONE)}, r AS (SELECT parent_id, query_id, CASE WHEN contains(text, 'reed') THEN 0.9 ELSE 0.2 END::DOUBLE AS score, row_number() OVER (ORDER BY fused.score DESC, fused.ord) AS ord FROM fused JOIN kids USING (child_id) QUALIFY row_number() OVER (ORDER BY fused.score DESC, fused.ord) <= 40), b AS (SELECT query_id, parent_id, max(score) AS score, arg_min(ord, (-score, ord)) AS first FROM r GROUP BY ALL) SELECT query_id, parent_id, score, row_number() OVER (ORDER BY score DESC, first) AS rank FROM b QUALIFY rank <= 8 AND score >= 0.5",
+    "rrf_fuse": f"{_hybrid(_ALL)} SELECT query_id, child_id, round(score, 9) AS score, ord, retrievers FROM fused",
+    "rerank_keyword": f"{_hybrid(_ALL)} SELECT query_id, child_id, CASE WHEN contains(text, 'reed') THEN 0.9 ELSE 0.2 END::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY fused.score DESC, fused.ord) AS ord, retrievers || ',rerank' AS retrievers FROM fused JOIN kids USING (child_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused.score DESC, fused.ord) <= 10",
+    "parent_max": f"{_hybrid(_ALL)}, {_PARENTS} SELECT query_id, parent_id, round(score, 9) AS score, rank, children, array_to_string(list_distinct_ordered, ',') AS retrievers FROM (SELECT *, list_filter(string_split(array_to_string(rs, ','), ','), lambda x, i: list_position(string_split(array_to_string(rs, ','), ','), x) = i) AS list_distinct_ordered FROM ranked) WHERE rank <= 5",
+    "parent_min_score": f"{_hybrid(_ALL)}, r AS (SELECT parent_id, query_id, CASE WHEN contains(text, 'reed') THEN 0.9 ELSE 0.2 END::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY fused.score DESC, fused.ord) AS ord FROM fused JOIN kids USING (child_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused.score DESC, fused.ord) <= 40), b AS (SELECT query_id, parent_id, max(score) AS score, arg_min(ord, (-score, ord)) AS first FROM r GROUP BY ALL) SELECT query_id, parent_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank FROM b QUALIFY rank <= 8 AND score >= 0.5",
     "hybrid_e2e": f"{_hybrid(_ONE)}, {_PARENTS}, bodies AS (SELECT parent_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY child_id)) AS content_md5 FROM kids GROUP BY ALL) SELECT query_id, parent_id, round(score, 9) AS score, rank, content_md5 FROM ranked JOIN bodies USING (parent_id) WHERE rank <= 5",
     "hybrid_batch": f"{_hybrid(_ALL)}, {_PARENTS} SELECT query_id, parent_id, round(score, 9) AS score, rank FROM ranked WHERE rank <= 3",
     "retrievers_csv": f"{_hybrid(_ALL)} SELECT query_id, retrievers, count(*) AS hits FROM fused GROUP BY ALL",
@@ -221,6 +241,7 @@ SQL = {
     "citation_validate": f"WITH {_ANSWERS} SELECT conv_id, turn, CASE WHEN none THEN '{A.NO_ANSWER}' ELSE t || CASE k WHEN 0 THEN ' a [1] b.' WHEN 1 THEN ' x [2] y [3][1] z.' WHEN 2 THEN ' [3][3][1]' WHEN 3 THEN '' ELSE '.' END END AS text, CASE k WHEN 0 THEN '1' WHEN 1 THEN '2,3,1' WHEN 2 THEN '3,1' ELSE '' END AS valid, CASE k WHEN 0 THEN '9' WHEN 1 THEN '9,2024' WHEN 4 THEN '7,8' ELSE '' END AS invalid FROM a",
     "grounded_flags": f"WITH {_ANSWERS} SELECT conv_id, turn, k IN (0, 1, 2) AS grounded, k IN (3, 4) AND NOT none AS uncited, CASE k WHEN 0 THEN '1' WHEN 1 THEN '1,2,3' WHEN 2 THEN '1,3' ELSE '' END AS citations FROM a",
     "citation_format": "SELECT doc_id, '[' || (doc_id % 7 + 1) || '] ' || source || CASE WHEN doc_id % 3 > 0 THEN ' | ' || lang ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' | p.1-2' ELSE '' END AS label FROM documents",
+    "answer_format": """SELECT conv_id, turn, md5(coalesce(text, '') || CASE conv_id % 3 WHEN 0 THEN '' ELSE chr(10) || chr(10) || '참고 문서' || repeat(chr(10) || '- [1] f' || conv_id || CASE conv_id % 3 WHEN 2 THEN ' | s | p.3' ELSE '' END, (conv_id % 3)::INT) END || CASE WHEN turn % 2 + conv_id % 3 % 2 > 1 THEN chr(10) || chr(10) || '경고' || chr(10) || '- w' ELSE '' END) AS text_md5 FROM conversations WHERE role = 'assistant'""",
     "tag_bodies": "SELECT doc_id AS parent_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS chars FROM documents",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docsearch.operators import sheets, sync
 from docsearch.plans.text_queries import read
 from docsearch.sources import pdf
-from docsearch.sources.ooxml import heading_level
+from docsearch.sources.ooxml import heading_level, table_text
 
 
 def manifests(spark, sf):
@@ -161,6 +161,19 @@ def docx_heading_level(spark, sf):
     return read(spark, sf, "documents").select("doc_id", level(style, outline).alias("level"))
 
 
+def docx_table_shape(spark, sf):
+    """The lines of each order as a table of one to three columns, every fourth row empty, by the reader's own function."""
+
+    @F.arrow_udf("string")
+    def text(x: pa.Array) -> pa.Array:
+        return pa.array([table_text(rows) for rows in x.to_pylist()], pa.string())
+
+    li = read(spark, sf, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")))
+    cells = F.array(F.col("l_partkey").cast("string"), F.concat("l_returnflag", F.lit("|"), "l_linestatus"), F.when(F.col("n") % 2 == 0, F.lit("")).otherwise(F.col("l_suppkey").cast("string")))
+    row = F.slice(F.transform(cells, lambda x: F.when(F.col("n") % 4 == 0, "").otherwise(x)), F.lit(1), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", row.alias("row")))).getField("row").alias("rows")).select("l_orderkey", text("rows").alias("text"))
+
+
 SQL = {
     "manifest_diff": "SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN 'new' WHEN doc_id % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM documents WHERE doc_id % 7 <> 1",
     "removed_files_anti": "SELECT doc_id, '/data/' || source || '/f' || doc_id AS path FROM documents WHERE doc_id % 7 = 1 AND doc_id % 5 <> 2 AND source = 'src1'",
@@ -188,5 +201,12 @@ SQL = {
   CASE WHEN scanned THEN NULL WHEN big THEN 'large_pdf' ELSE 'layout_unavailable' END AS plain_reason, CASE WHEN scanned THEN 'EmptyDocumentError' END AS plain_error FROM (SELECT doc_id, doc_id % 600 > 300 AS big, n_chars / 20.0 < 50 AS scanned FROM documents)""",
     "layout_ratio": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN kept > 0 ELSE kept / greatest(n_chars * (doc_id % 4), 1) >= 0.5 END AS ok FROM (SELECT *, length(regexp_replace(text, '\\s', '', 'g')) AS kept FROM documents)",
     "docx_heading_level": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 1 WHEN 5 THEN 9 ELSE CASE WHEN doc_id % 4 = 1 AND doc_id % 12 <= 8 THEN (doc_id % 12 + 1)::INT END END AS level FROM documents",
+    "docx_table_shape": """WITH l AS (SELECT *, l_orderkey % 3 + 1 AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS n FROM lineitem),
+  c AS (SELECT l_orderkey, w, n, l_partkey::VARCHAR AS a, l_returnflag || '|' || l_linestatus AS b, CASE n % 2 WHEN 0 THEN '' ELSE l_suppkey::VARCHAR END AS c FROM l WHERE n % 4 <> 0),
+  r AS (SELECT l_orderkey, w, n, a, '| ' || a || ' | ' || replace(b, '|', '\\|') || CASE w WHEN 3 THEN ' | ' || c ELSE '' END || ' |' AS line, a || ' | ' || b || CASE WHEN w = 3 AND c <> '' THEN ' | ' || c ELSE '' END AS plain FROM c)
+  SELECT l_orderkey, CASE WHEN w = 1 THEN string_agg(a, chr(10) || chr(10) ORDER BY n) WHEN count(*) = 1 THEN any_value(plain)
+    ELSE min(line) FILTER (n = 1) || chr(10) || '|' || repeat('---|', w) || chr(10) || string_agg(line, chr(10) ORDER BY n) FILTER (n > 1) END AS text FROM r GROUP BY l_orderkey, w""",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "sheet_modes"]}
+SQL["sheet_modes"] = f"""SELECT doc, sheet, CASE sheet WHEN '4' THEN 'markdown_table' ELSE 'narrative' END AS mode, CASE sheet WHEN '4' THEN t.text ELSE n.text END AS text
+  FROM ({SQL["narrative_rows"]}) n JOIN ({SQL["excel_markdown_table"]}) t USING (doc, sheet)"""
+QUERIES = {name: globals()[name] for name in SQL}

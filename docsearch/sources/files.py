@@ -67,18 +67,41 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def as_files(found: DataFrame, root: str) -> DataFrame:
+    """(path, length, modified, [content, file_hash,] doc_id, file_type) of the supported files among rows of Spark's ``binaryFile``."""
+    files = found.withColumn("path", nfc(plain_path(F.col("path")))).withColumnRenamed("modificationTime", "modified")
+    files = files.where(is_supported(F.col("path")) & ~hidden_below(F.col("path"), root.removeprefix("file://")))
+    if "content" in files.columns:
+        files = files.withColumn("file_hash", content_hash(F.coalesce("content", F.unhex(F.lit("")))))
+    return files.withColumn("doc_id", document_id(F.col("path"))).withColumn("file_type", F.substring(suffix(F.col("path")), 2, 10))
+
+
+def reader(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+
+
 def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """(path, length, modified, content, file_hash, doc_id, file_type) of the supported files below a folder.
 
     Spark's listing leaves out names that start with a dot or an underscore.  Without content, no file is opened.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = found.select(nfc(plain_path(F.col("path"))).alias("path"), "length", F.col("modificationTime").alias("modified"), *(["content"] if content else []))
+    found = reader(spark, root)
     # empty files are in Spark's listing but never in what it reads
-    listed = spark.createDataFrame([(unquote(x),) for x in found.inputFiles()], "path string").select(nfc(plain_path(F.col("path"))).alias("path"))
-    empty = listed.join(files.select("path"), "path", "left_anti")
-    files = files.unionByName(empty.withColumn("length", F.lit(0).cast("long")), allowMissingColumns=True)
-    files = files.where(is_supported(F.col("path")) & ~hidden_below(F.col("path"), root.removeprefix("file://")))
-    if content:
-        files = files.withColumn("file_hash", content_hash(F.coalesce("content", F.unhex(F.lit("")))))
-    return files.withColumn("doc_id", document_id(F.col("path"))).withColumn("file_type", F.substring(suffix(F.col("path")), 2, 10))
+    listed = spark.createDataFrame([(unquote(x),) for x in found.inputFiles()], "path string").select(plain_path(F.col("path")).alias("path"))
+    found = found.select(plain_path(F.col("path")).alias("path"), "length", "modificationTime", *(["content"] if content else []))
+    empty = listed.join(found.select("path"), "path", "left_anti").withColumn("length", F.lit(0).cast("long"))
+    return as_files(found.unionByName(empty, allowMissingColumns=True), root)
+
+
+def contents(spark: SparkSession, root: str, wanted: DataFrame, few: int = 100_000) -> DataFrame:
+    """The files of a scan without content that are wanted (path, length, modified), opened; the reader passes by all older than those.
+
+    File names are sent to every task up to a counted number; beyond it, contents are shuffled by name.
+    """
+    first, n = wanted.agg(F.min("modified"), F.count("*")).first()
+    found = reader(spark, root).select("path", "length", "modificationTime", "content")
+    if first is not None:
+        found = found.where(F.col("modificationTime") >= F.lit(first))
+    names = wanted.select("path")
+    opened = as_files(found, root).join(F.broadcast(names) if n <= few else names, "path", "left_semi")
+    return opened.unionByName(wanted.where("length = 0").select("path", "length", "modified", "file_hash", "doc_id", "file_type"), allowMissingColumns=True)

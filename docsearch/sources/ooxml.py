@@ -161,15 +161,32 @@ def _cell(x: str) -> str:
     return x.replace("|", "\\|")
 
 
-def _table(t: ElementTree.Element) -> str:
-    rows = [[_text(c) for c in r.iter(f"{_W}tc")] for r in t.iter(f"{_W}tr")]
+def _grid(t: ElementTree.Element) -> list[list[str]]:
+    """The cells of a table's own rows; a merged cell's text is in every place that it covers, a table inside a cell is not read."""
+    rows: list[list[str]] = []
+    for r in t.findall(f"{_W}tr"):
+        row: list[str] = []
+        for c in r.findall(f"{_W}tc"):
+            down, wide = c.find(f"{_W}tcPr/{_W}vMerge"), c.find(f"{_W}tcPr/{_W}gridSpan")
+            goes_on = down is not None and down.get(f"{_W}val", "continue") == "continue" and rows and len(row) < len(rows[-1])
+            text = rows[-1][len(row)] if goes_on else " ".join(filter(None, map(_text, c.findall(f"{_W}p"))))
+            row += [text] * (int(wide.get(f"{_W}val", "1")) if wide is not None else 1)
+        rows.append(row)
+    return rows
+
+
+def table_text(rows: list[list[str]]) -> str:
+    """Rows with a value as text: one column as paragraphs, one row as a line, else a table as wide as its first row."""
     rows = [r for r in rows if any(r)]
-    if not rows:
-        return ""
-    width = max(map(len, rows))
-    if width == 1:
+    width = max(map(len, rows), default=0)
+    if width <= 1:
         return "\n\n".join(r[0] for r in rows)
     if len(rows) == 1:
-        return " | ".join(x for x in rows[0] if x)
-    line = lambda r: "| " + " | ".join(_cell(x) for x in [*r, *[""] * (len(rows[0]) - len(r))][: len(rows[0])]) + " |"
-    return "\n".join([line(rows[0]), "|" + "---|" * len(rows[0]), *map(line, rows[1:])])
+        return " | ".join(filter(None, rows[0]))
+    n = len(rows[0])
+    line = lambda r: "| " + " | ".join(_cell(x) for x in [*r, *[""] * (n - len(r))][:n]) + " |"
+    return "\n".join([line(rows[0]), "|" + "---|" * n, *map(line, rows[1:])])
+
+
+def _table(t: ElementTree.Element) -> str:
+    return table_text(_grid(t))

@@ -52,3 +52,20 @@ def test_model_rules():
     faults = lambda **k: GenerationConfig(**({"temperature": None} | k), rules=rules).faults()
     assert faults(model="old-1") and faults(model="small-1", effort="low") and faults(model="new-1", temperature=0.0)
     assert not faults(model="big", enable_refusal_fallback=True, effort="max")
+
+
+def test_env_file(tmp_path, monkeypatch):
+    from docsearch.config import read_env
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / ".env").write_text("# note\nexport DS_A='x y'\nDS_B = \"q#1\"\nDS_C=plain # note\nDS_D=\nnot an entry\nDS_E=new\n")
+    monkeypatch.setenv("DS_E", "old")
+    for k in "ABCD":
+        monkeypatch.setenv(f"DS_{k}", "")
+        monkeypatch.delenv(f"DS_{k}")
+    import os
+
+    assert read_env(tmp_path / "a" / "b") == tmp_path / "a" / ".env"
+    assert [os.environ[f"DS_{k}"] for k in "ABCDE"] == ["x y", "q#1", "plain", "", "old"]
+    for k in "ABCD":
+        del os.environ[f"DS_{k}"]

@@ -7,7 +7,7 @@ import pytest
 from docsearch.config import ChunkerConfig, Config, RetrieverConfig, StoreConfig
 from docsearch.errors import ConfigError, GenerationError, IndexConfigMismatchError, IndexingError
 from docsearch.operators import answer as A
-from docsearch.pipeline import Pipeline, hashed_embedder, self_test
+from docsearch.pipeline import Pipeline, hashed_embedder, scorer_self_test, self_test, sound
 from docsearch.sources.files import scan
 from docsearch.sources.parse import parse
 from pyspark.sql import functions as F
@@ -78,7 +78,7 @@ def test_synchronisation_and_answers(spark, folder, tmp_path):
     again = p.ingest(str(folder))
     assert len(again.unchanged) == 2 and not again.indexed and len(again.failures) == 4
     a = p.query("휴가 일수는?")
-    assert a.grounded and a.citations[0]["index"] == 1 and "[1]" in a.answer and "[참고 문서]" in a.format()
+    assert a.grounded and a.citations[0]["index"] == 1 and "[1]" in a.answer and "\n\n참고 문서\n- [1] " in a.format()
     assert p.client.asked[0]["message"].startswith("<documents>\n<document index=\"1\"") and p.client.asked[0]["message"].endswith("질문: 휴가 일수는?")
     assert {r.source for r in p.retrieve("휴가", {"source": "견적.xlsx"}).collect()} == {"견적.xlsx"}
     assert p.retrieve("휴가", {"nope": 1}).count() == 0
@@ -89,7 +89,7 @@ def test_synchronisation_and_answers(spark, folder, tmp_path):
     assert [x.rpartition("/")[2] for x in third.indexed] == ["규정.docx"] and [x.rpartition("/")[2] for x in third.removed] == ["견적.xlsx"]
     children = p.index.table("children").collect()
     assert {r.doc_id for r in children} < old and any("출장비" in r.text for r in children) and not any("휴가" in r.text for r in children)
-    for name in ("vectors", "postings", "lengths"):
+    for name in ("vectors", "postings"):
         assert {r.child_id for r in p.index.table(name).select("child_id").collect()} == {r.child_id for r in children}
     # a file that fails now keeps what is stored of it
     (folder / "규정.docx").write_bytes(b"broken")
@@ -97,6 +97,59 @@ def test_synchronisation_and_answers(spark, folder, tmp_path):
     assert not fourth.removed and p.index.table("children").count() == len(children)
 
 
+def test_updates_touch_their_buckets(spark, folder, tmp_path):
+    p = make(spark, tmp_path)
+    for n in range(6):
+        (folder / f"n{n}.docx").write_bytes(docx([("H1", f"문서 {n}"), ("", f"공통 낱말과 고유 낱말{n} unique{n} 입니다.")]))
+    assert p.ingest(str(folder)).counts == {"indexed": 8, "failed": 4}
+    before = p.index.pointer()["places"]
+    (folder / "n1.docx").write_bytes(docx([("H1", "문서 1"), ("", "다른 내용 replaced 이다.")]))
+    (folder / "n2.docx").unlink()
+    report = p.ingest(str(folder))
+    assert report.counts == {"indexed": 1, "removed": 1, "unchanged": 6, "failed": 4} and "indexed 1, unchanged 6, removed 1, failed 4" == report.summary()
+    after = p.index.pointer()["places"]
+    moved = {b for k in ("children", "postings", "manifest") for b in before[k].keys() | after[k].keys() if before[k].get(b) != after[k].get(b)}
+    assert 1 <= len(moved) <= 2 and before["terms"] != after["terms"]
+    # what was added and subtracted is what a new index has
+    fresh = make(spark, tmp_path / "again")
+    fresh.ingest(str(folder))
+    for name in ("terms", "totals", "postings", "children"):
+        columns = [c for c in p.index.table(name).columns if c not in ("headers", "warnings")]
+        rows = [sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in x.index.table(name).select(*columns).collect()) for x in (p, fresh)]
+        assert rows[0] == rows[1] and rows[0]
+    assert p.index.expire() == [] and p.index.table("children").count() == fresh.index.table("children").count()
+    # a folder goes once no bucket is read from it
+    (folder / "n3.docx").unlink()
+    p.ingest(str(folder))
+    used = {at for by in p.index.pointer()["places"].values() for at in by.values()}
+    kept = {x for x in p.index.files.folders(p.index.folder)}
+    assert set(p.index.expire(0)) == kept - used
+
+
+def test_docx_tables():
+    from xml.etree import ElementTree
+
+    from docsearch.sources.ooxml import _table
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    cell = lambda text, props="", inner="": f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p>{inner}</w:tc>"
+    read = lambda *rows: _table(ElementTree.fromstring(f'<w:tbl xmlns:w="{w}">' + "".join(f"<w:tr>{''.join(r)}</w:tr>" for r in rows) + "</w:tbl>"))
+    nested = f"<w:tbl><w:tr>{cell('inner')}</w:tr></w:tbl>"
+    assert read([cell("a"), cell("b", inner=nested)], [cell("c"), cell("d")]) == "| a | b |\n|---|---|\n| c | d |"
+    assert read([cell("a", '<w:gridSpan w:val="2"/>')], [cell("c"), cell("d")]) == "| a | a |\n|---|---|\n| c | d |"
+    down = '<w:vMerge w:val="restart"/>', "<w:vMerge/>"
+    assert read([cell("h"), cell("i")], [cell("a", down[0]), cell("1")], [cell("", down[1]), cell("2")]) == "| h | i |\n|---|---|\n| a | 1 |\n| a | 2 |"
+    assert read([cell("")]) == "" and read([cell("a")], [cell("b")]) == "a\n\nb" and read([cell("a"), cell(""), cell("c")]) == "a | c"
+
+
+def test_missing_parents_are_told(spark, folder, tmp_path):
+    p = make(spark, tmp_path, client=Client())
+    p.ingest(str(folder))
+    whole = p.index.table
+    p.index.table = lambda name, buckets=None: whole(name).where("source <> '규정.docx'") if name == "parents" else whole(name, buckets)
+    assert any("missing from the store" in w for w in p.query("휴가 일수").warnings)
+
+
 def test_degradations(spark, folder, tmp_path):
     p = make(spark, tmp_path)
     assert p.query("  ").answer == A.NO_ANSWER and p.query("x").answer == A.NO_ANSWER
@@ -108,7 +161,7 @@ def test_degradations(spark, folder, tmp_path):
         (Client("x [9]."), lambda a: a.answer == "x." and any("[9]" in w for w in a.warnings)),
         (Client("", stop_reason="refusal", category="c"), lambda a: "거절" in a.answer),
         (Client("x [1]", stop_reason="max_tokens"), lambda a: any("cut off" in w for w in a.warnings)),
-        (Client(TimeoutError("slow")), lambda a: a.citations and any("can't be reached" in w for w in a.warnings)),
+        (Client(type("Slow", (TimeoutError,), {})("slow")), lambda a: a.citations and any("can't be reached" in w for w in a.warnings)),
     ):
         p.client = client
         assert want(p.query("휴가 일수"))
@@ -137,8 +190,16 @@ def test_index_guards(spark, folder, tmp_path):
 def test_self_test():
     assert self_test(hashed_embedder()) > 0.99
     spoiled = lambda texts: [[1.0, 0.0] if len(texts) > 1 else [0.0, 1.0] for _ in texts]
+    assert self_test(spoiled) < 0.99
+    good = hashed_embedder()
+    assert sound([spoiled, good], self_test, lambda x: x >= 0.99, "embedding")[0] is good
     with pytest.raises(ConfigError):
-        self_test(spoiled)
+        sound([spoiled, None], self_test, lambda x: x >= 0.99, "embedding")
+
+
+def test_scorer_self_test(spark):
+    assert scorer_self_test(spark, lambda q, t: F.when(t.contains("규정"), 0.9).otherwise(0.2)) == 0
+    assert scorer_self_test(spark, lambda q, t: F.rand()) > 0.01
 
 
 def test_request_and_errors():
@@ -147,10 +208,21 @@ def test_request_and_errors():
     r = A.request(GenerationConfig(temperature=None, effort="low"), "m")
     assert "temperature" not in r and r["effort"] == "low"
     with pytest.raises(GenerationError) as e:
-        A.call(Client(ConnectionError("x")), GenerationConfig(), "m")
+        A.call(Client(ConnectionError("x")), GenerationConfig(), "m", lambda _: None)
     assert e.value.retryable
 
 
+@pytest.mark.parametrize(("status", "asked"), [(400, 1), (401, 1), (403, 1), (404, 1), (418, 1), (408, 3), (429, 3), (500, 3), (529, 3)])
+def test_retries(status, asked):
+    from docsearch.config import GenerationConfig
+
+    fault, pauses = type("StatusError", (Exception,), {"status_code": status})("x"), []
+    client = Client(fault)
+    with pytest.raises(GenerationError) as e:
+        A.call(client, GenerationConfig(max_retries=2), "m", pauses.append)
+    assert e.value.retryable == (asked > 1) and len(client.asked) == asked and pauses == [0.5, 1.0][: asked - 1] and str(status) in str(e.value)
+
+
 def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     from docsearch.__main__ import main
 

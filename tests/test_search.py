@@ -16,8 +16,10 @@ def test_large_query_sets_go_in_blocks(spark, monkeypatch):
 
 def test_large_term_sets_are_shuffled(spark, monkeypatch):
     docs = search_queries.children(spark, "/root/testdata/sf0.001")
-    post, lens = search.postings(docs), search.lengths(docs)
+    post = search.postings(docs)
+    stats = search.totals(post, docs)
+    terms = search.term_weights(search.frequencies(post), stats)
     queries = docs.where("child_id < 5").selectExpr("child_id as query_id", "left(text, 200) as text")
-    whole = sorted(map(tuple, search.sparse(queries, post, lens, 4).collect()))
+    whole = sorted(map(tuple, search.sparse(queries, post, terms, stats, 4).collect()))
     monkeypatch.setattr(search, "MOST_TERMS", 0)
-    assert sorted(map(tuple, search.sparse(queries, post, lens, 4).collect())) == whole and whole
+    assert sorted(map(tuple, search.sparse(queries, post, terms, stats, 4).collect())) == whole and whole
