@@ -63,6 +63,25 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return tidied
 
 
+def give_back_driver(spark: SparkSession) -> bool:
+    """Returns what the driver's JVM has freed outside its heap to the system, if its JVM and C library can (JDK 17.0.9, glibc).
+
+    Compilers, collectors and network threads allocate there, and the C library keeps what hundreds of threads have freed.
+    """
+    try:
+        gateway = spark.sparkContext._gateway
+        jvm, known = gateway.jvm, gateway.jvm.java.lang.Class.forName
+        # through the interface, as the server's own class is not open to reflection
+        kinds, given = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = known(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        known("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Exception:  # another JVM, or the session has ended
+        return False
+    return True
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -81,6 +100,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/docsearch-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    give_back_driver(spark)
     atexit.register(remove, spark, folder)
     out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
     out._scratch = folder
@@ -120,19 +140,26 @@ def crc_mod(column: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit(""))), F.lit(mod))
 
 
+def _stars(e: DataFrame) -> tuple[int, bool]:
+    """Number of edges (a, b), a > b, and whether each a has one edge and no b is an a: then b is the least node of its component."""
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(e.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    n, more = nodes.agg(F.sum("up"), F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+    return n or 0, not more
+
+
 def components(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
     """(node, component): the least node reachable, for all nodes of the edges (a, b).
 
     Alternating large-star and small-star steps; each is an aggregate with map-side combining and a join, which Spark can split where a
     hub has very many edges.  Each step's edges are a table in the shared folder.
-    Ends when a step changes nothing, which takes about log2 of the longest path.
+    Ends when every component is a star around its least node, which takes about log2 of the longest path and no step where the edges are such stars.
     """
     e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    n = e.count()
-    if not n:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    last = None
+    n, stars = _stars(e)
     for _ in range(most):
+        if stars:
+            break
         # a join with an aggregate can't be split where a hub has very many edges, one with a table can
         settled = (lambda df: materialise(df, name)) if n > SPLIT_ROWS else (lambda df: df)
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -142,11 +169,8 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
         step = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct()
         before, e = e, materialise(step, name)
         release(before, least, large, low)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == last:
-            break
-        last, n = now, now[0]
-    else:
+        n, stars = _stars(e)
+    if not stars:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsearch.llm import textkit
-from docsearch.llm.common import arrow_batches, crc_mod, tidy
+from docsearch.llm.common import arrow_batches, crc_mod, give_back, tidy
 
 BITS = 18
 #: The bound of the fitting sample; beyond it accuracy no longer grows on such texts.
@@ -152,6 +152,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     least counts, of several texts of one doc_id the one with the greatest hash, of equal ones either.  Other columns are ignored.
     Without labels (or with fewer than four of a class) the model gives their smoothed share, 0.5 for none, to every text.
     """
+    try:
+        return fit(*_fitting_rows(docs, labels, fit_rows))
+    finally:
+        give_back()  # the driver keeps the model only
+
+
+def _fitting_rows(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[list[np.ndarray], np.ndarray]:
     seen = labels.where("doc_id is not null and quality in (0, 1)").where(crc_mod(F.col("doc_id"), 5) != 0)
     sample = seen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     picked = docs.sparkSession.createDataFrame(sample.toPandas(), "doc_id long, quality int")  # fit_rows rows at most
@@ -160,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     got = got.groupBy("doc_id").agg(F.max_by(F.struct("keys", "y"), "h").alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
     keys = got["keys"].combine_chunks()
     flat, at = keys.flatten().to_numpy(), np.concatenate([[0], np.cumsum(keys.value_lengths())])
-    return fit([flat[a:b] for a, b in zip(at, at[1:])], np.where(got["y"].to_numpy() == 1, 1, -1))  # noqa: B905
+    return [flat[a:b] for a, b in zip(at, at[1:])], np.where(got["y"].to_numpy() == 1, 1, -1)  # noqa: B905
 
 
 def _scores(column: pa.Array, m: dict) -> np.ndarray:
